@@ -438,7 +438,7 @@ MESSAGES = """msg AS (SELECT page_id AS msg_id, split_part(url, '/', 3) AS host,
     row_number() OVER (PARTITION BY t.channel_id, t.tag ORDER BY m.msg_id DESC) AS rank
     FROM msg m JOIN tags t ON t.channel_id = m.channel_id WHERE m.msg_id > t.mark)"""
 ORACLE["latest_messages"] = with_ctes(MESSAGES) + "SELECT channel_id, tag, msg_id, rank::BIGINT AS rank FROM after WHERE rank <= 30"
-FOUND = """, found AS (SELECT channel_id, tag, msg_id, rank, unnest([url, 'http://' || host || '/all,', url]) AS url, unnest([0, 1, 2]) AS at
+FOUND = """, found AS (SELECT channel_id, tag, msg_id, rank, unnest([url, 'http://' || host || '/all,', url]) AS url, unnest([0, 1, 2]) AS place
     FROM after WHERE rank <= 500 AND contains(low, tag)),
   fresh AS (SELECT channel_id, tag, url, rank::BIGINT AS rank, place::BIGINT AS "at" FROM found
     QUALIFY row_number() OVER (PARTITION BY channel_id, tag, url ORDER BY rank, place) = 1)"""

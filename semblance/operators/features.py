@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from semblance.functions import code as C
@@ -82,20 +82,22 @@ def structure_profile(submissions: DataFrame, preserve_names: bool = False) -> D
     )
 
 
-def shape_sequence(submissions: DataFrame, text: str = "raw_text") -> DataFrame:
-    """The shape classes of each submission as one array, in order and without line feeds."""
-    toks = submissions.withColumn("_t", C.code_tokens(X.strip_comments(F.col(text))))
-    none = F.array(F.lit(None).cast("string"))
-    n = F.greatest(F.size("_t"), F.lit(1))
-    zipped = F.arrays_zip(
-        F.col("_t").alias("t"),
-        F.slice(F.concat(none, F.col("_t")), 1, F.size("_t")).alias("b"),
-        F.slice(F.col("_t"), 2, n).alias("a"),
-    )
-    shaped = F.transform(
-        F.filter(zipped, lambda z: z["t"] != "\n"), lambda z: C.shape(z["t"], z["b"], z["a"])
+def shape_grams(submissions: DataFrame, k: int = SHAPE_GRAM, text: str = "raw_text") -> DataFrame:
+    """One row per k-gram of the shape classes of a submission, line feeds left out.
+
+    A submission with fewer than ``k`` tokens gives one gram of all its tokens. Placed by name
+    first, the tokens of a submission are classified and joined to grams without a shuffle.
+    """
+    token, before, after = F.col("token"), F.col("before"), F.col("after")
+    rows = code_token_rows(submissions.repartition("corpus_id", "name"), text).filter(token != "\n")
+    doc = Window.partitionBy("corpus_id", "name").orderBy("pos")
+    gram = F.array(F.col("shape"), *[F.lead("shape", i).over(doc) for i in range(1, k)])
+    shaped = rows.select("corpus_id", "name", "pos", C.shape(token, before, after).alias("shape"))
+    joined = shaped.withColumn("gram", gram).withColumn("at", F.row_number().over(doc))
+    whole = F.col("gram")[k - 1].isNotNull()
+    return joined.filter(whole | (F.col("at") == 1)).select(
+        "corpus_id", "name", F.array_join("gram", " ").alias("item")
     )
-    return toks.withColumn("shape", shaped).drop("_t")
 
 
 def grams(items: str, k: int = SHAPE_GRAM):

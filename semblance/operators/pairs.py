@@ -76,41 +76,46 @@ def token_scores(features: DataFrame, targets: DataFrame) -> DataFrame:
 def item_counts(rows: DataFrame, items: Column) -> DataFrame:
     """``(corpus_id, name, item, n)``: how often each item occurs in each row's array.
 
-    The rows are placed by name first, so counting, sizing and overlap of a submission need no
-    further shuffle of the exploded items.
+    The texts are placed by name before they are taken apart, so counting and sizing the items of
+    a submission need no further shuffle.
     """
-    placed = rows.select("corpus_id", "name", items.alias("items")).repartition("corpus_id", "name")
-    return (
-        placed.select("corpus_id", "name", F.explode("items").alias("item"))
-        .groupBy("corpus_id", "name", "item")
-        .agg(F.count("*").alias("n"))
-    )
+    placed = rows.repartition("corpus_id", "name")
+    return count_items(placed.select("corpus_id", "name", F.explode(items).alias("item")))
+
+
+def count_items(exploded: DataFrame) -> DataFrame:
+    return exploded.groupBy("corpus_id", "name", "item").agg(F.count("*").alias("n"))
 
 
-def bag_overlap(rows: DataFrame, items: Column, targets: DataFrame) -> DataFrame:
+def bag_overlap(submissions: DataFrame, counts: DataFrame, targets: DataFrame) -> DataFrame:
     """Shared item count of each pair, as a multiset, with both sizes.
 
     Every other row meets at most one target row per item, and a common item is split by a salt
     of the submission's name, so neither hot items nor hot corpora gather in one task.
     """
-    sized = rows.select("corpus_id", "name", items.alias("items")).withColumn(
-        "size", F.size("items").cast("bigint")
-    )
-    pairs = with_target(sized, targets, ["size"]).select(
-        *PAIR, F.col("t_size").alias("target_size"), F.col("o_size").alias("other_size")
-    )
-    mine = rows_of_targets(item_counts(rows, items), targets).select(
+    mine = rows_of_targets(counts, targets).select(
         "corpus_id", "target", "item", F.col("n").alias("t_n")
     )
-    others = item_counts(rows, items).withColumnRenamed("name", "other")
     shared = (
-        salted_join(others, mine, ["corpus_id", "item"], ["other"])
-        .groupBy(*PAIR)
-        .agg(F.sum(F.least("n", "t_n")).alias("overlap"))
+        salted_join(
+            counts.withColumnRenamed("name", "other"), mine.drop("target"), ["corpus_id", "item"],
+            ["other"], how="left",
+        )
+        .groupBy("corpus_id", "other")
+        .agg(
+            F.sum("n").alias("other_size"),
+            F.sum(F.least("n", F.coalesce("t_n", F.lit(0).cast("bigint")))).alias("overlap"),
+        )
     )
-    return pairs.join(shared, PAIR, "left").select(
-        *PAIR, "target_size", "other_size",
-        F.coalesce("overlap", F.lit(0).cast("bigint")).alias("overlap"),
+    sizes = mine.groupBy("corpus_id").agg(F.sum("t_n").alias("target_size"))
+    asked = broadcast_if_few(targets.select("corpus_id", "target")).join(sizes, "corpus_id", "left")
+    pairs = salted_join(
+        submissions.select("corpus_id", F.col("name").alias("other")), asked, ["corpus_id"], ["other"]
+    ).filter(F.col("other") != F.col("target"))
+    # A submission without items has no row in ``shared``.
+    zero = F.lit(0).cast("bigint")
+    return pairs.join(shared, ["corpus_id", "other"], "left").select(
+        *PAIR, *[F.coalesce(c, zero).alias(c) for c in ("target_size", "other_size", "overlap")]
     )
 
 
@@ -123,13 +128,13 @@ def dice(overlap: Column, size1: Column, size2: Column, both_empty: float) -> Co
 
 
 def bag_scores(
-    rows: DataFrame, items: Column, targets: DataFrame, score: str, both_empty: float
+    submissions: DataFrame, counts: DataFrame, targets: DataFrame, score: str, both_empty: float
 ) -> DataFrame:
     """Dice coefficient of the item multisets of each pair.
 
     Over characters or tokens this never lies below the exact ratio of the sequences.
     """
-    pairs = bag_overlap(rows, items, targets)
+    pairs = bag_overlap(submissions, counts, targets)
     return pairs.select(
         *PAIR,
         dice(F.col("overlap"), F.col("target_size"), F.col("other_size"), both_empty).alias(score),

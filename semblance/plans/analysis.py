@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from semblance.functions import scores as S
 from semblance.functions.kernels import sequence_ratio, text_ratio
-from semblance.operators.features import build_features, grams, guard_size, shape_sequence
-from semblance.operators.pairs import PAIR, bag_scores, with_target
+from semblance.operators.features import build_features, guard_size, shape_grams
+from semblance.operators.pairs import PAIR, bag_scores, count_items, with_target
 from semblance.operators.tfidf import tfidf_cosine
 from semblance.operators.vectors import file_scores, vector_cosine, vector_topk
 from semblance.settings import TOP_K, TextOptions
@@ -18,7 +18,7 @@ METRICS = ["raw", "processed", "ast", "token", "cosine", "vector"]
 
 def shape_scores(submissions: DataFrame, targets: DataFrame) -> DataFrame:
     """Structure score: Dice of shape k-grams; a text without code tokens scores 0."""
-    return bag_scores(shape_sequence(submissions), grams("shape"), targets, "ast", 0.0)
+    return bag_scores(submissions, count_items(shape_grams(submissions)), targets, "ast", 0.0)
 
 
 def analyze_fast(
