@@ -391,8 +391,7 @@ def block_norm(spark, sf):
 
 def _matches(spark, sf):
     modules = D.code_modules(spark, sf)
-    blocks = B.with_norm(B.code_blocks(modules))
-    return modules, blocks, B.block_matches(blocks, _targets(modules))
+    return modules, B.code_blocks(modules), B.block_matches(modules, _targets(modules))
 
 
 def _flat_lines(df: DataFrame) -> DataFrame:

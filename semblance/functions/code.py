@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from semblance.functions.text import BLANKS, WORD
 from semblance.settings import PYTHON_KEYWORDS
 
-# Strings, numbers, names, two-character operators, line feeds, then any other visible sign.
-CODE_TOKEN_PATTERN = (
+STRING_PATTERN = (
     r"\"{3}[\s\S]*?\"{3}|'{3}[\s\S]*?'{3}"
     r'|"[^"\\\n]*(?:\\[^\n][^"\\\n]*)*"'
     r"|'[^'\\\n]*(?:\\[^\n][^'\\\n]*)*'"
-    rf"|[0-9][{WORD}]*(?:\.[0-9][{WORD}]*)?"
+)
+# Strings, numbers, names, two-character operators, line feeds, then any other visible sign.
+CODE_TOKEN_PATTERN = (
+    rf"{STRING_PATTERN}|[0-9][{WORD}]*(?:\.[0-9][{WORD}]*)?"
     rf"|[{WORD}]+"
     r"|\*\*|//|==|!=|<=|>=|->|<<|>>|\n"
     rf"|[^\n{BLANKS}{WORD}]"
@@ -48,21 +50,27 @@ def explode_tokens(df: DataFrame, tokens_col: str) -> DataFrame:
     ).filter(F.col("token").isNotNull())
 
 
+def _first(token: Column) -> Column:
+    return F.substring(token, 1, 1)
+
+
 def is_string(token: Column) -> Column:
-    return token.rlike("^[\"']") & (F.length(token) > 1)
+    return _first(token).isin('"', "'") & (F.length(token) > 1)
 
 
 def is_number(token: Column) -> Column:
-    return token.rlike("^[0-9]") | token.isin("True", "False")
+    return _first(token).between("0", "9") | token.isin("True", "False")
 
 
 def is_name(token: Column) -> Column:
-    return token.rlike(rf"^[{WORD}]") & ~token.rlike("^[0-9]") & ~token.isin(PYTHON_KEYWORDS)
+    return (
+        ~_first(token).between("0", "9") & token.rlike(rf"^[{WORD}]") & ~token.isin(PYTHON_KEYWORDS)
+    )
 
 
 def is_call(token: Column, before: Column, after: Column) -> Column:
     defines = F.coalesce(before.isin("def", "class"), F.lit(False))
-    return is_name(token) & F.coalesce(after == "(", F.lit(False)) & ~defines
+    return F.coalesce(after == "(", F.lit(False)) & ~defines & is_name(token)
 
 
 def starts_statement(before: Column) -> Column:

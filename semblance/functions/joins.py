@@ -7,12 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from semblance.settings import BROADCAST_ROWS, SALTS
+from semblance.settings import BROADCAST_ROWS, MAX_SALTS, MIN_SALTS, PARTITIONS_PER_SALT
+
+
+def salt_count(df: DataFrame) -> int:
+    """How many ways a hot key is split: more on a cluster that shuffles into more partitions."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(MIN_SALTS, min(MAX_SALTS, partitions // PARTITIONS_PER_SALT))
 
 
 def salt_of(columns: Sequence[str], salts: int) -> Column:
     """A salt that depends on row content only, so a recomputed task gives the same value."""
-    return F.pmod(F.xxhash64(*columns), F.lit(salts)).cast("int")
+    # Never NULL, so that joins need no NULL filter and exchanges of the same rows can be reused.
+    return F.coalesce(F.pmod(F.xxhash64(*columns), F.lit(salts)).cast("int"), F.lit(0))
 
 
 def salted_join(
@@ -20,7 +27,7 @@ def salted_join(
     per_key: DataFrame,
     keys: Sequence[str],
     spread_by: Sequence[str],
-    salts: int = SALTS,
+    salts: int | None = None,
     how: str = "inner",
 ) -> DataFrame:
     """Equi-join many rows per key with a side that holds one short list per key.
@@ -29,6 +36,7 @@ def salted_join(
     copied to each part, so no task receives a whole hot key. Adaptive execution may split
     further or, after measuring ``per_key``, turn the join into a broadcast.
     """
+    salts = salts or salt_count(rows)
     left = rows.withColumn("_salt", salt_of(spread_by, salts))
     copies = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(copies, [*keys, "_salt"], how).drop("_salt")
@@ -44,6 +52,18 @@ def broadcast_if_few(names: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFr
     return names
 
 
+def narrow_join(
+    rows: DataFrame, stored: DataFrame, keys: Sequence[str], spread_by: Sequence[str], how: str = "inner"
+) -> DataFrame:
+    """Join many rows with a stored table of short rows, without moving the rows if it is small.
+
+    ``stored`` is counted first; above the bound the join shuffles with salted keys.
+    """
+    if stored.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(stored), list(keys), how)
+    return salted_join(rows, stored, keys, spread_by, how=how)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Give expensive row-wise work enough tasks when the input has fewer splits than cores.
 

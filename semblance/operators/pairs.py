@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from semblance.functions.joins import broadcast_if_few, salted_join
+from semblance.functions.joins import broadcast_if_few, narrow_join, salted_join
 from semblance.functions.kernels import sequence_ratio, text_ratio
+from semblance.session import cut_lineage
 
 PAIR = ["corpus_id", "target", "other"]
 
@@ -93,13 +94,12 @@ def bag_overlap(submissions: DataFrame, counts: DataFrame, targets: DataFrame) -
     Every other row meets at most one target row per item, and a common item is split by a salt
     of the submission's name, so neither hot items nor hot corpora gather in one task.
     """
-    mine = rows_of_targets(counts, targets).select(
-        "corpus_id", "target", "item", F.col("n").alias("t_n")
+    mine = cut_lineage(
+        rows_of_targets(counts, targets).select("corpus_id", "item", F.col("n").alias("t_n"))
     )
     shared = (
-        salted_join(
-            counts.withColumnRenamed("name", "other"), mine.drop("target"), ["corpus_id", "item"],
-            ["other"], how="left",
+        narrow_join(
+            counts.withColumnRenamed("name", "other"), mine, ["corpus_id", "item"], ["other"], how="left"
         )
         .groupBy("corpus_id", "other")
         .agg(

@@ -23,8 +23,13 @@ def get_spark(app: str = "semblance", master: str | None = None, **conf: str) ->
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin the runtime settings that results depend on. Timestamps are UTC throughout."""
+    """Pin the time zone, which results depend on, and let measured sizes choose the join.
+
+    Adaptive execution turns a sort-merge join into a hash join only where every partition of the
+    measured side stays below the threshold.
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64MB")
     return spark
 
 

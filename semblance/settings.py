@@ -20,8 +20,11 @@ MESSAGE_LIMIT = 500
 SHAPE_GRAM = 3
 NOTEBOOK_SEPARATOR = "\n\n# === CELL SEPARATOR ===\n\n"
 
-# How many ways a join key is split when one key may hold a large share of all rows.
-SALTS = 16
+# How many ways a join key is split when one key may hold a large share of all rows: one part per
+# so many shuffle partitions, within bounds.
+PARTITIONS_PER_SALT = 32
+MIN_SALTS = 2
+MAX_SALTS = 128
 # Largest table of names (one short row each) that may be broadcast.
 BROADCAST_ROWS = 200_000
 
