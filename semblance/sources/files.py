@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import urlsplit
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,9 +58,9 @@ def scan_folder(
         spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
         .select(F.col("path"), F.col("content"))
     )
-    root = F.lit(folder.rstrip("/") + "/")
-    decoded = F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B")))
-    name = F.substring_index(decoded, root, -1)
+    # The scheme and host of a listed path may be spelled differently, so only the path counts.
+    root = urlsplit(folder).path.rstrip("/") + "/"
+    name = F.substr("path", F.locate(root, "path") + len(root))
     named = files.withColumn("name", name).filter(keeps_file(F.col("name"), patterns, exclude))
     return named.select(
         "name", member_text(F.col("name"), F.col("content")).alias("raw_text")

@@ -1,0 +1,37 @@
+import sys
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+
+from semblance.session import get_spark  # noqa: E402
+
+
+@pytest.fixture(scope="session")
+def spark():
+    session = get_spark(
+        "tests", "local[4]",
+        **{
+            "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false",
+            "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g",
+        },
+    )
+    session.sparkContext.setLogLevel("ERROR")
+    yield session
+    session.stop()
+
+
+@pytest.fixture(scope="session")
+def corpus(spark):
+    """Build ``submissions`` from ``{corpus: {name: text}}``; names arrive in the given order."""
+
+    def build(corpora):
+        rows = [
+            (corpus_id, name, text, i)
+            for corpus_id, files in corpora.items()
+            for i, (name, text) in enumerate(files.items())
+        ]
+        return spark.createDataFrame(rows, "corpus_id string, name string, raw_text string, ingest_order long")
+
+    return build
