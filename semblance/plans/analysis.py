@@ -29,7 +29,7 @@ def analyze_fast(
     fitting = F.when(F.col("error").isNull(), F.col("raw_text"))
     features = build_features(submissions, options).withColumn("raw_text", fitting)
     pairs = with_target(features, targets, ["raw_text", "processed_text", "tokens"])
-    exact = pairs.repartition(*PAIR).select(
+    exact = pairs.select(
         *PAIR,
         text_ratio("t_raw_text", "o_raw_text").alias("raw"),
         text_ratio("t_processed_text", "o_processed_text").alias("processed"),

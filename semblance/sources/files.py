@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
-from urllib.parse import urlsplit
 
+from pyarrow.fs import FileSelector, FileSystem, FileType
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,9 @@ from semblance.functions.text import is_nonblank
 from semblance.functions.urls import clean_name, keeps_file, url_filename
 from semblance.settings import NOTEBOOK_SEPARATOR
 
+# Ship the file helpers inside the task, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 NOTEBOOK_SCHEMA = "cells array<struct<cell_type: string, source: variant>>"
 
 
@@ -47,22 +52,52 @@ def member_text(path: Column, content: Column) -> Column:
     return F.when(F.lower(path).endswith(".ipynb"), notebook_code(text)).otherwise(text)
 
 
+def _list_files(batches):
+    """``(root, path)`` of every file at or below each given entry."""
+    import pandas as pd
+    from pyarrow.fs import FileSelector, FileSystem, FileType
+
+    for batch in batches:
+        for root, entry in zip(batch["root"], batch["path"]):
+            system, _ = FileSystem.from_uri(root)
+            infos = [system.get_file_info(entry)]
+            if infos[0].type == FileType.Directory:
+                infos = system.get_file_info(FileSelector(entry, recursive=True))
+            paths = [i.path for i in infos if i.type == FileType.File]
+            yield pd.DataFrame({"root": [root] * len(paths), "path": paths})
+
+
+def _read_files(batches):
+    """``(name, content)``, one frame per file so that memory holds a single file."""
+    import pandas as pd
+    from pyarrow.fs import FileSystem
+
+    for batch in batches:
+        for root, path, name in zip(batch["root"], batch["path"], batch["name"]):
+            system, _ = FileSystem.from_uri(root)
+            with system.open_input_stream(path) as stream:
+                yield pd.DataFrame({"name": [name], "content": [stream.read()]})
+
+
 def scan_folder(
     spark: SparkSession, folder: str, patterns: Sequence[str] = (), exclude: bool = True
 ) -> DataFrame:
     """Every non-blank file below ``folder`` as ``(name, raw_text)``, keyed by relative path.
 
-    Names are filtered before the content is read.
+    The file readers of Spark pass over names that start with a dot or an underscore, such as
+    ``__init__.py``, so tasks list and read the files themselves. The driver sees only the
+    entries directly in the folder, and names are filtered before any content is read.
     """
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-        .select(F.col("path"), F.col("content"))
-    )
-    # The scheme and host of a listed path may be spelled differently, so only the path counts.
-    root = urlsplit(folder).path.rstrip("/") + "/"
-    name = F.substr("path", F.locate(root, "path") + len(root))
+    system, base = FileSystem.from_uri(folder)
+    if system.get_file_info(base).type == FileType.NotFound:
+        return spark.createDataFrame([], "name string, raw_text string")
+    entries = [(folder, info.path) for info in system.get_file_info(FileSelector(base))]
+    tops = spark.createDataFrame(entries, "root string, path string")
+    files = tops.repartition(max(1, len(entries)), "path").mapInPandas(_list_files, tops.schema)
+    name = F.substr("path", F.lit(len(base.rstrip("/")) + 2))
     named = files.withColumn("name", name).filter(keeps_file(F.col("name"), patterns, exclude))
-    return named.select(
+    read = named.repartition("path").mapInPandas(_read_files, "name string, content binary")
+    return read.select(
         "name", member_text(F.col("name"), F.col("content")).alias("raw_text")
     ).filter(is_nonblank(F.col("raw_text")))
 

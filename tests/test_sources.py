@@ -77,11 +77,15 @@ def test_folder_scan(spark, tmp_path):
     (tmp_path / "sub dir" / "é.txt").write_bytes("ok é".encode() + b"\xff\xfe!")
     (tmp_path / "sub dir" / "blank.txt").write_text(" \n")
     (tmp_path / "sub dir" / "__pycache__" / "x.py").write_text("hidden")
+    (tmp_path / "sub dir" / "__init__.py").write_text("init")
+    (tmp_path / ".hidden").write_text("dot")
     (tmp_path / "n.ipynb").write_text(json.dumps({"cells": [{"cell_type": "code", "source": ["a = 1\n", "b"]}]}))
     got = {r.name: r.raw_text for r in SF.scan_folder(spark, str(tmp_path), ["__pycache__"]).collect()}
-    assert got == {"a+b%20.py": "print(1)", "sub dir/é.txt": "ok é!", "n.ipynb": "a = 1\nb"}
+    assert got == {"a+b%20.py": "print(1)", "sub dir/é.txt": "ok é!", "n.ipynb": "a = 1\nb",
+                   "sub dir/__init__.py": "init", ".hidden": "dot"}
     only = SF.scan_folder(spark, str(tmp_path), ["*.py"], exclude=False)
-    assert {r.name for r in only.collect()} == {"a+b%20.py", "sub dir/__pycache__/x.py"}
+    assert {r.name for r in only.collect()} == {"a+b%20.py", "sub dir/__pycache__/x.py", "sub dir/__init__.py"}
+    assert SF.scan_folder(spark, str(tmp_path / "none")).count() == 0
 
 
 def test_notebooks(spark):
