@@ -60,6 +60,10 @@ def _targets(subs: DataFrame) -> DataFrame:
     return P.default_targets(subs)
 
 
+def _counted(items):
+    return lambda rows: P.item_counts(rows, items)
+
+
 # ---- sources and sinks ----
 
 
@@ -81,7 +85,7 @@ def notebook_cells(spark, sf):
 
 @query
 def page_articles(spark, sf):
-    return SF.page_articles(D.table(spark, sf, "pages")).select("page_id", "name", "raw_text")
+    return SF.page_articles(D.pages(spark, sf)).select("page_id", "name", "raw_text")
 
 
 @query
@@ -318,20 +322,20 @@ def tfidf_cosine(spark, sf):
 @query
 def raw_bound(spark, sf):
     subs = D.submissions(spark, sf)
-    return P.bag_scores(subs, P.item_counts(subs, X.characters(F.col("raw_text"))), _targets(subs), "bound", 1.0)
+    return P.bag_scores(subs, _counted(X.characters(F.col("raw_text"))), _targets(subs), "bound", 1.0)
 
 
 @query
 def processed_bound(spark, sf):
     subs = D.submissions(spark, sf)
     items = X.characters(X.preprocess(F.col("raw_text")))
-    return P.bag_scores(subs, P.item_counts(subs, items), _targets(subs), "bound", 1.0)
+    return P.bag_scores(subs, _counted(items), _targets(subs), "bound", 1.0)
 
 
 @query
 def token_dice(spark, sf):
     subs = D.submissions(spark, sf)
-    return P.bag_scores(subs, P.item_counts(subs, X.tokens(X.preprocess(F.col("raw_text")))), _targets(subs), "dice", 0.0)
+    return P.bag_scores(subs, _counted(X.tokens(X.preprocess(F.col("raw_text")))), _targets(subs), "dice", 0.0)
 
 
 @query
@@ -595,7 +599,7 @@ def history_by_user(spark, sf):
 def _native_scores(spark, sf):
     subs = D.submissions(spark, sf)
     targets = _targets(subs)
-    dice = P.bag_scores(subs, P.item_counts(subs, X.tokens(F.col("raw_text"))), targets, "token", 0.0)
+    dice = P.bag_scores(subs, _counted(X.tokens(F.col("raw_text"))), targets, "token", 0.0)
     scores = dice.join(AN.shape_scores(subs, targets), P.PAIR).join(TF.tfidf_cosine(subs, targets), P.PAIR)
     return scores.select(*P.PAIR, *[F.round(m, 1).alias(m) for m in ("ast", "token", "cosine")])
 
@@ -614,7 +618,7 @@ def ranked_report(spark, sf):
 @query
 def score_bands(spark, sf):
     subs = D.submissions(spark, sf)
-    scores = P.bag_scores(subs, P.item_counts(subs, X.tokens(F.col("raw_text"))), _targets(subs), "score", 0.0)
+    scores = P.bag_scores(subs, _counted(X.tokens(F.col("raw_text"))), _targets(subs), "score", 0.0)
     return scores.select(
         *P.PAIR, S.overall_band(F.col("score")).alias("overall_band"), S.block_band(F.col("score")).alias("block_band")
     )

@@ -14,6 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "pages"), "page_id")
+
+
 def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as submissions: the source is the corpus."""
     docs = table(spark, sf_dir, "documents").select(

@@ -33,21 +33,22 @@ def code_tokens(code: Column) -> Column:
     return F.regexp_extract_all(code, F.lit(CODE_TOKEN_PATTERN), F.lit(0))
 
 
-def explode_tokens(df: DataFrame, tokens_col: str) -> DataFrame:
-    """One row per token with its position and its neighbours, built without a window."""
+def with_neighbours(toks: Column) -> Column:
+    """Each token ``t`` with the one before it, ``b``, and the one after it, ``a``."""
+    n = F.size(toks)
     none = F.array(F.lit(None).cast("string"))
-    toks = F.col(tokens_col)
-    zipped = F.arrays_zip(
-        toks.alias("token"),
-        F.concat(none, toks).alias("before"),
-        F.when(F.size(toks) > 0, F.slice(toks, 2, F.greatest(F.size(toks), F.lit(1)))).alias("after"),
+    return F.arrays_zip(
+        toks.alias("t"), F.slice(F.concat(none, toks), 1, n).alias("b"), F.slice(toks, 2, n).alias("a")
     )
+
+
+def explode_tokens(df: DataFrame, tokens_col: str) -> DataFrame:
+    """One row per token with its neighbours, built without a window."""
     kept = [c for c in df.columns if c != tokens_col]
-    out = df.select(*kept, F.posexplode(zipped).alias("pos", "z"))
-    return out.select(
-        *kept, "pos", F.col("z.token").alias("token"), F.col("z.before").alias("before"),
-        F.col("z.after").alias("after"),
-    ).filter(F.col("token").isNotNull())
+    rows = df.select(*kept, F.explode(with_neighbours(F.col(tokens_col))).alias("z"))
+    return rows.select(
+        *kept, F.col("z.t").alias("token"), F.col("z.b").alias("before"), F.col("z.a").alias("after")
+    )
 
 
 def _first(token: Column) -> Column:

@@ -64,6 +64,16 @@ def narrow_join(
     return salted_join(rows, stored, keys, spread_by, how=how)
 
 
+def compute_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add costly columns so that later filters read them instead of computing them again.
+
+    The optimizer moves a filter below a plain projection and repeats the expression there. It
+    cannot move it below the generator used here.
+    """
+    struct = F.struct(*[value.alias(name) for name, value in columns.items()])
+    return df.select("*", F.inline(F.array(struct)))
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Give expensive row-wise work enough tasks when the input has fewer splits than cores.
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from semblance.functions import code as C
 from semblance.functions import text as X
+from semblance.functions.arrays import let
 from semblance.settings import CHUNK_OVERLAP, CHUNK_TOKENS, MAX_TEXT_BYTES, SHAPE_GRAM, TextOptions
 
 
@@ -52,55 +53,69 @@ def chunk_texts(
     )
 
 
-def code_token_rows(submissions: DataFrame, text: str = "raw_text") -> DataFrame:
-    """Code tokens of the comment-free text, one row each, line feeds included."""
-    toks = submissions.select(
-        "corpus_id", "name", C.code_tokens(X.strip_comments(F.col(text))).alias("toks")
-    )
-    return C.explode_tokens(toks, "toks")
-
-
 def structure_profile(submissions: DataFrame, preserve_names: bool = False) -> DataFrame:
-    """How often each element of four families occurs in a submission."""
+    """How often each element of four families occurs in a submission.
+
+    Equal tokens in equal surroundings are counted first, so that only distinct ones are
+    classified; placed by name, neither count needs a shuffle.
+    """
     token, before, after = F.col("token"), F.col("before"), F.col("after")
+    placed = submissions.repartition("corpus_id", "name").select(
+        "corpus_id", "name", C.code_tokens(X.strip_comments(F.col("raw_text"))).alias("toks")
+    )
+    distinct = (
+        C.explode_tokens(placed, "toks")
+        .select(
+            "corpus_id", "name", "token",
+            F.when(before.isin("def", "class", ";", "\n"), before).when(before.isNotNull(), "").alias("before"),
+            F.when(after == "(", "(").alias("after"),
+        )
+        .groupBy("corpus_id", "name", "token", "before", "after")
+        .agg(F.count("*").alias("n"))
+    )
     flow = F.create_map(*[F.lit(x) for pair in C.CONTROL_FLOW.items() for x in pair])
     called = token if preserve_names else F.lit("FUNC_CALL")
+
+    def element(family: str, item: Column) -> Column:
+        return F.struct(F.lit(family).alias("family"), item.alias("item"))
+
     families = F.array(
-        F.when(token != "\n", F.struct(F.lit("node_types").alias("family"), C.shape(token, before, after).alias("item"))),
-        F.when(C.is_call(token, before, after), F.struct(F.lit("function_calls").alias("family"), called.alias("item"))),
+        F.when(token != "\n", element("node_types", C.shape(token, before, after))),
+        F.when(C.is_call(token, before, after), element("function_calls", called)),
         F.when(
             C.starts_statement(before) & token.isin(list(C.CONTROL_FLOW)),
-            F.struct(F.lit("control_flow").alias("family"), flow[token].alias("item")),
+            element("control_flow", flow[token]),
         ),
-        F.when(token.isin(C.OPERATORS), F.struct(F.lit("operators").alias("family"), token.alias("item"))),
+        F.when(token.isin(C.OPERATORS), element("operators", token)),
     )
     return (
-        code_token_rows(submissions)
-        .select("corpus_id", "name", F.explode(F.array_compact(families)).alias("f"))
+        distinct.select("corpus_id", "name", "n", F.explode(F.array_compact(families)).alias("f"))
         .groupBy("corpus_id", "name", F.col("f.family").alias("family"), F.col("f.item").alias("item"))
-        .agg(F.count("*").alias("n"))
+        .agg(F.sum("n").alias("n"))
     )
 
 
 def shape_grams(submissions: DataFrame, k: int = SHAPE_GRAM, text: str = "raw_text") -> DataFrame:
     """One row per k-gram of the shape classes of a submission, line feeds left out.
 
-    A submission with fewer than ``k`` tokens gives one gram of all its tokens. Placed by name
-    first, the tokens of a submission are classified and joined to grams without a shuffle.
+    A submission with fewer than ``k`` tokens gives one gram of all its tokens. The classes are
+    built as one array per submission, without rows per token and without a sort.
     """
-    token, before, after = F.col("token"), F.col("before"), F.col("after")
-    rows = code_token_rows(submissions.repartition("corpus_id", "name"), text).filter(token != "\n")
-    doc = Window.partitionBy("corpus_id", "name").orderBy("pos")
-    gram = F.array(F.col("shape"), *[F.lead("shape", i).over(doc) for i in range(1, k)])
-    shaped = rows.select("corpus_id", "name", "pos", C.shape(token, before, after).alias("shape"))
-    joined = shaped.withColumn("gram", gram).withColumn("at", F.row_number().over(doc))
-    whole = F.col("gram")[k - 1].isNotNull()
-    return joined.filter(whole | (F.col("at") == 1)).select(
-        "corpus_id", "name", F.array_join("gram", " ").alias("item")
+
+    def classes(toks: Column) -> Column:
+        visible = F.filter(C.with_neighbours(toks), lambda x: x["t"] != "\n")
+        return F.transform(visible, lambda x: C.shape(x["t"], x["b"], x["a"]))
+
+    placed = submissions.repartition("corpus_id", "name")
+    shaped = placed.select(
+        "corpus_id", "name", let(C.code_tokens(X.strip_comments(F.col(text))), classes).alias("shape")
+    )
+    return shaped.select("corpus_id", "name", F.explode_outer(grams("shape", k)).alias("item")).filter(
+        F.col("item").isNotNull()
     )
 
 
-def grams(items: str, k: int = SHAPE_GRAM):
+def grams(items: str, k: int = SHAPE_GRAM) -> Column:
     """The k-grams of an array column; a shorter array gives one gram of all its items."""
     arr = F.col(items)
     whole = F.when(F.size(arr) > 0, F.array(F.array_join(arr, " "))).otherwise(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -88,18 +88,22 @@ def count_items(exploded: DataFrame) -> DataFrame:
     return exploded.groupBy("corpus_id", "name", "item").agg(F.count("*").alias("n"))
 
 
-def bag_overlap(submissions: DataFrame, counts: DataFrame, targets: DataFrame) -> DataFrame:
+def bag_overlap(
+    submissions: DataFrame, count: Callable[[DataFrame], DataFrame], targets: DataFrame
+) -> DataFrame:
     """Shared item count of each pair, as a multiset, with both sizes.
 
-    Every other row meets at most one target row per item, and a common item is split by a salt
+    ``count`` turns submissions into ``(corpus_id, name, item, n)``. Every other row meets at most one target row per item, and a common item is split by a salt
     of the submission's name, so neither hot items nor hot corpora gather in one task.
     """
     mine = cut_lineage(
-        rows_of_targets(counts, targets).select("corpus_id", "item", F.col("n").alias("t_n"))
+        count(rows_of_targets(submissions, targets).withColumnRenamed("target", "name")).select(
+            "corpus_id", "item", F.col("n").alias("t_n")
+        )
     )
     shared = (
         narrow_join(
-            counts.withColumnRenamed("name", "other"), mine, ["corpus_id", "item"], ["other"], how="left"
+            count(submissions).withColumnRenamed("name", "other"), mine, ["corpus_id", "item"], ["other"], how="left"
         )
         .groupBy("corpus_id", "other")
         .agg(
@@ -128,13 +132,17 @@ def dice(overlap: Column, size1: Column, size2: Column, both_empty: float) -> Co
 
 
 def bag_scores(
-    submissions: DataFrame, counts: DataFrame, targets: DataFrame, score: str, both_empty: float
+    submissions: DataFrame,
+    count: Callable[[DataFrame], DataFrame],
+    targets: DataFrame,
+    score: str,
+    both_empty: float,
 ) -> DataFrame:
     """Dice coefficient of the item multisets of each pair.
 
     Over characters or tokens this never lies below the exact ratio of the sequences.
     """
-    pairs = bag_overlap(submissions, counts, targets)
+    pairs = bag_overlap(submissions, count, targets)
     return pairs.select(
         *PAIR,
         dice(F.col("overlap"), F.col("target_size"), F.col("other_size"), both_empty).alias(score),

@@ -18,7 +18,7 @@ METRICS = ["raw", "processed", "ast", "token", "cosine", "vector"]
 
 def shape_scores(submissions: DataFrame, targets: DataFrame) -> DataFrame:
     """Structure score: Dice of shape k-grams; a text without code tokens scores 0."""
-    return bag_scores(submissions, count_items(shape_grams(submissions)), targets, "ast", 0.0)
+    return bag_scores(submissions, lambda rows: count_items(shape_grams(rows)), targets, "ast", 0.0)
 
 
 def analyze_fast(

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semblance.functions import html as H
+from semblance.functions.joins import compute_once
 from semblance.functions.text import is_nonblank
 from semblance.functions.urls import clean_name, keeps_file, url_filename
 from semblance.settings import NOTEBOOK_SEPARATOR
@@ -97,19 +98,16 @@ def scan_folder(
     name = F.substr("path", F.lit(len(base.rstrip("/")) + 2))
     named = files.withColumn("name", name).filter(keeps_file(F.col("name"), patterns, exclude))
     read = named.repartition("path").mapInPandas(_read_files, "name string, content binary")
-    return read.select(
-        "name", member_text(F.col("name"), F.col("content")).alias("raw_text")
-    ).filter(is_nonblank(F.col("raw_text")))
+    texts = compute_once(read, raw_text=member_text(F.col("name"), F.col("content")))
+    return texts.filter(is_nonblank(F.col("raw_text"))).select("name", "raw_text")
 
 
 def page_articles(pages: DataFrame) -> DataFrame:
     """Article submissions from ``pages(url, html, ...)``: title, authors, date and body."""
-    fields = pages.select(
-        "*",
-        H.page_title(F.col("html")).alias("title"),
-        H.page_authors(F.col("html")).alias("authors"),
-        H.page_date(F.col("html")).alias("published"),
-        H.page_text(F.col("html")).alias("body"),
+    html = F.col("html")
+    fields = compute_once(
+        pages, title=H.page_title(html), authors=H.page_authors(html), published=H.page_date(html),
+        body=H.page_text(html),
     )
     parts = F.concat_ws(
         "\n\n",

@@ -55,7 +55,9 @@ def test_bounds_and_symmetry(corpus):
     files = {f"f{i}": "".join(rng.choice("ab cd\né") for _ in range(rng.randint(0, 60))) for i in range(25)}
     subs = corpus({"c": files})
     targets = P.default_targets(subs)
-    counts = P.item_counts(subs, X.characters(F.col("raw_text")))
+    def counts(rows):
+        return P.item_counts(rows, X.characters(F.col("raw_text")))
+
     bound = scored(P.bag_scores(subs, counts, targets, "b", 1.0), "b")
     exact = scored(P.text_scores(subs, targets, {"raw_text": "raw"}), "raw")
     assert len(bound) == len(exact) == 24
