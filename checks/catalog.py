@@ -24,6 +24,7 @@ from semblance.operators import vectors as VE
 from semblance.operators import workspaces as W
 from semblance.plans import analysis as AN
 from semblance.plans import regions as RE
+from semblance.plans.harvest import refresh_urls
 from semblance.plans.preprocess import preprocess_with_cache
 from semblance.sources import files as SF
 from semblance.sources import sinks as SK
@@ -535,17 +536,13 @@ def tag_urls(spark, sf):
 @query
 def cache_upsert(spark, sf):
     messages, marks = D.messages(spark, sf), D.marks(spark, sf)
-    latest = V.latest_messages(messages, marks)
-    fresh = V.tag_urls(latest)
     # The cache of an earlier run: every address seen so far, with its first message.
     cached = messages.select(
         "channel_id", F.explode(F.array(F.lit("en"), F.lit("fr"))).alias("tag"),
         F.explode(U.find_urls(F.col("content"))).alias("url"), F.col("msg_id").alias("pos"),
     ).groupBy("channel_id", "tag", "url").agg(F.min("pos").alias("pos"))
-    merged = V.merge_into_cache(cached, fresh)
-    old = marks.select("channel_id", ST.plain_tag(F.col("tag")).alias("tag"), "last_message_id",
-                       F.lit(FIXED_TIME).cast("timestamp").alias("last_scraped_at"))
-    heads = V.next_marks(latest, fresh, old, F.lit(AS_OF).cast("timestamp"))
+    old = marks.withColumn("last_scraped_at", F.lit(FIXED_TIME).cast("timestamp"))
+    merged, heads = refresh_urls(messages, cached, old, F.lit(AS_OF).cast("timestamp"))
     return merged.join(heads, ["channel_id", "tag"], "left").select(
         "channel_id", "tag", "url", "age", "p1", "p2", "last_message_id",
         F.unix_micros("last_scraped_at").alias("scraped_us"),
@@ -579,7 +576,7 @@ def url_changed(spark, sf):
 @query
 def workspaces_newest(spark, sf):
     ranked = W.newest_first(D.workspaces(spark, sf), ["username"], "event_id")
-    return ranked.select("username", "instance_id", "name", "rank")
+    return ranked.select("username", "instance_id", "name", F.unix_micros("created_at").alias("created_us"))
 
 
 @query
@@ -590,7 +587,9 @@ def history_by_user(spark, sf):
     everything = history.select("username", F.lit(None).cast("string").alias("instance_id")).distinct()
     asked = everything.unionByName(history.select("username", F.lit("click").alias("instance_id")).distinct())
     found = W.look_up_history(history, asked)
-    return W.newest_first(found, ["username", "asked"], "event_id").select("username", "asked", "event_id", "rank")
+    return W.newest_first(found, ["username", "asked"], "event_id").select(
+        "username", "asked", "event_id", F.unix_micros("created_at").alias("created_us")
+    )
 
 
 # ---- reports ----

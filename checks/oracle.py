@@ -457,10 +457,10 @@ ORACLE["url_merge"] = """SELECT page_id, concat_ws(' ', url, split_part(url, '/'
   CASE WHEN lower(url) <> url THEN lower(url) END) AS merged FROM pages"""
 ORACLE["url_changed"] = """SELECT page_id, true AS changed, lower(url) <> url AS changed_again FROM pages"""
 ORACLE["workspaces_newest"] = """SELECT CAST(user_id AS VARCHAR) AS username, CAST(event_id AS VARCHAR) AS instance_id, event_type AS name,
-  row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id)::BIGINT AS rank FROM events"""
+  epoch_us(ts)::BIGINT AS created_us FROM events"""
 ORACLE["history_by_user"] = """WITH a AS (SELECT CAST(user_id AS VARCHAR) AS username, NULL::VARCHAR AS asked, event_id, ts FROM events
     UNION ALL SELECT CAST(user_id AS VARCHAR), 'click', event_id, ts FROM events WHERE event_type = 'click')
-  SELECT username, asked, event_id, row_number() OVER (PARTITION BY username, asked ORDER BY ts DESC, event_id)::BIGINT AS rank FROM a"""
+  SELECT username, asked, event_id, epoch_us(ts)::BIGINT AS created_us FROM a"""
 
 # ---- reports ----
 

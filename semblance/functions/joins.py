@@ -7,7 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from semblance.settings import BROADCAST_ROWS, MAX_SALTS, MIN_SALTS, PARTITIONS_PER_SALT
+from semblance.session import cut_lineage
+from semblance.settings import (
+    BROADCAST_ROWS,
+    MAX_SALTS,
+    MIN_SALTS,
+    PARTITIONS_PER_SALT,
+    ROWS_PER_PART,
+)
 
 
 def salt_count(df: DataFrame) -> int:
@@ -42,6 +49,40 @@ def salted_join(
     return left.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
+def split_join(
+    rows: DataFrame,
+    per_key: DataFrame,
+    keys: Sequence[str],
+    spread_by: Sequence[str],
+    how: str = "inner",
+    rows_per_part: int | None = None,
+) -> DataFrame:
+    """Equi-join like ``salted_join`` that splits only hot keys, each by its own size.
+
+    The rows per key are counted from the key columns alone. A key with ``n`` rows above the limit
+    gets ``n / rows_per_part`` parts, so its parts stay of one size however large it grows, and the
+    other side is copied for these keys only. Hot keys are few by construction; should they exceed
+    the broadcast bound, all keys are salted instead.
+    """
+    limit = rows_per_part or ROWS_PER_PART
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit)
+    hot = cut_lineage(sizes.select(*keys, F.ceil(F.col("_n") / limit).cast("int").alias("_parts")))
+    n_hot = hot.limit(BROADCAST_ROWS + 1).count()
+    if n_hot == 0:
+        return rows.join(per_key, list(keys), how)
+    if n_hot > BROADCAST_ROWS:
+        return salted_join(rows, per_key, keys, spread_by, how=how)
+    parts = F.coalesce("_parts", F.lit(1))
+    salt = F.coalesce(F.pmod(F.xxhash64(*spread_by), parts).cast("int"), F.lit(0))
+    left = rows.join(F.broadcast(hot), list(keys), "left").withColumn("_salt", salt).drop("_parts")
+    copies = (
+        per_key.join(F.broadcast(hot), list(keys), "left")
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1)))
+        .drop("_parts")
+    )
+    return left.join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
 def broadcast_if_few(names: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a table of short rows for broadcast only after counting that it is small.
 

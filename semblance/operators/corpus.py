@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semblance.functions.joins import salted_join
+from semblance.functions.joins import salted_join, split_join
 from semblance.functions.text import is_nonblank
 from semblance.functions.urls import keeps_member, without_extension
 from semblance.settings import MAX_STORED_BYTES
@@ -35,7 +35,7 @@ def name_submissions(members: DataFrame) -> DataFrame:
     second = F.nullif(F.get(parts, F.lit(1)), F.lit(""))
     name = F.when(F.col("_container") & second.isNotNull(), second).otherwise(F.col("_top"))
     return (
-        salted_join(named, tops, ["archive"], ["archive", "member_path"], how="left")
+        split_join(named, tops, ["archive"], ["archive", "member_path"], how="left")
         .withColumn("name", name)
         .drop("_top", "_container")
     )

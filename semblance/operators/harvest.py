@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from semblance.functions.joins import salted_join
+from semblance.functions.joins import split_join
 from semblance.functions.urls import find_urls
 from semblance.settings import MESSAGE_LIMIT
 from semblance.sources.tables import plain_tag
@@ -20,7 +20,7 @@ TAGGED = ["channel_id", "tag"]
 def messages_after(messages: DataFrame, marks: DataFrame) -> DataFrame:
     """Each requested ``(channel_id, tag)`` with the messages after its marker."""
     wanted = marks.select("channel_id", plain_tag(F.col("tag")).alias("tag"), "last_message_id")
-    joined = salted_join(messages, wanted, ["channel_id"], ["msg_id"])
+    joined = split_join(messages, wanted, ["channel_id"], ["msg_id"])
     after = F.coalesce(F.col("last_message_id").try_cast("bigint"), F.lit(-1).cast("bigint"))
     return joined.filter(F.col("msg_id") > after).drop("last_message_id")
 

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from semblance.functions.joins import broadcast_if_few, narrow_join, salted_join
+from semblance.functions.joins import broadcast_if_few, narrow_join, split_join
 from semblance.functions.kernels import sequence_ratio, text_ratio
 from semblance.session import cut_lineage
 
@@ -34,7 +34,7 @@ def missing_targets(requests: DataFrame, submissions: DataFrame) -> DataFrame:
 def target_pairs(submissions: DataFrame, targets: DataFrame) -> DataFrame:
     """The names of all pairs to score: linear in the submissions, never all against all."""
     others = submissions.select("corpus_id", F.col("name").alias("other"))
-    pairs = salted_join(others, targets.select("corpus_id", "target"), ["corpus_id"], ["other"])
+    pairs = split_join(others, targets.select("corpus_id", "target"), ["corpus_id"], ["other"])
     return pairs.filter(F.col("other") != F.col("target")).select(*PAIR)
 
 
@@ -56,7 +56,7 @@ def with_target(rows: DataFrame, targets: DataFrame, columns: Sequence[str]) ->
     others = rows.select(
         "corpus_id", F.col("name").alias("other"), *[F.col(c).alias(f"o_{c}") for c in columns]
     )
-    joined = salted_join(others, mine, ["corpus_id"], ["other"])
+    joined = split_join(others, mine, ["corpus_id"], ["other"])
     return joined.filter(F.col("other") != F.col("target"))
 
 
@@ -113,7 +113,7 @@ def bag_overlap(
     )
     sizes = mine.groupBy("corpus_id").agg(F.sum("t_n").alias("target_size"))
     asked = broadcast_if_few(targets.select("corpus_id", "target")).join(sizes, "corpus_id", "left")
-    pairs = salted_join(
+    pairs = split_join(
         submissions.select("corpus_id", F.col("name").alias("other")), asked, ["corpus_id"], ["other"]
     ).filter(F.col("other") != F.col("target"))
     # A submission without items has no row in ``shared``.

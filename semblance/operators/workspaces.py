@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semblance.functions.joins import salted_join
+from semblance.functions.joins import split_join
 
 OWNED = ["instance_id", "username"]
 
@@ -21,19 +21,17 @@ def of_user(rows: DataFrame, username: str, instance_id: str | None = None) -> D
 
 
 def newest_first(rows: DataFrame, owner: Sequence[str], tie: str) -> DataFrame:
-    """The listings of all owners at once: ``rank`` 1 is the newest row of its owner.
+    """The listings of all owners at once, newest first within each owner.
 
-    Ranking every row of an owner needs them in one sort; an owner's listing is the result
-    itself, so use ``of_user`` where one listing is wanted.
+    The rows are range-partitioned by the whole sort key, so a busy owner is spread over tasks.
     """
-    newest = Window.partitionBy(*owner).orderBy(F.desc("created_at"), tie)
-    return rows.withColumn("rank", F.row_number().over(newest))
+    return rows.orderBy(*owner, F.desc("created_at"), tie)
 
 
 def look_up_history(history: DataFrame, requests: DataFrame) -> DataFrame:
     """History rows for ``requests(username, instance_id)``; a NULL workspace asks for all."""
     wanted = requests.select("username", F.col("instance_id").alias("asked"))
-    joined = salted_join(history, wanted, ["username"], ["created_at"])
+    joined = split_join(history, wanted, ["username"], ["created_at"])
     return joined.filter(F.col("asked").isNull() | (F.col("asked") == F.col("instance_id")))
 
 

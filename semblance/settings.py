@@ -24,7 +24,9 @@ NOTEBOOK_SEPARATOR = "\n\n# === CELL SEPARATOR ===\n\n"
 # so many shuffle partitions, within bounds.
 PARTITIONS_PER_SALT = 32
 MIN_SALTS = 2
-MAX_SALTS = 128
+MAX_SALTS = 16
+# A key with more rows than this is split into parts of about this many rows.
+ROWS_PER_PART = 100_000
 # Largest table of names (one short row each) that may be broadcast.
 BROADCAST_ROWS = 200_000
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from semblance.functions import text as X
-from semblance.functions.joins import narrow_join, salted_join
+from semblance.functions.joins import narrow_join, salted_join, split_join
 from semblance.functions.kernels import indel_ratio
 from semblance.operators import features as A
 from semblance.operators import pairs as P
@@ -126,6 +126,8 @@ def test_hot_key_join_keeps_all_rows(spark):
     side = rows.select("k").distinct().withColumn("v", F.length("k"))
     plain = {tuple(r) for r in rows.join(side, "k").collect()}
     assert {tuple(r) for r in salted_join(rows, side, ["k"], ["id"], salts=7).collect()} == plain
+    assert {tuple(r) for r in split_join(rows, side, ["k"], ["id"], rows_per_part=100).collect()} == plain
+    assert {tuple(r) for r in split_join(rows, side, ["k"], ["id"]).collect()} == plain
     assert {tuple(r) for r in narrow_join(rows, side, ["k"], ["id"]).collect()} == plain
 
 
@@ -138,3 +140,17 @@ def test_structure_profile(corpus):
     assert got[("operators", ">")] == got[("operators", "+")] == 1
     named = {r["item"] for r in A.structure_profile(subs, preserve_names=True).filter("family = 'function_calls'").collect()}
     assert named == {"range", "print"}
+
+
+def test_pairs_of_a_hot_corpus(corpus, monkeypatch):
+    """A corpus with most of the rows is split and still meets its target completely."""
+    from semblance.functions import joins
+
+    monkeypatch.setattr(joins, "ROWS_PER_PART", 7)
+    subs = corpus({"hot": {f"f{i}": f"word{i % 5} common" for i in range(90)}, "cold": {"a": "x y", "b": "x"}})
+    targets = P.default_targets(subs)
+    assert P.target_pairs(subs, targets).count() == 90
+    scores = scored(P.text_scores(subs, targets, {"raw_text": "raw"}), "raw")
+    assert len(scores) == 90 and scores[("hot", "f5")] == 1.0
+    cosine = scored(TF.tfidf_cosine(subs, targets), "cosine")
+    assert len(cosine) == 90 and cosine[("hot", "f5")] == pytest.approx(1.0)

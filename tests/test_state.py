@@ -11,6 +11,7 @@ from semblance.operators import pairs as P
 from semblance.operators import vectors as VE
 from semblance.operators import workspaces as W
 from semblance.plans import analysis as AN
+from semblance.plans.harvest import refresh_urls
 from semblance.plans.preprocess import preprocess_all, preprocess_with_cache
 from semblance.sources import tables as ST
 from semblance.streaming import streams as SM
@@ -127,6 +128,12 @@ def test_harvest_and_cache(spark):
     heads = {r.tag: r for r in V.next_marks(latest, fresh, old, F.lit("2024-01-01").cast("timestamp")).collect()}
     assert heads["nlp"].last_message_id == "4" and heads["nlp"].last_scraped_at == dt.datetime(2024, 1, 1)
     assert heads["none"].last_message_id is None
+    at = F.lit("2024-01-02").cast("timestamp")
+    forced, moved = refresh_urls(messages, cached, old, at, force=True)
+    assert "http://z.example" not in {r.url for r in forced.collect()} and forced.count() == 3
+    assert {r.tag: r.last_message_id for r in moved.collect()} == {"nlp": "4", "none": None}
+    again, _ = refresh_urls(messages, cached, old, at)
+    assert [r.url for r in again.orderBy("age", "p1", "p2").collect()] == [r.url for r in merged]
     assert ST.cached_urls(cached, "ch", "##nlp").count() == 2
     assert V.latest_messages(messages, marks, limit=1).filter("channel_id = 'ch'").first().msg_id == 4
 
@@ -137,6 +144,7 @@ def test_workspaces(spark):
     spaces = spark.createDataFrame(rows, "instance_id string, username string, name string, github_urls array<string>, created_at timestamp")
     assert [r.name for r in W.of_user(spaces, "ann").collect()] == ["w2", "w1"]
     assert [r.name for r in W.of_user(spaces, "ann", "i1").collect()] == ["w1"]
+    assert [r.name for r in W.newest_first(spaces, ["username"], "instance_id").collect()] == ["w2", "w1", "w3"]
     ask = spark.createDataFrame([("i1", "bob"), ("i2", "ann")], "instance_id string, username string")
     assert {r.instance_id for r in W.delete_workspaces(spaces, ask).collect()} == {"i1", "i3"}
     new = ask.withColumn("github_urls", F.array(F.lit("n")))
