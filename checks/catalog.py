@@ -26,6 +26,7 @@ from semblance.plans import analysis as AN
 from semblance.plans import regions as RE
 from semblance.plans.harvest import refresh_urls
 from semblance.plans.preprocess import preprocess_with_cache
+from semblance.session import local_checkpoints
 from semblance.sources import files as SF
 from semblance.sources import sinks as SK
 from semblance.sources import tables as ST
@@ -42,7 +43,7 @@ def query(fn: Query) -> Query:
     """Register ``fn``; whole numbers leave as BIGINT and fractions rounded to six places."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = fn(spark, sf_dir)
+        df = fn(local_checkpoints(spark), sf_dir)
         out = []
         for field in df.schema.fields:
             col = F.col(f"`{field.name}`")

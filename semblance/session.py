@@ -35,19 +35,29 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from the stored copy.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return folder
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a local session
-    without that setting gets a folder of its own.
-    """
-    spark = df.sparkSession
+
+def local_checkpoints(spark: SparkSession) -> SparkSession:
+    """Name a folder for a local session that has none: for tests, checks and benchmarks only."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("spark.checkpoint.dir must name a shared folder")
-            folder = tempfile.mkdtemp(prefix="semblance-checkpoint-")
-        context.setCheckpointDir(folder)
+    if (
+        spark.conf.get("spark.checkpoint.dir", None) is None
+        and not context.getCheckpointDir()
+        and context.master.split("[")[0] == "local"
+    ):
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="semblance-checkpoint-"))
+    return spark
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and go on from the stored copy."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(checkpoint_folder(df.sparkSession))
     return df.checkpoint()

@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from semblance.session import get_spark  # noqa: E402
+from semblance.session import get_spark, local_checkpoints  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -18,6 +18,7 @@ def spark():
         },
     )
     session.sparkContext.setLogLevel("ERROR")
+    local_checkpoints(session)
     yield session
     session.stop()
 
