@@ -40,11 +40,10 @@ def byte_alphabet() -> list[str]:
 
 
 @lru_cache(maxsize=1)
-def _newer_characters() -> regex.Pattern:
+def _newer_characters() -> frozenset[str]:
     """Letters and digits that Python's Unicode tables lack; other tables may have them."""
     chars = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
-    found = [c for c in regex.findall(r"[\p{L}\p{N}]", chars) if unicodedata.category(c) == "Cn"]
-    return regex.compile("[" + "".join(map(regex.escape, found)) + "]" if found else r"(?!)")
+    return frozenset(c for c in regex.findall(r"[\p{L}\p{N}]", chars) if unicodedata.category(c) == "Cn")
 
 
 class Merges:
@@ -178,7 +177,7 @@ class Codec:
         return text.replace("Σ", "σ").lower() if self.lower else text
 
     def _split(self, text: str) -> list[str]:
-        if text.isascii() or not self.newer.search(text):
+        if text.isascii() or self.newer.isdisjoint(text):
             return self.parts.findall(self._normal(text))
         return [part for part, _ in self.rare[1].pre_tokenize_str(self.rare[0].normalize_str(text))]
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from semblance.llm import simhash
+from semblance.llm import bpe, simhash, token_counts
+from semblance.llm.storage import new_folder
 from semblance.session import local_checkpoints
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,3 +30,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query
 def op8_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_token_counts(spark, sf_dir):
+    # A cache of its own per call: every distinct content is a miss and is encoded.
+    cache = new_folder(spark, "token-cache")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), path, cache)
+
+
+@query
+def op10_bpe(spark, sf_dir):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return bpe.digests(bpe.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), path))
