@@ -1,0 +1,63 @@
+import html
+import random
+import re
+
+import pytest
+
+from semblance.llm import html_extract as H
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body>
+<header>Site</header><nav><ul><li><a href="/a">A</a></li></ul></nav><div class="cookie-notice">We use cookies.</div>
+<div class="ad">Buy now and save a lot of money today, this is a long advert with many words in it.</div>
+<article><h1>Title &amp; more</h1><p>First  <b>bold</b>\n paragraph of some length, with enough words.<br>Next.</p>
+<p>To.</p><aside>Side</aside><ul><li>one<li>two</ul><p>Last one &eacute;&#8217;&#x27; of the article, with words again</p>
+<form><label>Mail</label></form><section class="comments"><p>Reader says something very long here, really long.</p>
+</section></article><div id="sidebar">Links</div><footer>&copy; x</footer></body></html>"""
+
+
+def test_parts_of_a_page():
+    assert H.main_text(PAGE) == (
+        "Title & more First bold paragraph of some length, with enough words. Next. To. one two "
+        "Last one é’' of the article, with words again"
+    )
+
+
+@pytest.mark.parametrize("page, want", [
+    (None, ""), ("", ""), ("   ", ""), ("<p>", ""), ("just text &lt;b&gt;", "just text <b>"),
+    ("<nav>only a menu</nav>", ""), ("<p>a<p>b", "a b"), ("<article><h1>x&amp</h1><p><b>y<br></article><footer>f", "x& y"),
+    ("<div><p>one</p>two <i>th</i>ree</div>", "one two three"), ("<!-- c --><p>q</p><script>z", "q"),
+    ("<p>a &am b</p>", "a &am b"), ("<html><body class='has-sidebar'><p>kept</p>", "kept"),
+])
+def test_small_pages(page, want):
+    assert H.main_text(page) == want
+
+
+def test_page_without_article():
+    text = "A paragraph that is long enough to be the content of this page, word after word. "
+    page = ("<body><div><a href=1>x</a><a href=2>y</a></div><div><p>" + "</p><p>".join([text] * 8) + "</p><p>Hm.</p></div>"
+            "<div><span>a</span><span>b</span></div></body>")
+    assert H.main_text(page) == " ".join([text.strip()] * 8 + ["Hm."])
+
+
+def test_very_long_page():
+    words = " ".join(f"w{i}" for i in range(200_000))
+    assert H.main_text(f"<article><p>{words}</p></article>") == words
+
+
+def test_articles_of_the_table(spark):
+    """The text of the only article element, by patterns, equals the result on every given page."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r for r in H.extract(rows).collect()}
+    for r in rows.collect():
+        body = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
+        want = " ".join(html.unescape(re.sub(r"<[^>]*>", " ", body)).split())
+        assert got[r.page_id].text == want
+        assert got[r.page_id].n_chars == len(want)
+
+
+def test_rows(spark):
+    data = [(1, "u", "<p>x</p>", "t"), (1, "u", "<p>x</p>", "t"), (None, None, None, None)]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string, text string")
+    got = [tuple(r) for r in H.extract(pages).collect()]
+    assert sorted(got, key=repr) == sorted([(1, "u", "x", 1), (1, "u", "x", 1), (None, None, "", 0)], key=repr)
+    assert H.extract(pages.limit(0)).count() == 0
