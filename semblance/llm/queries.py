@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from semblance.llm import bpe, simhash, token_counts
-from semblance.llm.storage import new_folder
+from semblance.llm import bpe, html_extract, langid, quality, simhash, token_counts
+from semblance.llm.storage import held_out, new_folder
 from semblance.session import local_checkpoints
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +28,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_langid(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.train(docs.filter(~held_out("doc_id", 4, 2)))
+    found = langid.predict(docs, model)
+    return found.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+@query
+def op2_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    model = quality.train(docs, labels.filter(~held_out("doc_id", 4, 2)))
+    return quality.score(docs, model).select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", "predicted")
+
+
+@query
+def op3_html(spark, sf_dir):
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 @query
 def op8_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
