@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semblance.llm import bpe, html_extract, langid, quality, simhash, token_counts
+from semblance.llm import bpe, html_extract, langid, quality, simhash, token_counts, toxicity
 from semblance.llm.storage import held_out, new_folder
 from semblance.session import local_checkpoints
 
@@ -49,6 +49,14 @@ def op3_html(spark, sf_dir):
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+@query
+def op7_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    model = toxicity.train(docs, labels.filter(~held_out("doc_id", 3, 1)))
+    return toxicity.score(docs, model).select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", "predicted")
+
+
 @query
 def op8_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
