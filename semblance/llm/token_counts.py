@@ -19,6 +19,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from semblance.llm.storage import stored
+
 TOKEN_LIMIT = 2048
 CACHE_SCHEMA = "digest binary, n_tokens long, version string"
 
@@ -117,8 +119,9 @@ def token_counts(docs: DataFrame, path: str, cache: str, limit: int = TOKEN_LIMI
         normal_content(F.col("text"), path).alias("content"),
     ).withColumn("digest", F.unhex(F.sha2("content", 256)))
     known = read_cache(spark, cache, version)
+    narrow = stored(rows.select("doc_id", "n_bytes", "digest"), "digests")
     # One row stands for each missing digest: the lowest id, found without moving any content.
-    missing = rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).join(known, "digest", "left_anti")
+    missing = narrow.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).join(known, "digest", "left_anti")
     packed = rows.select("doc_id", "digest", "content").mapInArrow(
         _pack, "doc_id long, digest binary, content binary"
     )
@@ -128,6 +131,6 @@ def token_counts(docs: DataFrame, path: str, cache: str, limit: int = TOKEN_LIMI
     )
     counted = one_each.select("digest", "content").mapInArrow(_count(path), "digest binary, n_tokens long")
     counted.withColumn("version", F.lit(version)).write.mode("append").parquet(cache)
-    return rows.select("doc_id", "n_bytes", "digest").join(read_cache(spark, cache, version), "digest").select(
+    return narrow.join(read_cache(spark, cache, version), "digest").select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )
