@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semblance.llm import bpe, html_extract, langid, quality, simhash, token_counts, toxicity
+from semblance.llm import bpe, decontaminate, html_extract, langid, quality, simhash, substrings, token_counts, toxicity
 from semblance.llm.storage import held_out, new_folder
 from semblance.session import local_checkpoints
 
@@ -49,6 +49,17 @@ def op3_html(spark, sf_dir):
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+@query
+def op5_substrings(spark, sf_dir):
+    found = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "text", "n_units", "n_removed", "first_docs")
+
+
+@query
+def op6_decontaminate(spark, sf_dir):
+    return decontaminate.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op7_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -74,3 +85,28 @@ def op9_token_counts(spark, sf_dir):
 def op10_bpe(spark, sf_dir):
     path = public_tokenizers.path("word_bpe_49k.json")
     return bpe.digests(bpe.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), path))
+
+
+ORACLE["op6_decontaminate"] = r"""
+WITH items AS (
+    SELECT row_number() OVER () AS nr, item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS words
+    FROM benchmark
+), item_grams AS (
+    SELECT DISTINCT nr, item_id, least(5, len(words)) AS width,
+           unnest([array_to_string(words[i : i + least(5, len(words)) - 1], ' ')
+                   FOR i IN range(1, len(words) - least(5, len(words)) + 2)]) AS gram
+    FROM items WHERE len(words) > 0
+), docs AS (
+    SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS words FROM documents
+), doc_grams AS (
+    SELECT DISTINCT row, doc_id, width,
+           unnest([array_to_string(words[i : i + width - 1], ' ') FOR i IN range(1, len(words) - width + 2)]) AS gram
+    FROM docs, (SELECT DISTINCT width FROM item_grams) WHERE len(words) >= width
+), met AS (
+    SELECT d.row, any_value(d.doc_id) AS doc_id, i.nr, any_value(i.item_id) AS item_id, count(*) AS n
+    FROM doc_grams d JOIN item_grams i USING (width, gram) GROUP BY d.row, i.nr
+)
+SELECT doc_id, item_id, n / size AS containment
+FROM met JOIN (SELECT nr, count(*) AS size FROM item_grams GROUP BY nr) USING (nr)
+WHERE n / size >= 0.8
+"""
