@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 from semblance.llm.storage import sample_rows
 
 # Labelled texts of each kind that are learned from, chosen by the hash of their id.
-TOXIC_ROWS = 1500
-CLEAN_ROWS = 4000
+TOXIC_ROWS = 1200
+CLEAN_ROWS = 3000
 # Windows of a labelled text that are learned from, spread evenly over it.
-TRAIN_WINDOWS = 40
+TRAIN_WINDOWS = 24
 ACCEPT = 0.7
 WINDOW = 32
 STRIDE = 16
@@ -310,23 +310,24 @@ def fit(texts: list[list[list[str]]], labels: np.ndarray) -> Network:
         for k in range(FOLDS) for at in range(0, len(names), 20_000)
     ])
     owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-    index = np.zeros((len(owner), WINDOW), dtype=np.int64)
+    index = np.zeros((len(owner), WINDOW), dtype=np.int32)
     mask = np.zeros((len(owner), WINDOW), dtype=np.float32)
     for k, window in enumerate(w for t in texts for w in t):
         index[k, : len(window)] = [vocabulary[w] for w in window]
         mask[k, : len(window)] = 1
     index += (fold[owner] * len(names))[:, None]
-    hint = np.where(mask > 0, x_of[index][..., :2].sum(axis=-1), -9).max(axis=1)
+    odds = x_of[:, 0] + x_of[:, 1]
+    hint = np.where(mask > 0, odds[index], -9).max(axis=1)
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.weights.items()}
     step = 0
     for turn in range(ROUNDS + 1):
         if turn:
-            gates = net.gate_inputs(x_of)
-            hint = np.concatenate([
-                net.logits(np.ascontiguousarray(index[at:at + SCORED_WINDOWS].T),
-                           np.ascontiguousarray(mask[at:at + SCORED_WINDOWS].T), gates)
-                for at in range(0, len(index), SCORED_WINDOWS)
-            ])
+            hint = np.empty(len(index))
+            for at in range(0, len(index), SCORED_WINDOWS):
+                part = slice(at, at + SCORED_WINDOWS)
+                used, place = np.unique(index[part].T, return_inverse=True)
+                gates = net.gate_inputs(x_of[used])
+                hint[part] = net.logits(place.reshape(WINDOW, -1), np.ascontiguousarray(mask[part].T), gates)
         best = np.full(len(texts), -np.inf)
         np.maximum.at(best, owner, hint)
         if turn == ROUNDS:
@@ -387,12 +388,17 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clea
                 [batch.column(0), pa.array(rows, pa.list_(pa.string()))], ["label", "windows"]
             )
 
-    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select(
+    marked = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select(
         F.when(F.col("label") > 0, 1).otherwise(0).alias("label"), "text"
     )
-    found = texts.mapInArrow(cut, "label int, windows array<string>").limit(2 * (toxic_rows + clean_rows)).collect()
+    found = marked.mapInArrow(cut, "label int, windows array<string>").limit(2 * (toxic_rows + clean_rows)).collect()
     found.sort(key=lambda r: (r["label"], r["windows"]))
-    return fit([[w.split() for w in r["windows"]] for r in found], np.array([r["label"] for r in found]))
+    # One string object per distinct word keeps the driver's memory small.
+    one: dict[str, str] = {}
+    texts = [[[one.setdefault(w, w) for w in part.split()] for part in r["windows"]] for r in found]
+    labels = np.array([r["label"] for r in found])
+    del found
+    return fit(texts, labels)
 
 
 def score(docs: DataFrame, model: Network, accept: float = ACCEPT) -> DataFrame:
