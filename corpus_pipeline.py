@@ -1,5 +1,77 @@
-"""Stages from raw documents to token ids."""
-STAGES = []
+"""From raw documents to token ids: five stages, each over all that the one before it kept.
+
+Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is written as Parquet in
+the shared folder and read again as the next stage's documents. All but the last return the
+columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from semblance.llm import bpe, decontaminate, simhash, substrings, toxicity
+from semblance.llm.storage import held_out, stored
+from semblance.session import local_checkpoints
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity network does not reject; texts without words stay."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("toxic").alias("label"))
+    model = toxicity.train(docs, labels.filter(~held_out("doc_id", 3, 1)))
+    return toxicity.not_toxic(docs, model)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest id."""
+    return simhash.one_of_each(docs).select(*docs.columns)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages that an earlier document has; a document that is all repeats goes.
+
+    ``n_chars`` follows the text where it is cut.
+    """
+    cut = substrings.remove_repeats(docs, ("__units", "__removed", "__first")).filter(
+        (F.col("__removed") == 0) | F.col("text").rlike(r"\S")
+    )
+    if "n_chars" in docs.columns:
+        size = F.when(F.col("__removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+        cut = cut.withColumn("n_chars", size)
+    return cut.select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text, with digests of the ids and of the decoded text."""
+    encoded = bpe.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    kept = [c for c in ("doc_id", "lang", "source", "text") if c in docs.columns]
+    ids = F.concat_ws(" ", F.col("token_ids").cast("array<string>"))
+    return encoded.select(
+        *kept, "n_tokens", "token_ids", F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("substrings", cut_repeats),
+    ("decontamination", drop_contaminated),
+    ("tokens", encode),
+]
+
+# Learned scores, groups of near copies and merges are beyond SQL; tests/llm has a plain version.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = local_checkpoints(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

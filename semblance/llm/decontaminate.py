@@ -214,3 +214,24 @@ def contaminations(docs: DataFrame, items: DataFrame, threshold: float = CONTAIN
         scan = _scan(narrow, block, threshold)
         found = scan if found is None else found.union(scan)
     return found
+
+
+def clean_documents(docs: DataFrame, items: DataFrame, threshold: float = CONTAINMENT) -> DataFrame:
+    """The rows of ``docs`` that hold no item, with all their columns, without a shuffle.
+
+    Rows with a NULL text hold nothing and stay.
+    """
+    at = docs.columns.index("text")
+
+    def without(block: list[tuple[int, str]]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = ItemIndex(block)
+            for batch in batches:
+                free = [not (text and index.hits(text, threshold)) for text in batch.column(at).to_pylist()]
+                yield batch.filter(pa.array(free, pa.bool_()))
+
+        return run
+
+    for block in item_blocks(items):
+        docs = docs.mapInArrow(without(block), docs.schema)
+    return docs

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semblance.llm import bpe, decontaminate, html_extract, langid, quality, simhash, substrings, token_counts, toxicity
+from semblance.llm import ann, bpe, decontaminate, html_extract, langid, quality, simhash, substrings, token_counts, toxicity
 from semblance.llm.storage import held_out, new_folder
 from semblance.session import local_checkpoints
 
@@ -49,6 +49,11 @@ def op3_html(spark, sf_dir):
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+@query
+def op4_ann(spark, sf_dir):
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op5_substrings(spark, sf_dir):
     found = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))

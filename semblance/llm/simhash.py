@@ -59,14 +59,21 @@ def fingerprint(text: str | None, width: int = SHINGLE_WORDS) -> int:
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [fingerprint(t) for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
+        found = [fingerprint(t) for t in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(found, pa.int64())], ["doc_id", "text_key", "fp"]
+        )
+
+
+def text_key():
+    """Key of a text that tells rows of one id apart."""
+    return F.xxhash64("text")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``(doc_id, fp)`` of every row of ``docs(doc_id, text)``, whole texts."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        _fingerprint_batches, "doc_id long, fp long"
+    """``(doc_id, text_key, fp)`` of every row of ``docs(doc_id, text)``, whole texts."""
+    return docs.select(F.col("doc_id").cast("long"), text_key().alias("text_key"), "text").mapInArrow(
+        _fingerprint_batches, "doc_id long, text_key long, fp long"
     )
 
 
@@ -196,6 +203,21 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
         masks = {f: refined_masks(f, radius) for m in masks.values() for f in m}
 
 
+def classes(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``(doc_id, text_key, fp, component, component_id)`` of every row of ``docs(doc_id, text)``.
+
+    ``component`` is the smallest fingerprint reachable, ``component_id`` the smallest ``doc_id``.
+    """
+    marked = stored(fingerprints(docs), "fingerprints")
+    distinct = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    joined = components(links(distinct.select("fp"), radius))
+    labelled = distinct.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
+        "component", F.coalesce("component", "fp")
+    )
+    names = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
+    return marked.join(labelled.select("fp", "component").join(names, "component"), "fp")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` of every row of ``docs(doc_id, text)``.
 
@@ -204,14 +226,22 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     a row with a NULL ``doc_id`` keeps its row and takes part, but never names a component. Other
     columns are ignored; an empty table gives an empty result.
     """
-    marked = stored(fingerprints(docs), "fingerprints")
-    classes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    joined = components(links(classes.select("fp"), radius))
-    labelled = classes.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
-        "component", F.coalesce("component", "fp")
-    )
-    names = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_class = labelled.select("fp", "component").join(names, "component").select("fp", "component_id")
-    return marked.join(of_class, "fp").select(
+    return classes(docs, radius).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs`` that stay: one of each component, with all its columns.
+
+    The row of the smallest ``doc_id`` stays, NULL ids last, and of several texts under one id the
+    one of the smallest key. Rows with the same id and text are one.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id"), F.col("text_key"))
+    best = classes(docs, radius).groupBy("component").agg(F.min(order).alias("best"))
+    keep = best.select(F.col("best.doc_id").alias("__id"), F.col("best.text_key").alias("__text"))
+    keyed = docs.withColumn("__key", text_key())
+    kept = keyed.join(
+        keep, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__text")), "left_semi"
+    )
+    return kept.dropDuplicates(["doc_id", "__key"]).drop("__key")

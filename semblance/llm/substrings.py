@@ -141,16 +141,17 @@ def covered_units(cut: list[tuple[str, list[str]]], starts: set[int]) -> list[bo
     return gone
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, new: tuple[str, str, str] = ("n_units", "n_removed", "first_docs")) -> DataFrame:
     """``docs`` with repeated units cut from ``text``, plus ``n_units``, ``n_removed``, ``first_docs``.
 
+    ``new`` names these columns.
+
     The first occurrence is that of the lowest ``doc_id``, and in one text the one further left;
     NULL ids come last. Rows of one ``doc_id`` count as one document and do not empty each other.
     Texts without a repeated span stay as they are to the byte; NULL stays NULL; texts below
     ``SPAN_UNITS`` units or ``SPAN_WORDS`` words have no span. Columns called like a new one are
     replaced, all others pass through.
     """
-    new = ("n_units", "n_removed", "first_docs")
     kept = [f for f in docs.schema.fields if f.name not in new]
     names = [f.name for f in kept]
     at = names.index("text")
@@ -182,4 +183,4 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     columns = [F.col(f"`{n}`") for n in names]
     return joined.select(
         *columns, "__starts", F.array_sort(F.coalesce("__first", F.array().cast("array<bigint>"))).alias("__first")
-    ).mapInArrow(run, f"{fields}, n_units long, n_removed long, first_docs array<bigint>")
+    ).mapInArrow(run, f"{fields}, `{new[0]}` long, `{new[1]}` long, `{new[2]}` array<bigint>")

@@ -401,30 +401,36 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clea
     return fit(texts, labels)
 
 
+def _score_batch(model: Network, texts: pa.Array) -> np.ndarray:
+    return np.round(model.scores(texts.to_pylist()), 6)
+
+
 def score(docs: DataFrame, model: Network, accept: float = ACCEPT) -> DataFrame:
     """``(doc_id, score, predicted)`` of every row of ``docs(doc_id, text)``, over all windows.
 
     NULL texts and texts without words score 0. Repeated rows and NULL ids keep a row each; other
     columns are ignored.
     """
-    return scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model, accept).select(
-        "doc_id", "score", "predicted"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = _score_batch(model, batch.column(1))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(found, pa.float64()), pa.array((found >= accept).astype(np.int32))],
+                ["doc_id", "score", "predicted"],
+            )
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
+        run, "doc_id long, score double, predicted int"
     )
 
 
-def scored(docs: DataFrame, model: Network, accept: float = ACCEPT) -> DataFrame:
-    """``docs`` with ``score`` and ``predicted``, which replace columns of these names."""
-    kept = [f for f in docs.schema.fields if f.name not in ("score", "predicted")]
-    names = [f.name for f in kept]
-    at = names.index("text")
+def not_toxic(docs: DataFrame, model: Network, accept: float = ACCEPT) -> DataFrame:
+    """The rows of ``docs`` whose text scores below ``accept``, with all their columns."""
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.round(model.scores(batch.column(at).to_pylist()), 6)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(found, pa.float64()), pa.array((found >= accept).astype(np.int32))],
-                [*names, "score", "predicted"],
-            )
+            yield batch.filter(pa.array(_score_batch(model, batch.column(at)) < accept))
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return docs.select(*[F.col(f"`{n}`") for n in names]).mapInArrow(run, f"{fields}, score double, predicted int")
+    return docs.mapInArrow(run, docs.schema)
