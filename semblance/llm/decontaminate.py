@@ -32,6 +32,9 @@ BYTES_PER_SCAN = 32 << 20
 SLICE = 1 << 20
 SEED = 5
 _FILTER_BITS = 16
+# Shingles whose minima are computed at once; bounds the memory of a very long text.
+_AT_ONCE = 1 << 14
+_ROWS = np.arange(HASHES, dtype=np.int64)[:, None] << _FILTER_BITS
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 _FINISH = np.uint64(0xD6E8FEB86659FD93)
@@ -93,10 +96,11 @@ def shingles(words: np.ndarray, width: int) -> np.ndarray:
 
 def minima(hashes: np.ndarray, block: int) -> np.ndarray:
     """Minima of every hash function over consecutive blocks, shape (HASHES, blocks)."""
-    starts = np.arange(0, len(hashes), block)
-    return np.stack([
-        np.minimum.reduceat(((hashes * f) >> np.uint64(32)).astype(np.uint32), starts) for f in _FACTORS
-    ])
+    parts, step = [], max(block, _AT_ONCE // block * block)
+    for at in range(0, len(hashes), step):
+        mixed = ((hashes[None, at:at + step] * _FACTORS[:, None]) >> np.uint64(32)).astype(np.uint32)
+        parts.append(np.minimum.reduceat(mixed, np.arange(0, mixed.shape[1], block), axis=1))
+    return np.concatenate(parts, axis=1)
 
 
 def window_minima(blocks: np.ndarray, width: int) -> np.ndarray:
@@ -129,11 +133,11 @@ class ItemIndex:
             lookup: dict[int, list[int]] = {}
             marks = np.zeros((HASHES, 1 << _FILTER_BITS), dtype=bool)
             for number, hashes in members:
-                low = minima(hashes, len(hashes))[:, 0]
+                low = minima(hashes, len(hashes)).min(axis=1)
                 for k, value in enumerate(low.tolist()):
                     lookup.setdefault(k << 32 | value, []).append(number)
                     marks[k, value & ((1 << _FILTER_BITS) - 1)] = True
-            self.parts.append((width, size, lookup, marks))
+            self.parts.append((width, size, lookup, marks.reshape(-1)))
         self.widths = sorted({p[0] for p in self.parts})
 
     def candidates(self, words: np.ndarray) -> set[int]:
@@ -153,9 +157,9 @@ class ItemIndex:
                 else:
                     blocks = minima(hashes, BLOCK) if blocks is None else blocks
                     lows = window_minima(blocks, size // BLOCK + 1)
-                for k in range(HASHES):
-                    for value in np.unique(lows[k][marks[k][lows[k] & ((1 << _FILTER_BITS) - 1)]]).tolist():
-                        out.update(lookup.get(k << 32 | value, ()))
+                rows, places = np.nonzero(marks[_ROWS + (lows & ((1 << _FILTER_BITS) - 1))])
+                for key in set((rows << 32 | lows[rows, places]).tolist()):
+                    out.update(lookup.get(key, ()))
         return out
 
     def hits(self, text: str, threshold: float) -> list[tuple[int | None, float]]:
