@@ -33,7 +33,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     ``n_chars`` follows the text where it is cut.
     """
-    cut = substrings.remove_repeats(docs, ("__units", "__removed", "__first")).filter(
+    cut = substrings.remove_repeats(docs, ("__removed", "__first")).filter(
         (F.col("__removed") == 0) | F.col("text").rlike(r"\S")
     )
     if "n_chars" in docs.columns:

@@ -57,7 +57,7 @@ def op4_ann(spark, sf_dir):
 @query
 def op5_substrings(spark, sf_dir):
     found = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "text", "n_units", "n_removed", "first_docs")
+    return found.select("doc_id", "text", "n_removed", "first_docs")
 
 
 @query

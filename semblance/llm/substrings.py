@@ -18,11 +18,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from semblance.llm.storage import stored
+
 SPAN_UNITS = 3
 SPAN_WORDS = 15
 # Clauses above so many words are cut further, after about one word in ``CUT_EVERY``.
 LONG_CLAUSE = 12
-CUT_EVERY = 8
+CUT_EVERY = 12
 
 _BORDER = re.compile(r"(?<=[.!?,;:。！？、])\s+|\n+\s*")
 _WORD = re.compile(r"\S+\s*")
@@ -30,10 +32,6 @@ _WORD = re.compile(r"\S+\s*")
 NO_ID = (1 << 63) - 1
 
 
-def _ends_piece(word: str) -> bool:
-    return (len(word) * 7 + ord(word[0]) * 3 + ord(word[-1]) * 5 + ord(word[len(word) // 2])) % CUT_EVERY == 0
-
-
 def units(text: str) -> list[tuple[str, list[str]]]:
     """``(piece, lower-case words)`` of a text; the pieces joined are the text.
 
@@ -56,7 +54,6 @@ def units(text: str) -> list[tuple[str, list[str]]]:
             found.append((blank + piece, words))
             blank = ""
         else:
-            part, size = [], 0
             lead = piece[: len(piece) - len(piece.lstrip())]
             tokens = _WORD.findall(piece[len(lead):])
             if len(tokens) != len(words):
@@ -65,12 +62,14 @@ def units(text: str) -> list[tuple[str, list[str]]]:
                 continue
             tokens[0] = blank + lead + tokens[0]
             blank = ""
-            for at, word in enumerate(words):
-                part.append(tokens[at])
-                size += 1
-                if _ends_piece(word) or at == len(words) - 1:
-                    found.append(("".join(part), words[at + 1 - size:at + 1]))
-                    part, size = [], 0
+            # A word's own letters tell whether a piece ends with it.
+            cuts = [i for i, w in enumerate(words, 1) if (len(w) * 5 + ord(w[0]) * 3 + ord(w[-1])) % CUT_EVERY == 0]
+            if not cuts or cuts[-1] < len(words):
+                cuts.append(len(words))
+            at = 0
+            for cut in cuts:
+                found.append(("".join(tokens[at:cut]), words[at:cut]))
+                at = cut
     return found
 
 
@@ -89,26 +88,28 @@ def spans(cut: list[tuple[str, list[str]]]) -> list[tuple[int, int, int]]:
 
 def _span_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        docs, hashes, starts = [], [], []
+        docs, hashes, again = [], [], []
 
         def rows() -> pa.RecordBatch:
             made = pa.RecordBatch.from_arrays(
-                [pa.array(docs, pa.int64()), pa.array(hashes, pa.int64()), pa.array(starts, pa.int32())],
-                ["doc", "span", "start"],
+                [pa.array(docs, pa.int64()), pa.array(hashes, pa.int64()), pa.array(again, pa.bool_())],
+                ["doc", "span", "again"],
             )
-            for column in (docs, hashes, starts):
+            for column in (docs, hashes, again):
                 column.clear()
             return made
 
         for doc, text in zip(*(c.to_pylist() for c in batch.columns)):
-            seen = set()
-            for mark, a, _ in spans(units(text or "")):
-                # Later occurrences in the same text need no other text to be told.
-                if mark not in seen:
-                    seen.add(mark)
-                    docs.append(doc)
-                    hashes.append(mark)
-                    starts.append(a)
+            marks = [mark for mark, _, _ in spans(units(text or ""))]
+            distinct = set(marks)
+            docs.extend([doc] * len(distinct))
+            hashes.extend(distinct)
+            again.extend([False] * len(distinct))
+            if len(distinct) < len(marks):
+                # The text repeats itself, which needs no other text to be told.
+                docs.append(doc)
+                hashes.append(0)
+                again.append(True)
             if len(docs) > 50_000:
                 yield rows()
         yield rows()
@@ -118,69 +119,70 @@ def _key(column: str):
     return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID))
 
 
-def repeated_starts(docs: DataFrame) -> DataFrame:
-    """``(doc, starts, first_docs)``: units that begin a span which a text of a lower id has, too."""
-    found = docs.select(_key("doc_id").alias("doc"), "text").mapInArrow(
-        _span_batches, "doc long, span long, start int"
+def repeated_spans(docs: DataFrame) -> DataFrame:
+    """``(doc, marks, first_docs)``: spans that a text of a lower id has, too, and these ids.
+
+    A text that only repeats itself has a row without marks.
+    """
+    found = stored(
+        docs.select(_key("doc_id").alias("doc"), "text").mapInArrow(_span_batches, "doc long, span long, again boolean"),
+        "spans",
     )
-    shared = found.groupBy("span").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter(
+    global_spans = found.filter("NOT again").select("doc", "span")
+    shared = global_spans.groupBy("span").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter(
         "first < last"
     ).select("span", "first")
-    later = found.join(shared, "span").filter("doc > first")
-    return later.groupBy("doc").agg(F.collect_set("start").alias("starts"), F.collect_set("first").alias("first_docs"))
+    later = global_spans.join(shared, "span").filter("doc > first").unionByName(
+        found.filter("again").select("doc", F.lit(None).cast("long").alias("span"), F.lit(None).cast("long").alias("first"))
+    )
+    return later.groupBy("doc").agg(F.collect_set("span").alias("marks"), F.collect_set("first").alias("first_docs"))
 
 
-def covered_units(cut: list[tuple[str, list[str]]], starts: set[int]) -> list[bool]:
-    """Which units a repeated span covers: one of ``starts``, or one met before in this text."""
+def covered_units(cut: list[tuple[str, list[str]]], marks: set[int]) -> list[bool]:
+    """Which units a repeated span covers: one in ``marks``, or one met before in this text."""
     gone = [False] * len(cut)
     seen = set()
     for mark, a, b in spans(cut):
-        if a in starts or mark in seen:
+        if mark in marks or mark in seen:
             gone[a:b] = [True] * (b - a)
         seen.add(mark)
     return gone
 
 
-def remove_repeats(docs: DataFrame, new: tuple[str, str, str] = ("n_units", "n_removed", "first_docs")) -> DataFrame:
-    """``docs`` with repeated units cut from ``text``, plus ``n_units``, ``n_removed``, ``first_docs``.
+def remove_repeats(docs: DataFrame, new: tuple[str, str] = ("n_removed", "first_docs")) -> DataFrame:
+    """``docs`` with repeated units cut from ``text``, plus ``n_removed`` and ``first_docs``.
 
-    ``new`` names these columns.
-
-    The first occurrence is that of the lowest ``doc_id``, and in one text the one further left;
-    NULL ids come last. Rows of one ``doc_id`` count as one document and do not empty each other.
-    Texts without a repeated span stay as they are to the byte; NULL stays NULL; texts below
-    ``SPAN_UNITS`` units or ``SPAN_WORDS`` words have no span. Columns called like a new one are
-    replaced, all others pass through.
+    ``new`` names these columns. The first occurrence is that of the lowest ``doc_id``, and in one
+    text the one further left; NULL ids come last. Rows of one ``doc_id`` count as one document
+    and do not empty each other. Texts without a repeated span stay as they are to the byte; NULL
+    stays NULL; texts below ``SPAN_UNITS`` units or ``SPAN_WORDS`` words have no span. Columns
+    called like a new one are replaced, all others pass through.
     """
     kept = [f for f in docs.schema.fields if f.name not in new]
     names = [f.name for f in kept]
-    at = names.index("text")
-    marks = repeated_starts(docs)
-    joined = docs.select(*[F.col(f"`{n}`") for n in names], _key("doc_id").alias("__key")).join(
-        marks.select(F.col("doc").alias("__key"), F.col("starts").alias("__starts"), F.col("first_docs").alias("__first")),
-        "__key", "left",
+    at, n = names.index("text"), len(names)
+    found = repeated_spans(docs).select(
+        F.col("doc").alias("__key"), F.col("marks").alias("__marks"), F.array_sort("first_docs").alias("__first")
     )
+    joined = docs.select(*[F.col(f"`{c}`") for c in names], _key("doc_id").alias("__key")).join(found, "__key", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for begin in range(0, whole.num_rows, 512):
                 batch = whole.slice(begin, 512)
-                texts, sizes, cuts = [], [], []
-                for text, starts in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()):
-                    cut = units(text or "")
-                    gone = covered_units(cut, set(starts or ()))
-                    sizes.append(len(cut))
-                    cuts.append(sum(gone))
+                texts, sizes = [], []
+                for text, marks in zip(batch.column(at).to_pylist(), batch.column(n).to_pylist()):
+                    # Texts without a mark, not even an empty list of them, have nothing to cut.
+                    cut = units(text) if text and marks is not None else []
+                    gone = covered_units(cut, set(marks or ()))
+                    sizes.append(sum(gone))
                     texts.append("".join(p for (p, _), g in zip(cut, gone) if not g) if any(gone) else text)
-                columns = list(batch.columns[: len(names)])
+                columns = list(batch.columns[:n])
                 columns[at] = pa.array(texts, pa.string())
-                yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array(sizes, pa.int64()), pa.array(cuts, pa.int64()), batch.column(len(names) + 1)],
-                    [*names, *new],
-                )
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes, pa.int64()), batch.column(n + 1)], [*names, *new])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    columns = [F.col(f"`{n}`") for n in names]
-    return joined.select(
-        *columns, "__starts", F.array_sort(F.coalesce("__first", F.array().cast("array<bigint>"))).alias("__first")
-    ).mapInArrow(run, f"{fields}, `{new[0]}` long, `{new[1]}` long, `{new[2]}` array<bigint>")
+    empty = F.array().cast("array<bigint>")
+    return joined.select(*[F.col(f"`{c}`") for c in names], "__marks", F.coalesce("__first", empty).alias("__first")).mapInArrow(
+        run, f"{fields}, `{new[0]}` long, `{new[1]}` array<bigint>"
+    )

@@ -54,7 +54,7 @@ def test_like_brute_force(spark):
             parts.insert(rng.randint(0, len(parts)), "word " + rng.choice(passages))
         rows.append((i * 3, "".join(parts)))
     rows += [(500, None), (501, ""), (502, " \n "), (503, "short.")]
-    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, starts string")
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, marks string")
     got = {r.doc_id: (r.text, r.n_removed) for r in S.remove_repeats(docs).collect()}
     assert got == plain(rows)
     assert sum(n for _, n in got.values()) > 100
@@ -80,10 +80,11 @@ def test_passage_inside_other_sentences(spark):
 
 def test_copies_nulls_and_repeated_rows(spark):
     text = "One two three four five. Six seven eight nine ten, eleven twelve thirteen. Fourteen fifteen sixteen."
-    rows = [(7, text), (7, text), (9, text.upper()), (None, text), (8, text + " " + text)]
+    other = "A text of its own, under an id that is used twice. It shares nothing, and nothing is cut from it here."
+    rows = [(7, text), (7, text), (9, text.upper()), (None, text), (8, text + " " + text), (9, other)]
     got = sorted(((r.doc_id or 0, r.text) for r in S.remove_repeats(
         spark.createDataFrame(rows, "doc_id long, text string")).collect()))
-    assert got == [(0, ""), (7, text), (7, text), (8, ""), (9, "")]
+    assert got == [(0, ""), (7, text), (7, text), (8, ""), (9, ""), (9, other)]
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert S.remove_repeats(empty).count() == 0
 
