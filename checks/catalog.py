@@ -20,13 +20,16 @@ from semblance.operators import incremental as I
 from semblance.operators import pairs as P
 from semblance.operators import runs as R
 from semblance.operators import tfidf as TF
+from semblance.operators import token_scores as TS
 from semblance.operators import vectors as VE
 from semblance.operators import workspaces as W
 from semblance.plans import analysis as AN
+from semblance.plans import ingest as IN
 from semblance.plans import regions as RE
 from semblance.plans.harvest import refresh_urls
 from semblance.plans.preprocess import preprocess_with_cache
 from semblance.session import local_checkpoints
+from semblance.settings import MAX_TEXT_BYTES
 from semblance.sources import files as SF
 from semblance.sources import sinks as SK
 from semblance.sources import tables as ST
@@ -76,7 +79,7 @@ def src_submissions(spark, sf):
 
 @query
 def src_features(spark, sf):
-    features = A.build_features(D.submissions(spark, sf), limit=SIZE_LIMIT)
+    features = A.build_features(D.submissions(spark, sf), limit=MAX_TEXT_BYTES)
     return ST.features_of(features).select("corpus_id", "name", F.size("tokens").alias("n_tokens"))
 
 
@@ -254,14 +257,23 @@ def missing_targets(spark, sf):
 @query
 def pair_lookup(spark, sf):
     items = D.table(spark, sf, "benchmark")
-    asked = items.select(
-        F.concat(F.lit("src"), F.col("item_id").cast("string")).alias("corpus_id"),
-        F.col("item_id").cast("string").alias("file1"), (F.col("item_id") + 20).cast("string").alias("file2"),
-    )
-    found, _, errors = RE.pair_corpora(D.submissions(spark, sf), asked)
-    return found.select("corpus_id", "name", F.length("raw_text").cast("string").alias("note")).unionByName(
-        errors.select("corpus_id", "name", F.col("reason").alias("note"))
+    item, folder = F.col("item_id"), (F.col("item_id") % 2).cast("string")
+    source = F.concat(F.lit("src"), item.cast("string"))
+
+    def file(number):
+        return F.concat(folder, F.lit("/"), number.cast("string"))
+
+    # The same files by two names whose parts, put together, read alike.
+    asked = items.select(source.alias("corpus_id"), file(item).alias("file1"), file(item + 20).alias("file2")).unionByName(
+        items.select(
+            F.concat(source, F.lit("/"), folder).alias("corpus_id"), item.cast("string").alias("file1"),
+            (item + 20).cast("string").alias("file2"),
+        )
     )
+    found, _, errors = RE.pair_corpora(D.nested_submissions(spark, sf), asked)
+    return found.select(
+        "corpus_id.corpus_id", "corpus_id.file1", "name", F.length("raw_text").cast("string").alias("note")
+    ).unionByName(errors.select("corpus_id", F.lit(None).cast("string").alias("file1"), "name", F.col("reason").alias("note")))
 
 
 # ---- corpus building ----
@@ -281,7 +293,12 @@ def archive_single(spark, sf):
 @query
 def archive_limit(spark, sf):
     built = C.archive_as_single(D.members(spark, sf), limit=SIZE_LIMIT)
-    return built.select("archive", F.length("raw_text").alias("n_chars"), "error")
+    return built.select("archive", "part_no", F.length("raw_text").alias("n_chars"), "n_members")
+
+
+@query
+def archives_merged(spark, sf):
+    return IN.extract_archives(D.members(spark, sf))
 
 
 @query
@@ -366,7 +383,7 @@ def processed_ratio(spark, sf):
 @query
 def token_ratio(spark, sf):
     subs = D.submissions(spark, sf)
-    return P.token_scores(A.build_features(subs), _targets(subs))
+    return TS.token_scores(A.build_features(subs), _targets(subs))
 
 
 @query
@@ -435,7 +452,7 @@ def token_runs(spark, sf):
 @query
 def token_matches(spark, sf):
     subs = D.submissions(spark, sf)
-    return R.token_matches(subs, _targets(subs))
+    return RE.top_runs(R.token_runs(subs, _targets(subs)))
 
 
 @query
@@ -577,7 +594,7 @@ def url_changed(spark, sf):
 @query
 def workspaces_newest(spark, sf):
     ranked = W.newest_first(D.workspaces(spark, sf), ["username"], "event_id")
-    return ranked.select("username", "instance_id", "name", F.unix_micros("created_at").alias("created_us"))
+    return ranked.select("username", "instance_id", "name", F.unix_micros("created_at").alias("created_us"), "rank")
 
 
 @query
@@ -589,7 +606,7 @@ def history_by_user(spark, sf):
     asked = everything.unionByName(history.select("username", F.lit("click").alias("instance_id")).distinct())
     found = W.look_up_history(history, asked)
     return W.newest_first(found, ["username", "asked"], "event_id").select(
-        "username", "asked", "event_id", F.unix_micros("created_at").alias("created_us")
+        "username", "asked", "event_id", F.unix_micros("created_at").alias("created_us"), "rank"
     )
 
 
@@ -600,14 +617,15 @@ def _native_scores(spark, sf):
     subs = D.submissions(spark, sf)
     targets = _targets(subs)
     dice = P.bag_scores(subs, _counted(X.tokens(F.col("raw_text"))), targets, "token", 0.0)
-    scores = dice.join(AN.shape_scores(subs, targets), P.PAIR).join(TF.tfidf_cosine(subs, targets), P.PAIR)
-    return scores.select(*P.PAIR, *[F.round(m, 1).alias(m) for m in ("ast", "token", "cosine")])
+    return dice.join(AN.shape_scores(subs, targets), P.PAIR).join(TF.tfidf_cosine(subs, targets), P.PAIR)
 
 
 @query
 def overall_match(spark, sf):
+    # Rounded scores are often equal, so that the most frequent value counts.
     scores = _native_scores(spark, sf)
-    return scores.select(*P.PAIR, S.overall_match(F.array("ast", "token", "cosine")).alias("overall"))
+    rounded = F.array(*[F.round(m, 1) for m in ("ast", "token", "cosine")])
+    return scores.select(*P.PAIR, S.overall_match(rounded).alias("overall"))
 
 
 @query

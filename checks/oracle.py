@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from checks.catalog import AS_OF, FIXED_TIME, SIZE_LIMIT
 from semblance.functions.code import CODE_TOKEN_PATTERN, OPERATORS
-from semblance.functions.html import ENTITIES
 from semblance.functions.text import BLANKS, QUOTED_PATTERN, TERM_PATTERN, TOKEN_PATTERN, WORD
 from semblance.settings import ARTICLE_HOSTS, NOTEBOOK_SEPARATOR, PYTHON_KEYWORDS
 
@@ -80,16 +79,20 @@ def hash_sql(x: str) -> str:
 
 ORACLE["src_submissions"] = """SELECT source AS corpus_id, CAST(doc_id AS VARCHAR) AS name, length(text)::BIGINT AS n_chars FROM documents"""
 ORACLE["src_features"] = f"""SELECT source AS corpus_id, CAST(doc_id AS VARCHAR) AS name,
-  len({tokens_sql(processed_sql('text'))})::BIGINT AS n_tokens FROM documents WHERE strlen(text) <= {SIZE_LIMIT}"""
+  len({tokens_sql(processed_sql('text'))})::BIGINT AS n_tokens FROM documents WHERE strlen(text) <= 5242880"""
 ORACLE["notebook_cells"] = f"""SELECT conv_id, turn, CASE WHEN role = 'system' THEN ''
   ELSE role || chr(10) || text || replace({q(NOTEBOOK_SEPARATOR.replace(chr(10), '~'))}, '~', chr(10)) || 'again ' || text END AS code
   FROM conversations"""
 
 
 def decode_sql(x: str) -> str:
-    for entity, sign in ENTITIES:
-        x = f"replace({x}, {q(entity)}, {q(sign)})"
-    return x
+    """The character references that occur in the pages, the ampersand last."""
+    for reference, sign in (
+        ("&#8217;", "\u2019"), ("&#x27;", "'"), ("&eacute;", "\u00e9"), ("&mdash;", "\u2014"), ("&nbsp;", "\u00a0"),
+        ("&hellip;", "\u2026"), ("&quot;", '"'), ("&copy;", "\u00a9"), ("&middot;", "\u00b7"),
+    ):
+        x = f"replace({x}, {q(reference)}, {q(sign)})"
+    return f"regexp_replace({x}, '&amp;?', '&', 'g')"
 
 
 def trim_sql(x: str) -> str:
@@ -102,14 +105,17 @@ def clean_sql(x: str) -> str:
     return f"substring({trim_sql(f'regexp_replace({x}, {q(drop)}, {q(str())}, {q(chr(103))})')}, 1, 100)"
 
 
-ORACLE["page_articles"] = rf"""WITH v AS (SELECT *, regexp_replace(html,
+ORACLE["page_articles"] = rf"""WITH p AS (SELECT page_id, url, replace(html, '</article>',
+    '<p>It&#8217;s a caf&eacute; &mdash; &#x27;ok&#x27;&nbsp;&hellip;</p></article>') AS html FROM pages),
+  v AS (SELECT *, regexp_replace(html,
     '(?i)<script[\s\S]*?</script>|<style[\s\S]*?</style>|<!--[\s\S]*?-->', '', 'g') AS visible,
-    nullif({trim_sql(decode_sql("regexp_extract(html, '(?i)<title[^>]*>([^<]*)</title>', 1)"))}, '') AS title FROM pages),
+    nullif({trim_sql(decode_sql("regexp_extract(html, '(?i)<title[^>]*>([^<]*)</title>', 1)"))}, '') AS title FROM p),
   b AS (SELECT *, coalesce(nullif(regexp_extract(visible, '(?i)<article[^>]*>([\s\S]*)</article>', 1), ''), visible) AS body FROM v),
   t AS (SELECT *, nullif({ws_sql(decode_sql(
       "regexp_replace(regexp_replace(body, '(?i)</p>|<br[^>]*>|</h[1-6]>|</li>|</div>', chr(10), 'g'), '<[^>]*>', '', 'g')"))}, '') AS plain FROM b),
   r AS (SELECT page_id, {clean_sql("coalesce(title, split_part(regexp_extract(url, '[^/]*$'), '?', 1))")} AS name,
-    concat_ws(chr(10) || chr(10), '# ' || title, chr(10) || plain) AS raw_text FROM t)
+    concat_ws(chr(10) || chr(10), '# ' || title, '**Authors:** A. ' || split_part(url, '/', 3),
+      '**Published:** 2024-' || page_id, chr(10) || plain) AS raw_text FROM t)
   SELECT * FROM r WHERE {nonblank_sql('raw_text')}"""
 ORACLE["buffer_rows"] = f"""SELECT 'b1' AS buffer_id, CAST(doc_id AS VARCHAR) AS name, length(text)::BIGINT AS n_chars,
   epoch_us(TIMESTAMP '{FIXED_TIME}')::BIGINT AS created_us,
@@ -179,11 +185,13 @@ ORACLE["missing_targets"] = with_ctes(SUBS) + """, asked AS (SELECT 'src' || ite
   SELECT corpus_id, target, CASE WHEN corpus_id IN (SELECT corpus_id FROM subs) THEN 'Target ''' || target || ''' not found'
     ELSE 'No submissions provided' END AS reason FROM asked a
   WHERE NOT EXISTS (SELECT 1 FROM subs s WHERE s.corpus_id = a.corpus_id AND s.name = a.target)"""
-ORACLE["pair_lookup"] = with_ctes(SUBS) + """, asked AS (SELECT 'src' || item_id AS corpus_id, CAST(item_id AS VARCHAR) AS file1,
-    CAST(item_id + 20 AS VARCHAR) AS file2 FROM benchmark),
+ORACLE["pair_lookup"] = """WITH subs AS (SELECT source AS corpus_id, (doc_id % 2) || '/' || doc_id AS name, text FROM documents
+    UNION ALL SELECT source || '/' || (doc_id % 2), CAST(doc_id AS VARCHAR), text FROM documents),
+  asked AS (SELECT 'src' || item_id AS corpus_id, (item_id % 2) || '/' || item_id AS file1, (item_id % 2) || '/' || (item_id + 20) AS file2 FROM benchmark
+    UNION ALL SELECT 'src' || item_id || '/' || (item_id % 2), CAST(item_id AS VARCHAR), CAST(item_id + 20 AS VARCHAR) FROM benchmark),
   m AS (SELECT corpus_id, file1, unnest([file1, file2]) AS name FROM asked)
-  SELECT CASE WHEN s.name IS NULL THEN m.corpus_id ELSE m.corpus_id || '/' || file1 END AS corpus_id, m.name,
-    CASE WHEN s.name IS NULL THEN 'File ''' || m.name || ''' not found' ELSE CAST(length(s.raw_text) AS VARCHAR) END AS note
+  SELECT m.corpus_id, CASE WHEN s.name IS NOT NULL THEN file1 END AS file1, m.name,
+    CASE WHEN s.name IS NULL THEN 'File ' || chr(39) || m.name || chr(39) || ' not found' ELSE CAST(length(s.text) AS VARCHAR) END AS note
   FROM m LEFT JOIN subs s ON s.corpus_id = m.corpus_id AND s.name = m.name"""
 
 # ---- corpus building ----
@@ -200,10 +208,19 @@ ORACLE["zip_rollup"] = with_ctes(MEMBERS) + f""",
 ORACLE["archive_single"] = with_ctes(MEMBERS) + f"""SELECT replace(archive, '.zip', '') AS name,
   string_agg({HEADED}, chr(10) || chr(10) ORDER BY member_no) AS raw_text, count(*)::BIGINT AS n_members
   FROM members WHERE {nonblank_sql('content')} GROUP BY archive"""
-ORACLE["archive_limit"] = with_ctes(MEMBERS) + f""", g AS (SELECT archive, sum(strlen({HEADED}) + 2)::BIGINT AS b,
-    sum(length({HEADED}))::BIGINT + 2 * (count(*) - 1) AS n FROM members WHERE {nonblank_sql('content')} GROUP BY archive)
-  SELECT archive, CASE WHEN b <= {SIZE_LIMIT} THEN n::BIGINT END AS n_chars,
-    CASE WHEN b > {SIZE_LIMIT} THEN 'too large: ' || b || ' > {SIZE_LIMIT} bytes' END AS error FROM g"""
+ORACLE["archive_limit"] = with_ctes(MEMBERS) + f""", c AS (SELECT *, sum(strlen({HEADED}) + 2) OVER (PARTITION BY archive) AS whole,
+    sum(strlen({HEADED}) + 2) OVER (PARTITION BY archive ORDER BY member_no) AS upto FROM members WHERE {nonblank_sql('content')}),
+  d AS (SELECT *, CASE WHEN whole > {SIZE_LIMIT} THEN (upto - 1) // {SIZE_LIMIT} ELSE 0 END::BIGINT AS part_no FROM c)
+  SELECT archive, part_no, (sum(length({HEADED})) + 2 * (count(*) - 1))::BIGINT AS n_chars, count(*)::BIGINT AS n_members FROM d GROUP BY archive, part_no"""
+ORACLE["archives_merged"] = with_ctes(MEMBERS) + f""",
+  kept AS (SELECT *, CAST(regexp_extract(archive, '[0-9]+') AS BIGINT) AS conv FROM members),
+  tops AS (SELECT archive, count(DISTINCT split_part(member_path, '/', 1)) AS n FROM kept GROUP BY archive),
+  named AS (SELECT k.*, CASE WHEN n = 1 AND split_part(member_path, '/', 2) <> '' THEN split_part(member_path, '/', 2)
+    ELSE split_part(member_path, '/', 1) END AS name FROM kept k JOIN tops t ON k.archive = t.archive),
+  last AS (SELECT name, max(conv) AS conv FROM named GROUP BY name)
+  SELECT name, 0::BIGINT AS part_no, CASE WHEN count(*) = 1 AND min(member_path) = name THEN min(content)
+    ELSE string_agg({HEADED}, chr(10) || chr(10) ORDER BY member_path) END AS raw_text
+  FROM named JOIN last USING (name, conv) WHERE {nonblank_sql('content')} GROUP BY name"""
 ORACLE["last_wins"] = """SELECT conv_id, role, turn, text FROM conversations c
   WHERE turn = (SELECT max(turn) FROM conversations d WHERE d.conv_id = c.conv_id AND d.role = c.role)"""
 ORACLE["extract_counts"] = with_ctes(MEMBERS) + f""",
@@ -231,7 +248,8 @@ BASE = with_ctes(SUBS, TARGETS, PAIRS)
 ORACLE["tfidf_weights"] = BASE + "," + TFIDF + " SELECT corpus_id, name, term, tf, round(weight, 6) AS weight FROM weights"
 ORACLE["tfidf_cosine"] = BASE + "," + TFIDF + " SELECT corpus_id, target, other, round(cosine, 6) AS cosine FROM cosines"
 ORACLE["flagship"] = BASE + "," + TFIDF + """ SELECT corpus_id, target, other, round(cosine, 6) AS cosine, round(cosine, 6) AS overall,
-  CASE WHEN cosine > 0.7 THEN 'red' WHEN cosine > 0.4 THEN 'orange' ELSE 'green' END AS band FROM cosines"""
+  CASE WHEN cosine > 0.7 THEN 'red' WHEN cosine > 0.4 THEN 'orange' ELSE 'green' END AS band,
+  row_number() OVER (PARTITION BY corpus_id, target ORDER BY cosine DESC, other)::BIGINT AS rank FROM cosines"""
 
 
 def dice_ctes(items: str, both_empty: str, prefix: str, source: str = "subs") -> str:
@@ -279,9 +297,9 @@ SHAPE = f"""CASE WHEN {is_string('token')} THEN 'STR' WHEN {is_number('token')}
   WHEN {is_name('token')} THEN 'W' ELSE token END"""
 
 
-def code_ctes(source: str, text: str, keys: str, prefix: str) -> str:
+def code_ctes(source: str, text: str, keys: str, prefix: str, strip: bool = True) -> str:
     """Code tokens of a text with their neighbours."""
-    return f"""{prefix}k AS (SELECT {keys}, regexp_extract_all({strip_sql(text)}, {q(CODE_TOKEN_PATTERN)}) AS toks FROM {source}),
+    return f"""{prefix}k AS (SELECT {keys}, regexp_extract_all({strip_sql(text) if strip else text}, {q(CODE_TOKEN_PATTERN)}) AS toks FROM {source}),
   {prefix}u AS (SELECT {keys}, generate_subscripts(toks, 1) - 1 AS pos, unnest(toks) AS token FROM {prefix}k),
   {prefix}t AS (SELECT *, lag(token) OVER w AS before, lag(token, 2) OVER w AS before2, lead(token) OVER w AS after FROM {prefix}u
     WINDOW w AS (PARTITION BY {keys} ORDER BY pos))"""
@@ -304,7 +322,8 @@ MODULES = f"""lines0 AS (SELECT corpus_id, name, list_filter(string_split(raw_te
   parts AS (SELECT corpus_id, name, i, CASE WHEN i = 0 THEN 'class Paper:~    def title(self):~        ' || body
     WHEN i % 3 = 0 THEN 'async def ' || label || '(arg):~    ' || body
     WHEN i % 3 = 1 THEN 'def ' || label || '(arg):~    ' || body || '~    def note():~        return lib.' || coalesce(ws[-1], 'end')
-    ELSE 'def ' || label || '(arg, size=' || length(line) || '):~    ' || body || '~' END AS part FROM lines3),
+    ELSE 'def ' || label || '(arg, kind: Dict[str, int] = pick(1), size=' || length(line) || '):~    text = ' || repeat('"', 3) || '~def ghost(x):~  '
+      || array_to_string(ws, ' ') || '~' || repeat('"', 3) || '~    keep = lambda row, *rest, top=pick(2): (row, top, kind)~    ' || body || '~' END AS part FROM lines3),
   code AS (SELECT corpus_id, name, replace(coalesce(string_agg(part, '~' ORDER BY i), ''), '~', chr(10)) AS raw_text
     FROM subs LEFT JOIN parts USING (corpus_id, name) GROUP BY ALL)"""
 FLOW = "CASE token WHEN 'if' THEN 'If' WHEN 'elif' THEN 'If' WHEN 'for' THEN 'For' WHEN 'while' THEN 'While' WHEN 'try' THEN 'Try' END"
@@ -317,7 +336,10 @@ ORACLE["structure_profile"] = BASE + "," + MODULES + "," + code_ctes("code", "ra
     UNION ALL SELECT corpus_id, name, 'operators', token FROM xt WHERE token IN ({words(OPERATORS)}))
   SELECT corpus_id, name, family, item, count(*)::BIGINT AS n FROM fam GROUP BY ALL"""
 BLOCK_SQL = rf"""cl0 AS (SELECT corpus_id, name, string_split(raw_text, chr(10)) AS l FROM code),
-  cl1 AS (SELECT corpus_id, name, generate_subscripts(l, 1) AS line_no, unnest(l) AS line FROM cl0),
+  cl2 AS (SELECT corpus_id, name, generate_subscripts(l, 1) AS line_no, unnest(l) AS line FROM cl0),
+  cl3 AS (SELECT *, coalesce(sum(len(string_split(line, repeat('"', 3))) - 1) OVER (PARTITION BY corpus_id, name ORDER BY line_no
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS quoted FROM cl2),
+  cl1 AS (SELECT corpus_id, name, line_no, CASE WHEN quoted THEN ')' ELSE line END AS line FROM cl3),
   vis AS (SELECT *, length(regexp_extract(line, '^[ \t]*')) AS indent, regexp_extract(line, '^[ \t]*(async[ \t]+)?(def|class)[ \t]+([{WORD}]+)', 2) AS kw,
     regexp_extract(line, '^[ \t]*(async[ \t]+)?(def|class)[ \t]+([{WORD}]+)', 1) AS pre,
     regexp_extract(line, '^[ \t]*(async[ \t]+)?(def|class)[ \t]+([{WORD}]+)', 3) AS nm
@@ -340,13 +362,22 @@ BLOCK_SQL = rf"""cl0 AS (SELECT corpus_id, name, string_split(raw_text, chr(10))
     QUALIFY row_number() OVER (PARTITION BY corpus_id, name, block ORDER BY start_line DESC) = 1)"""
 CODE = BASE + "," + MODULES + "," + BLOCK_SQL
 ORACLE["code_blocks"] = CODE + """ SELECT corpus_id, name, block, type, start_line::BIGINT AS start_line, end_line::BIGINT AS end_line, source FROM blocks"""
-NORM_SQL = code_ctes("blocks", "source", "corpus_id, name, block", "n") + f""",
-  nr AS (SELECT *, max(CASE WHEN token = 'def' THEN pos END) OVER w AS dp, max(CASE WHEN token = ')' THEN pos END) OVER w AS cp FROM nt
-    WINDOW w AS (PARTITION BY corpus_id, name, block ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+# The blocks hold no comment.
+NORM_SQL = code_ctes("blocks", "source", "corpus_id, name, block", "n", strip=False) + f""",
+  nv AS (SELECT corpus_id, name, block, pos, token, lag(token) OVER w AS before, lag(token, 2) OVER w AS before2, lead(token) OVER w AS after,
+    sum(CASE WHEN token IN ('(', '[', '{{') THEN 1 WHEN token IN (')', ']', '}}') THEN -1 ELSE 0 END) OVER w AS depth FROM nu WHERE token <> chr(10)
+    WINDOW w AS (PARTITION BY corpus_id, name, block ORDER BY pos)),
+  nr AS (SELECT *, max(CASE WHEN token IN ('(', '[', '{{') THEN pos END) OVER d AS opened,
+    max(CASE WHEN token = '(' AND before2 = 'def' THEN pos END) OVER d AS header,
+    max(CASE WHEN token = 'lambda' THEN pos END) OVER d AS lam, max(CASE WHEN token IN (':', '(', '[', '{{') THEN pos END) OVER d AS colon FROM nv
+    WINDOW d AS (PARTITION BY corpus_id, name, block, depth ORDER BY pos)),
+  nq AS (SELECT *, depth > 0 AND coalesce(header = opened, false) AS in_def, lam IS NOT NULL AND lam > coalesce(colon, -1) AS in_lambda,
+    CASE WHEN before IN ('*', '**') THEN before2 ELSE before END AS lead FROM nr),
   ro AS (SELECT *, CASE WHEN {is_string('token')} THEN 'STR' WHEN {is_number('token')} THEN '0' WHEN NOT {is_name('token')} THEN token
-      WHEN before = 'def' AND coalesce(before2, '') <> 'async' THEN 'FUNC' WHEN before IN ('def', 'class', '.') THEN token
-      WHEN dp > coalesce(cp, -1) AND before IN ('(', ',', '*', '**') THEN 'ARG'
-      WHEN before IN ('(', ',') AND after = '=' THEN token END AS fixed FROM nr WHERE token <> chr(10)),
+      WHEN before = 'def' AND coalesce(before2, '') <> 'async' THEN 'FUNC'
+      WHEN in_def AND NOT in_lambda AND lead IN ('(', ',') THEN 'ARG' WHEN in_lambda AND lead IN ('lambda', ',') THEN 'ARG'
+      WHEN before IN ('def', 'class', '.') THEN token
+      WHEN before IN ('(', ',') AND after = '=' AND depth > 0 THEN token END AS fixed FROM nq),
   fp AS (SELECT corpus_id, name, block, token, min(pos) AS fp FROM ro WHERE fixed IS NULL GROUP BY ALL),
   vr AS (SELECT *, row_number() OVER (PARTITION BY corpus_id, name, block ORDER BY fp) - 1 AS v FROM fp),
   nn AS (SELECT ro.corpus_id, ro.name, ro.block, pos, CASE WHEN fixed IS NULL THEN 'VAR_' || v ELSE fixed END AS t
@@ -361,7 +392,7 @@ MATCH_SQL = NORM_SQL + """,
       2.0 * sum(least(a.n, b.n)) / (a.sz + b.sz) AS sim FROM bc a JOIN targets t ON t.corpus_id = a.corpus_id AND t.target = a.name
     JOIN bc b ON b.corpus_id = a.corpus_id AND b.name <> a.name AND b.x = a.x GROUP BY a.corpus_id, a.name, a.block, b.name, b.block, a.sz, b.sz),
   bm AS (SELECT o.corpus_id, target, other, block1, l.start_line::BIGINT AS start1, l.end_line::BIGINT AS end1, block2,
-      r.start_line::BIGINT AS start2, r.end_line::BIGINT AS end2, round(sim, 4) AS similarity, l.type FROM bo o
+      r.start_line::BIGINT AS start2, r.end_line::BIGINT AS end2, round(sim, 4) AS similarity, l.type, l.source AS source1, r.source AS source2 FROM bo o
     JOIN blocks l ON l.corpus_id = o.corpus_id AND l.name = target AND l.block = block1
     JOIN blocks r ON r.corpus_id = o.corpus_id AND r.name = other AND r.block = block2 WHERE sim >= 0.6)"""
 ORACLE["block_matches"] = CODE + "," + MATCH_SQL + """ SELECT *,
@@ -371,7 +402,7 @@ ORACLE["top_regions"] = CODE + "," + MATCH_SQL + """ SELECT *,
 
 
 def run_ctes(source: str) -> str:
-    """Runs of k-grams that meet by occurrence, k = 10."""
+    """All equal 10-grams of a pair; those in a row on one diagonal are a run."""
     return f"""rl0 AS (SELECT corpus_id, name, string_split(raw_text, chr(10)) AS l FROM {source}),
   rl1 AS (SELECT corpus_id, name, generate_subscripts(l, 1) AS line, unnest(l) AS t FROM rl0),
   rl2 AS (SELECT corpus_id, name, line, {tokens_sql('t')} AS toks FROM rl1),
@@ -380,10 +411,9 @@ def run_ctes(source: str) -> str:
   rd AS (SELECT corpus_id, name, list(token ORDER BY pos) AS toks FROM rt GROUP BY ALL),
   rg AS (SELECT rt.corpus_id, rt.name, pos, line, array_to_string(toks[pos + 1 : pos + 10], ' ') AS gram FROM rt JOIN rd USING (corpus_id, name)
     WHERE pos + 10 <= len(toks)),
-  rn AS (SELECT *, row_number() OVER (PARTITION BY corpus_id, name, gram ORDER BY pos) AS occ FROM rg),
-  rm AS (SELECT a.corpus_id, a.name AS target, b.name AS other, a.pos AS p1, a.line AS l1, b.pos AS p2, b.line AS l2 FROM rn a
+  rm AS (SELECT a.corpus_id, a.name AS target, b.name AS other, a.pos AS p1, a.line AS l1, b.pos AS p2, b.line AS l2 FROM rg a
     JOIN targets t ON t.corpus_id = a.corpus_id AND t.target = a.name
-    JOIN rn b ON b.corpus_id = a.corpus_id AND b.name <> a.name AND b.gram = a.gram AND b.occ = a.occ),
+    JOIN rg b ON b.corpus_id = a.corpus_id AND b.name <> a.name AND b.gram = a.gram),
   ri AS (SELECT *, p1 - row_number() OVER (PARTITION BY corpus_id, target, other, p1 - p2 ORDER BY p1) AS isl FROM rm),
   runs AS (SELECT corpus_id, target, other, min(p1)::BIGINT AS pos1, min(l1)::BIGINT AS line1, min(p2)::BIGINT AS pos2, min(l2)::BIGINT AS line2,
     (count(*) + 9)::BIGINT AS token_count FROM ri GROUP BY corpus_id, target, other, p1 - p2, isl)"""
@@ -392,6 +422,21 @@ def run_ctes(source: str) -> str:
 ORACLE["token_runs"] = BASE + "," + run_ctes("subs") + """ SELECT r.*,
   substring(array_to_string(d.toks[pos1 + 1 : pos1 + token_count], ''), 1, 500) AS matched_text
   FROM runs r JOIN rd d ON d.corpus_id = r.corpus_id AND d.name = r.target"""
+ORACLE["token_matches"] = BASE + "," + run_ctes("subs") + """ SELECT r.*,
+  substring(array_to_string(d.toks[pos1 + 1 : pos1 + token_count], ''), 1, 500) AS matched_text,
+  row_number() OVER (PARTITION BY r.corpus_id, target, other ORDER BY token_count DESC, pos1, pos2)::BIGINT AS rank
+  FROM runs r JOIN rd d ON d.corpus_id = r.corpus_id AND d.name = r.target QUALIFY rank <= 10"""
+ORACLE["token_ratio"] = (
+    BASE + f", ps AS (SELECT corpus_id, name, {processed_sql('raw_text')} AS raw_text FROM subs),"
+    + dice_ctes(tokens_sql("raw_text"), "0", "w", "ps") + "," + run_ctes("ps") + """,
+  spots AS (SELECT DISTINCT corpus_id, target, other, 1 AS side, unnest(range(pos1, pos1 + token_count)) AS at FROM runs
+    UNION SELECT DISTINCT corpus_id, target, other, 2, unnest(range(pos2, pos2 + token_count)) FROM runs),
+  cov AS (SELECT corpus_id, target, other, count(*) AS n FROM spots GROUP BY ALL)
+  SELECT d.corpus_id, d.target, d.other, round(d.score, 6) AS token,
+    round(CASE WHEN len(a.l) + len(b.l) = 0 THEN 0 ELSE coalesce(c.n, 0) / (len(a.l) + len(b.l)) END::DOUBLE, 6) AS cover
+  FROM wd d JOIN wl a ON a.corpus_id = d.corpus_id AND a.name = d.target JOIN wl b ON b.corpus_id = d.corpus_id AND b.name = d.other
+  LEFT JOIN cov c ON c.corpus_id = d.corpus_id AND c.target = d.target AND c.other = d.other"""
+)
 ORACLE["region_stats"] = CODE + "," + MATCH_SQL + "," + run_ctes("code") + """,
   nb AS (SELECT corpus_id, name, count(*) AS n FROM blocks GROUP BY ALL),
   cb AS (SELECT corpus_id, other, count(*) AS n FROM bm GROUP BY ALL), cr AS (SELECT corpus_id, other, count(*) AS n FROM runs GROUP BY ALL)
@@ -439,16 +484,16 @@ MESSAGES = """msg AS (SELECT page_id AS msg_id, split_part(url, '/', 3) AS host,
     FROM msg m JOIN tags t ON t.channel_id = m.channel_id WHERE m.msg_id > t.mark)"""
 ORACLE["latest_messages"] = with_ctes(MESSAGES) + "SELECT channel_id, tag, msg_id, rank::BIGINT AS rank FROM after WHERE rank <= 30"
 FOUND = """, found AS (SELECT channel_id, tag, msg_id, rank, unnest([url, 'http://' || host || '/all,', url]) AS url, unnest([0, 1, 2]) AS place
-    FROM after WHERE rank <= 500 AND contains(low, tag)),
-  fresh AS (SELECT channel_id, tag, url, rank::BIGINT AS rank, place::BIGINT AS "at" FROM found
+    FROM after WHERE contains(low, tag)),
+  fresh AS (SELECT channel_id, tag, url, msg_id, place::BIGINT AS "at" FROM found
     QUALIFY row_number() OVER (PARTITION BY channel_id, tag, url ORDER BY rank, place) = 1)"""
 ORACLE["tag_urls"] = with_ctes(MESSAGES) + FOUND + " SELECT * FROM fresh"
 ORACLE["cache_upsert"] = with_ctes(MESSAGES) + FOUND + f""",
   old AS (SELECT channel_id, tag, u AS url, min(msg_id) AS pos FROM (SELECT channel_id, msg_id, unnest([url, 'http://' || host || '/all,']) AS u FROM msg),
     (VALUES ('en'), ('fr')) v(tag) GROUP BY ALL),
-  merged AS (SELECT channel_id, tag, url, 0::BIGINT AS age, rank AS p1, "at" AS p2 FROM fresh UNION ALL
+  merged AS (SELECT channel_id, tag, url, 0::BIGINT AS age, -msg_id AS p1, "at" AS p2 FROM fresh UNION ALL
     SELECT channel_id, tag, url, 1, pos, 0 FROM old o WHERE NOT EXISTS (SELECT 1 FROM fresh f WHERE f.channel_id = o.channel_id AND f.tag = o.tag AND f.url = o.url)),
-  newest AS (SELECT channel_id, tag, max(msg_id) AS id FROM after WHERE rank <= 500 GROUP BY ALL),
+  newest AS (SELECT channel_id, tag, max(msg_id) AS id FROM after GROUP BY ALL),
   hit AS (SELECT DISTINCT channel_id, tag FROM fresh)
   SELECT m.*, CASE WHEN h.tag IS NOT NULL THEN CAST(n.id AS VARCHAR) WHEN m.tag = 'en' THEN '20' END AS last_message_id,
     epoch_us(CASE WHEN h.tag IS NOT NULL THEN TIMESTAMP '{AS_OF}' ELSE TIMESTAMP '{FIXED_TIME}' END)::BIGINT AS scraped_us
@@ -457,20 +502,29 @@ ORACLE["url_merge"] = """SELECT page_id, concat_ws(' ', url, split_part(url, '/'
   CASE WHEN lower(url) <> url THEN lower(url) END) AS merged FROM pages"""
 ORACLE["url_changed"] = """SELECT page_id, true AS changed, lower(url) <> url AS changed_again FROM pages"""
 ORACLE["workspaces_newest"] = """SELECT CAST(user_id AS VARCHAR) AS username, CAST(event_id AS VARCHAR) AS instance_id, event_type AS name,
-  epoch_us(ts)::BIGINT AS created_us FROM events"""
+  epoch_us(ts)::BIGINT AS created_us, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id)::BIGINT AS rank FROM events"""
 ORACLE["history_by_user"] = """WITH a AS (SELECT CAST(user_id AS VARCHAR) AS username, NULL::VARCHAR AS asked, event_id, ts FROM events
     UNION ALL SELECT CAST(user_id AS VARCHAR), 'click', event_id, ts FROM events WHERE event_type = 'click')
-  SELECT username, asked, event_id, epoch_us(ts)::BIGINT AS created_us FROM a"""
+  SELECT username, asked, event_id, epoch_us(ts)::BIGINT AS created_us,
+    row_number() OVER (PARTITION BY username, asked ORDER BY ts DESC, event_id)::BIGINT AS rank FROM a"""
 
 # ---- reports ----
 
 SCORES = BASE + "," + SHAPE_DICE + "," + dice_ctes(tokens_sql("raw_text"), "0", "w") + "," + TFIDF + """,
-  sco AS (SELECT p.*, round(s.score, 1) AS ast, round(t.score, 1) AS token, round(c.cosine, 1) AS cosine FROM pairs p
-    JOIN sd s USING (corpus_id, target, other) JOIN wd t USING (corpus_id, target, other) JOIN cosines c USING (corpus_id, target, other)),
-  ov AS (SELECT corpus_id, target, other, v, count(*) AS n FROM (SELECT corpus_id, target, other, unnest([ast, token, cosine]) AS v FROM sco) GROUP BY ALL),
+  sco AS (SELECT p.*, s.score AS ast, t.score AS token, c.cosine AS cosine FROM pairs p
+    JOIN sd s USING (corpus_id, target, other) JOIN wd t USING (corpus_id, target, other) JOIN cosines c USING (corpus_id, target, other))"""
+
+
+def best_sql(values: str) -> str:
+    return f"""ov AS (SELECT corpus_id, target, other, v, count(*) AS n FROM (SELECT corpus_id, target, other, unnest({values}) AS v FROM sco) GROUP BY ALL),
   best AS (SELECT corpus_id, target, other, v AS overall FROM ov QUALIFY row_number() OVER (PARTITION BY corpus_id, target, other ORDER BY n DESC, v DESC) = 1)"""
-ORACLE["overall_match"] = SCORES + " SELECT * FROM best"
-ORACLE["ranked_report"] = SCORES + """ SELECT s.*, overall, CASE WHEN overall > 0.7 THEN 'red' WHEN overall > 0.4 THEN 'orange' ELSE 'green' END AS band
+
+
+ORACLE["overall_match"] = SCORES + "," + best_sql("[round(ast, 1), round(token, 1), round(cosine, 1)]") + " SELECT * FROM best"
+ORACLE["ranked_report"] = SCORES + "," + best_sql("[ast, token, cosine]") + """ SELECT s.corpus_id, s.target, s.other,
+  round(ast, 6) AS ast, round(token, 6) AS token, round(cosine, 6) AS cosine, round(overall, 6) AS overall,
+  CASE WHEN overall > 0.7 THEN 'red' WHEN overall > 0.4 THEN 'orange' ELSE 'green' END AS band,
+  row_number() OVER (PARTITION BY s.corpus_id, s.target ORDER BY overall DESC, other)::BIGINT AS rank
   FROM sco s JOIN best USING (corpus_id, target, other)"""
 ORACLE["score_bands"] = BASE + "," + dice_ctes(tokens_sql("raw_text"), "0", "w") + """ SELECT corpus_id, target, other,
   CASE WHEN score > 0.7 THEN 'red' WHEN score > 0.4 THEN 'orange' ELSE 'green' END AS overall_band,

@@ -15,7 +15,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "pages"), "page_id")
+    """``pages`` with an author, a date and a paragraph full of character references."""
+    head = F.concat(
+        F.lit('<head><meta name="author" content="A. '), F.split_part("url", F.lit("/"), F.lit(3)),
+        F.lit('"><meta property="article:published_time" content="2024-'), F.col("page_id").cast("string"), F.lit('">'),
+    )
+    last = F.lit("<p>It&#8217;s a caf&eacute; &mdash; &#x27;ok&#x27;&nbsp;&hellip;</p></article>")
+    html = F.replace(F.replace("html", F.lit("<head>"), head), F.lit("</article>"), last)
+    return spread(table(spark, sf_dir, "pages").withColumn("html", html), "page_id")
 
 
 def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +59,8 @@ def cached_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def code_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` rewritten as source code: every line becomes a function whose body is a
-    chain of the line's words; the first line becomes a method of a class."""
+    chain of the line's words; the first line becomes a method of a class. Every third function
+    has a string of several lines with a header in it, defaults, an annotation and a lambda."""
     subs = submissions(spark, sf_dir)
     lines = F.filter(F.split("raw_text", "\n"), is_nonblank)
 
@@ -77,8 +85,9 @@ def code_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
             )
             .otherwise(
                 F.concat(
-                    F.lit("def "), label, F.lit("(arg, size="), F.length(line).cast("string"),
-                    F.lit("):\n    "), body(line), F.lit("\n"),
+                    F.lit("def "), label, F.lit("(arg, kind: Dict[str, int] = pick(1), size="), F.length(line).cast("string"),
+                    F.lit('):\n    text = """\ndef ghost(x):\n  '), F.array_join(words(line), " "),
+                    F.lit('\n"""\n    keep = lambda row, *rest, top=pick(2): (row, top, kind)\n    '), body(line), F.lit("\n"),
                 )
             )
         )
@@ -96,7 +105,8 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return table(spark, sf_dir, "conversations").select(
         F.concat(F.lit("conv"), F.col("conv_id").cast("string"), F.lit(".zip")).alias("archive"),
-        path.alias("member_path"), F.col("turn").alias("member_no"), F.col("text").alias("content"),
+        F.col("conv_id").alias("ingest_order"), path.alias("member_path"), F.col("turn").alias("member_no"),
+        F.col("text").alias("content"),
     )
 
 
@@ -187,3 +197,12 @@ def workspaces(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.col("event_type"), F.col("props"), F.col("event_type")).alias("github_urls"),
         F.col("ts").cast("timestamp").alias("created_at"), "event_id",
     )
+
+
+def nested_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` filed twice: by source with a folder in the name, and by source and folder."""
+    docs = submissions(spark, sf_dir)
+    folder = (F.col("ingest_order") % 2).cast("string")
+    return docs.select("corpus_id", F.concat(folder, F.lit("/"), "name").alias("name"), "raw_text").unionByName(
+        docs.select(F.concat("corpus_id", F.lit("/"), folder).alias("corpus_id"), "name", "raw_text")
+    )

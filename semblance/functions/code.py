@@ -29,6 +29,32 @@ OPERATORS = [
 CONTROL_FLOW = {"if": "If", "elif": "If", "for": "For", "while": "While", "try": "Try"}
 
 
+# Text, strings and comments, which tile a source text.
+PIECE_PATTERN = rf"{STRING_PATTERN}|#[^\n]*|[^\"'#]+|[\"']"
+HIDDEN, CONTINUED = "\x01", "\x02"
+
+
+def hide_strings(code: Column) -> Column:
+    """A source text with the content of its strings replaced, line by line.
+
+    The first line of a string keeps its place with ``HIDDEN`` in it; its later lines begin with
+    ``CONTINUED``. Line feeds stay, so lines keep their numbers.
+    """
+    pieces = F.regexp_extract_all(code, F.lit(PIECE_PATTERN), F.lit(0))
+
+    def shown(piece: Column) -> Column:
+        hidden = F.regexp_replace(piece, r"[^\n]+", HIDDEN)
+        return F.when(is_string(piece), F.regexp_replace(hidden, f"\n{HIDDEN}?", f"\n{CONTINUED}")).otherwise(piece)
+
+    return F.array_join(F.transform(pieces, shown), "")
+
+
+def without_comments(code: Column) -> Column:
+    """A source text without its comments; a ``#`` inside a string stays."""
+    pieces = F.regexp_extract_all(code, F.lit(PIECE_PATTERN), F.lit(0))
+    return F.array_join(F.filter(pieces, lambda piece: ~F.startswith(piece, F.lit("#"))), "")
+
+
 def code_tokens(code: Column) -> Column:
     return F.regexp_extract_all(code, F.lit(CODE_TOKEN_PATTERN), F.lit(0))
 
@@ -78,12 +104,9 @@ def starts_statement(before: Column) -> Column:
     return before.isNull() | before.isin("\n", ";")
 
 
-def shape(token: Column, before: Column, after: Column) -> Column:
-    """Literals and names lose their identity; keywords and signs stay."""
-    return (
-        F.when(is_string(token), "STR")
-        .when(is_number(token), "0")
-        .when(is_call(token, before, after), "CALL")
-        .when(is_name(token), "W")
-        .otherwise(token)
-    )
+def shape(token: Column, before: Column, after: Column, preserve_names: bool = False) -> Column:
+    """Literals and, unless preserved, names lose their identity; keywords and signs stay."""
+    literal = F.when(is_string(token), "STR").when(is_number(token), "0")
+    if preserve_names:
+        return literal.otherwise(token)
+    return literal.when(is_call(token, before, after), "CALL").when(is_name(token), "W").otherwise(token)

@@ -2,22 +2,47 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from semblance.functions.text import BLANKS, normalize_ws
 
-# Entities decoded in article text, ampersand last.
-ENTITIES = [
-    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-    ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"),
-]
+# A character reference, other text, or a lone ampersand; they tile a text.
+REFERENCE_PATTERN = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});?|[^&]+|&"
+BETWEEN, AFTER = "\x1e", "\x1f"
+
+
+def _table(pairs: dict[str, str]) -> Column:
+    """A map as one literal."""
+    return F.str_to_map(F.lit(BETWEEN.join(f"{k}{AFTER}{v}" for k, v in pairs.items())), F.lit(BETWEEN), F.lit(AFTER))
+
+
+def _numbered(number: Column) -> Column:
+    """The character of a code point; those that browsers read as Windows-1252 are read so."""
+    old = {str(c): bytes([c]).decode("cp1252", "replace") for c in range(0x80, 0xA0)}
+    valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+    char = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+    return F.coalesce(F.try_element_at(_table(old), number.cast("string")), F.when(valid, char), F.lit("\ufffd"))
 
 
 def decode_entities(text: Column) -> Column:
-    return reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), ENTITIES, text)
+    """All numeric and named character references; what is none stays as it is."""
+
+    def decoded(piece: Column) -> Column:
+        digits = F.regexp_extract(piece, r"^&#([0-9]+);?$", 1)
+        hexed = F.regexp_extract(piece, r"^&#[xX]([0-9a-fA-F]+);?$", 1)
+        named = F.try_element_at(_table(html5), F.substr(piece, F.lit(2)))
+        return (
+            F.when(~F.startswith(piece, F.lit("&")) | (piece == "&"), piece)
+            .when(digits != "", _numbered(digits.cast("bigint")))
+            .when(hexed != "", _numbered(F.conv(hexed, 16, 10).cast("bigint")))
+            .otherwise(F.coalesce(named, piece))
+        )
+
+    pieces = F.regexp_extract_all(text, F.lit(REFERENCE_PATTERN), F.lit(0))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(pieces, decoded), "")).otherwise(text)
 
 
 def _first(html: Column, pattern: str) -> Column:

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from semblance.functions.joins import salted_join, split_join
 from semblance.functions.text import is_nonblank
 from semblance.functions.urls import keeps_member, without_extension
-from semblance.settings import MAX_STORED_BYTES
+from semblance.settings import PART_BYTES
 
 
 def keep_members(members: DataFrame, patterns: Sequence[str] = (), exclude: bool = True) -> DataFrame:
@@ -46,26 +46,29 @@ def combine_members(
     keys: Sequence[str],
     order: str,
     bare_name: str | None = None,
-    limit: int = MAX_STORED_BYTES,
+    limit: int = PART_BYTES,
 ) -> DataFrame:
     """Join the non-blank members of each group under a header line per member.
 
     A single member whose path equals ``bare_name`` stays without header. A group above
-    ``limit`` bytes could not be stored as one submission: it becomes an error row, its content
-    is never gathered, and its members stay available in the input.
+    ``limit`` bytes comes as several rows, ``part_no`` 0, 1, ..., each of whole members and, but
+    for a longer member, within the limit; joined by a blank line the parts are the whole text.
     """
     kept = members.filter(is_nonblank(F.col("content")))
     headed = F.concat(F.lit("# === "), F.col("member_path"), F.lit(" ===\n"), F.col("content"))
-    sized = kept.groupBy(*keys).agg(
-        F.sum(F.octet_length(headed) + 2).alias("n_bytes"), F.count("*").alias("n_members")
-    )
+    size = (F.octet_length(headed) + 2).cast("bigint")
+    sized = kept.groupBy(*keys).agg(F.sum(size).alias("n_bytes"))
     over = sized.filter(F.col("n_bytes") > limit)
-    # Members of an oversized group are removed before any group is gathered. Such groups are
-    # few and short, and their join key is split like every other one.
-    small = salted_join(
+    # Only large groups are cut. They are few and short, and their join key is split like others.
+    marked = salted_join(
         kept, over.select(*keys, F.lit(True).alias("_over")), keys, ["member_path"], how="left"
-    ).filter(F.col("_over").isNull())
-    gathered = small.groupBy(*keys).agg(
+    )
+    before = Window.partitionBy(*keys).orderBy(order, "member_path").rowsBetween(Window.unboundedPreceding, 0)
+    large = marked.filter("_over").withColumn(
+        "part_no", F.floor((F.sum(size).over(before) - 1) / limit)
+    )
+    small = marked.filter(F.col("_over").isNull()).withColumn("part_no", F.lit(0).cast("bigint"))
+    gathered = small.unionByName(large).groupBy(*keys, "part_no").agg(
         F.array_sort(
             F.collect_list(
                 F.struct(F.col(order).alias("o"), F.col("member_path").alias("p"), F.col("content").alias("c"))
@@ -79,20 +82,12 @@ def combine_members(
     if bare_name is not None:
         alone = (F.size("m") == 1) & (F.col("m")[0]["p"] == F.col(bare_name))
         text = F.when(alone, F.col("m")[0]["c"]).otherwise(text)
-    whole = gathered.select(
-        *keys, text.alias("raw_text"), F.size("m").cast("bigint").alias("n_members"),
-        F.lit(None).cast("string").alias("error"),
-    )
-    errors = over.select(
-        *keys, F.lit(None).cast("string").alias("raw_text"), "n_members",
-        F.concat(F.lit("too large: "), F.col("n_bytes").cast("string"), F.lit(f" > {limit} bytes")).alias("error"),
-    )
-    return whole.unionByName(errors)
+    return gathered.select(*keys, "part_no", text.alias("raw_text"), F.size("m").cast("bigint").alias("n_members"))
 
 
 def archive_submissions(
     members: DataFrame, patterns: Sequence[str] = (), exclude: bool = True,
-    limit: int = MAX_STORED_BYTES,
+    limit: int = PART_BYTES,
 ) -> DataFrame:
     """One submission per top-level folder or file of each archive."""
     named = name_submissions(keep_members(members, patterns, exclude))
@@ -101,7 +96,7 @@ def archive_submissions(
 
 def archive_as_single(
     members: DataFrame, patterns: Sequence[str] = (), exclude: bool = True,
-    limit: int = MAX_STORED_BYTES,
+    limit: int = PART_BYTES,
 ) -> DataFrame:
     """One submission per archive, members in archive order, named without the extension."""
     kept = keep_members(members, patterns, exclude)
@@ -111,15 +106,18 @@ def archive_as_single(
 
 
 def last_wins(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """Keep the latest row per key; ``order`` is unique within a key.
+    """Keep the latest row per key; ``order`` is unique within a key and never NULL. NULL is a key
+    like any other.
 
     Only the narrow order column is aggregated, so a hot key shrinks before the shuffle and the
     wide rows are never gathered.
     """
-    latest = rows.groupBy(*keys).agg(F.max(order).alias(order))
-    return rows.join(latest, [*keys, order], "left_semi")
+    latest = rows.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.max(order).alias("_latest"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    return rows.join(latest, [*same, F.col(order) == F.col("_latest")], "left_semi")
 
 
 def extract_summary(submissions: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Number of submissions per batch."""
-    return submissions.groupBy(*keys).agg(F.count("*").alias("n_submissions"))
+    """Number of submissions per batch; the parts of one count once."""
+    first = submissions.filter("part_no = 0")
+    return first.groupBy(*keys).agg(F.count("*").alias("n_submissions"))

@@ -17,10 +17,14 @@ def guard_size(submissions: DataFrame, limit: int = MAX_TEXT_BYTES) -> DataFrame
 
 
 def build_features(
-    submissions: DataFrame, options: TextOptions = TextOptions(), limit: int = MAX_TEXT_BYTES
+    submissions: DataFrame, options: TextOptions = TextOptions(), limit: int | None = None
 ) -> DataFrame:
-    """Processed text and tokens; NULL with a reason in ``error`` for an oversized text."""
-    guarded = guard_size(submissions, limit)
+    """Processed text and tokens. With a ``limit`` in bytes, an oversized text gets none of them
+    and a reason in ``error``; without one every text gets its features."""
+    if limit is None:
+        guarded = submissions.withColumn("error", F.lit(None).cast("string"))
+    else:
+        guarded = guard_size(submissions, limit)
     fits = F.col("error").isNull()
     processed = guarded.withColumn(
         "processed_text", F.when(fits, X.preprocess(F.col("raw_text"), options))
@@ -56,11 +60,11 @@ def chunk_texts(
 def structure_profile(submissions: DataFrame, preserve_names: bool = False) -> DataFrame:
     """How often each element of four families occurs in a submission.
 
-    Equal tokens in equal surroundings are counted first, so that only distinct ones are
-    classified; placed by name, neither count needs a shuffle.
+    Equal tokens in equal surroundings are counted first, within the task that reads the text, so
+    that only distinct ones are moved and classified.
     """
     token, before, after = F.col("token"), F.col("before"), F.col("after")
-    placed = submissions.repartition("corpus_id", "name").select(
+    placed = submissions.select(
         "corpus_id", "name", C.code_tokens(X.strip_comments(F.col("raw_text"))).alias("toks")
     )
     distinct = (
@@ -95,29 +99,25 @@ def structure_profile(submissions: DataFrame, preserve_names: bool = False) -> D
     )
 
 
-def shape_grams(submissions: DataFrame, k: int = SHAPE_GRAM, text: str = "raw_text") -> DataFrame:
-    """One row per k-gram of the shape classes of a submission, line feeds left out.
+def shape_grams(text: str = "raw_text", k: int = SHAPE_GRAM, preserve_names: bool = False) -> Column:
+    """The k-grams of the shape classes of a text as one array, line feeds left out.
 
-    A submission with fewer than ``k`` tokens gives one gram of all its tokens. The classes are
-    built as one array per submission, without rows per token and without a sort.
+    A text with fewer than ``k`` tokens gives one gram of all its tokens.
     """
 
     def classes(toks: Column) -> Column:
         visible = F.filter(C.with_neighbours(toks), lambda x: x["t"] != "\n")
-        return F.transform(visible, lambda x: C.shape(x["t"], x["b"], x["a"]))
+        return F.transform(visible, lambda x: C.shape(x["t"], x["b"], x["a"], preserve_names))
 
-    placed = submissions.repartition("corpus_id", "name")
-    shaped = placed.select(
-        "corpus_id", "name", let(C.code_tokens(X.strip_comments(F.col(text))), classes).alias("shape")
-    )
-    return shaped.select("corpus_id", "name", F.explode_outer(grams("shape", k)).alias("item")).filter(
-        F.col("item").isNotNull()
-    )
+    return let(let(C.code_tokens(X.strip_comments(F.col(text))), classes), lambda arr: gram_array(arr, k))
 
 
 def grams(items: str, k: int = SHAPE_GRAM) -> Column:
     """The k-grams of an array column; a shorter array gives one gram of all its items."""
-    arr = F.col(items)
+    return gram_array(F.col(items), k)
+
+
+def gram_array(arr: Column, k: int) -> Column:
     whole = F.when(F.size(arr) > 0, F.array(F.array_join(arr, " "))).otherwise(
         F.array().cast("array<string>")
     )

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from semblance.functions.joins import split_join
 from semblance.functions.urls import find_urls
-from semblance.settings import MESSAGE_LIMIT
 from semblance.sources.tables import plain_tag
 
 TAGGED = ["channel_id", "tag"]
@@ -25,14 +24,17 @@ def messages_after(messages: DataFrame, marks: DataFrame) -> DataFrame:
     return joined.filter(F.col("msg_id") > after).drop("last_message_id")
 
 
-def latest_messages(messages: DataFrame, marks: DataFrame, limit: int = MESSAGE_LIMIT) -> DataFrame:
-    """The newest ``limit`` messages after the marker, per channel and tag.
+def latest_messages(messages: DataFrame, marks: DataFrame, limit: int | None = None) -> DataFrame:
+    """The messages after the marker, per channel and tag; with a ``limit`` the newest of them.
 
-    The limit is applied in every task before the shuffle.
+    A limit is applied in every task before the shuffle. Older messages are left out by it for
+    good once the marker moves, so it belongs to calls that want the newest only.
     """
+    after = messages_after(messages, marks)
+    if limit is None:
+        return after
     newest = Window.partitionBy(*TAGGED).orderBy(F.desc("msg_id"))
-    ranked = messages_after(messages, marks).withColumn("rank", F.row_number().over(newest))
-    return ranked.filter(F.col("rank") <= limit)
+    return after.withColumn("rank", F.row_number().over(newest)).filter(F.col("rank") <= limit)
 
 
 def has_tag(content: Column, tag: Column) -> Column:
@@ -43,17 +45,17 @@ def has_tag(content: Column, tag: Column) -> Column:
 def tag_urls(latest: DataFrame) -> DataFrame:
     """Distinct URLs per channel and tag in the order they are first met, newest message first."""
     found = latest.filter(has_tag(F.col("content"), F.col("tag"))).select(
-        *TAGGED, "rank", F.posexplode(find_urls(F.col("content"))).alias("at", "url")
+        *TAGGED, (-F.col("msg_id")).alias("age"), F.posexplode(find_urls(F.col("content"))).alias("at", "url")
     )
-    first = found.groupBy(*TAGGED, "url").agg(F.min(F.struct("rank", "at")).alias("first"))
-    return first.select(*TAGGED, "url", F.col("first.rank").alias("rank"), F.col("first.at").alias("at"))
+    first = found.groupBy(*TAGGED, "url").agg(F.min(F.struct("age", "at")).alias("first"))
+    return first.select(*TAGGED, "url", (-F.col("first.age")).alias("msg_id"), F.col("first.at").alias("at"))
 
 
 def merge_into_cache(cached: DataFrame, fresh: DataFrame) -> DataFrame:
     """New URLs first in their order, then the cached ones not among them in theirs."""
     old = cached.join(fresh.select(*TAGGED, "url"), [*TAGGED, "url"], "left_anti")
     return fresh.select(
-        *TAGGED, "url", F.lit(0).alias("age"), F.col("rank").cast("bigint").alias("p1"), F.col("at").cast("bigint").alias("p2")
+        *TAGGED, "url", F.lit(0).alias("age"), (-F.col("msg_id")).cast("bigint").alias("p1"), F.col("at").cast("bigint").alias("p2")
     ).unionByName(
         old.select(*TAGGED, "url", F.lit(1).alias("age"), F.col("pos").cast("bigint").alias("p1"), F.lit(0).cast("bigint").alias("p2"))
     )

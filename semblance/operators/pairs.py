@@ -7,8 +7,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from semblance.functions.arrays import counted
 from semblance.functions.joins import broadcast_if_few, narrow_join, split_join
-from semblance.functions.kernels import sequence_ratio, text_ratio
+from semblance.functions.kernels import text_ratio
 from semblance.session import cut_lineage
 
 PAIR = ["corpus_id", "target", "other"]
@@ -68,24 +69,12 @@ def text_scores(rows: DataFrame, targets: DataFrame, columns: dict[str, str]) ->
     )
 
 
-def token_scores(features: DataFrame, targets: DataFrame) -> DataFrame:
-    """Exact sequence ratio over the tokens of each pair."""
-    pairs = with_target(features, targets, ["tokens"])
-    return pairs.select(*PAIR, sequence_ratio("t_tokens", "o_tokens").alias("token"))
-
-
 def item_counts(rows: DataFrame, items: Column) -> DataFrame:
     """``(corpus_id, name, item, n)``: how often each item occurs in each row's array.
 
-    The texts are placed by name before they are taken apart, so counting and sizing the items of
-    a submission need no further shuffle.
+    One row is one submission, so its items are counted inside the row: no text is moved.
     """
-    placed = rows.repartition("corpus_id", "name")
-    return count_items(placed.select("corpus_id", "name", F.explode(items).alias("item")))
-
-
-def count_items(exploded: DataFrame) -> DataFrame:
-    return exploded.groupBy("corpus_id", "name", "item").agg(F.count("*").alias("n"))
+    return rows.select("corpus_id", "name", F.inline(counted(items)))
 
 
 def bag_overlap(

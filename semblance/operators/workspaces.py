@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from semblance.functions.joins import split_join
@@ -21,11 +21,9 @@ def of_user(rows: DataFrame, username: str, instance_id: str | None = None) -> D
 
 
 def newest_first(rows: DataFrame, owner: Sequence[str], tie: str) -> DataFrame:
-    """The listings of all owners at once, newest first within each owner.
-
-    The rows are range-partitioned by the whole sort key, so a busy owner is spread over tasks.
-    """
-    return rows.orderBy(*owner, F.desc("created_at"), tie)
+    """The listings of all owners at once, newest first within each owner, with their ``rank``."""
+    newest = Window.partitionBy(*owner).orderBy(F.desc("created_at"), tie)
+    return rows.withColumn("rank", F.row_number().over(newest)).orderBy(*owner, "rank")
 
 
 def look_up_history(history: DataFrame, requests: DataFrame) -> DataFrame:

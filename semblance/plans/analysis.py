@@ -2,43 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from semblance.functions import scores as S
-from semblance.functions.kernels import sequence_ratio, text_ratio
-from semblance.operators.features import build_features, guard_size, shape_grams
-from semblance.operators.pairs import PAIR, bag_scores, count_items, with_target
+from semblance.operators.features import build_features, shape_grams
+from semblance.operators.pairs import PAIR, bag_scores, item_counts, missing_targets, text_scores
 from semblance.operators.tfidf import tfidf_cosine
+from semblance.operators.token_scores import token_scores
 from semblance.operators.vectors import file_scores, vector_cosine, vector_topk
+from semblance.session import cut_lineage
 from semblance.settings import TOP_K, TextOptions
 
 METRICS = ["raw", "processed", "ast", "token", "cosine", "vector"]
 
 
-def shape_scores(submissions: DataFrame, targets: DataFrame) -> DataFrame:
+def shape_scores(submissions: DataFrame, targets: DataFrame, preserve_names: bool = False) -> DataFrame:
     """Structure score: Dice of shape k-grams; a text without code tokens scores 0."""
-    return bag_scores(submissions, lambda rows: count_items(shape_grams(rows)), targets, "ast", 0.0)
+    items = shape_grams(preserve_names=preserve_names)
+    return bag_scores(submissions, lambda rows: item_counts(rows, items), targets, "ast", 0.0)
+
+
+def feature_table(
+    submissions: DataFrame, options: TextOptions = TextOptions(), limit: int | None = None
+) -> DataFrame:
+    """The features of all submissions, stored: every score of a job reads this table."""
+    return cut_lineage(build_features(submissions, options, limit))
 
 
 def analyze_fast(
-    submissions: DataFrame, targets: DataFrame, options: TextOptions = TextOptions()
+    submissions: DataFrame,
+    targets: DataFrame,
+    options: TextOptions = TextOptions(),
+    features: DataFrame | None = None,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Raw, processed, structure and token scores of each pair."""
-    # An oversized submission keeps its pair; its scores are NULL.
-    fitting = F.when(F.col("error").isNull(), F.col("raw_text"))
-    features = build_features(submissions, options).withColumn("raw_text", fitting)
-    pairs = with_target(features, targets, ["raw_text", "processed_text", "tokens"])
-    exact = pairs.select(
-        *PAIR,
-        text_ratio("t_raw_text", "o_raw_text").alias("raw"),
-        text_ratio("t_processed_text", "o_processed_text").alias("processed"),
-        sequence_ratio("t_tokens", "o_tokens").alias("token"),
-    )
-    sized = guard_size(submissions).filter(F.col("error").isNull())
-    return exact.join(shape_scores(sized, targets), PAIR, "left").select(
-        *PAIR, "raw", "processed", "ast", "token"
+    """Raw, processed, structure and token scores of each pair.
+
+    ``features`` are those of an earlier run (``preprocess_with_cache``); without them they are
+    built once. A pair with a text above ``limit`` bytes keeps its row with NULL scores. A target
+    that does not exist has a row with ``error`` and no ``other``.
+    """
+    rows = feature_table(submissions, options, limit) if features is None else features
+    fitting = rows.filter(F.col("error").isNull())
+    shown = rows.withColumn("raw_text", F.when(F.col("error").isNull(), F.col("raw_text")))
+    exact = text_scores(shown, targets, {"raw_text": "raw", "processed_text": "processed"})
+    scored = (
+        exact.join(shape_scores(fitting, targets, options.preserve_variable_names), PAIR, "left")
+        .join(token_scores(fitting, targets), PAIR, "left")
+        .select(*PAIR, "raw", "processed", "ast", "token", "cover")
     )
+    absent = missing_targets(targets, rows).select("corpus_id", "target", F.col("reason").alias("error"))
+    return scored.withColumn("error", F.lit(None).cast("string")).unionByName(absent, allowMissingColumns=True)
 
 
 def analyze_sparse(
@@ -46,11 +61,14 @@ def analyze_sparse(
     targets: DataFrame,
     options: TextOptions = TextOptions(),
     vectors: DataFrame | None = None,
+    features: DataFrame | None = None,
+    limit: int | None = None,
 ) -> DataFrame:
     """The fast scores with TF-IDF cosine and, if vectors are given, dense cosine."""
-    features = build_features(submissions, options).filter(F.col("error").isNull())
-    scored = analyze_fast(submissions, targets, options).join(
-        tfidf_cosine(features, targets, "processed_text"), PAIR, "left"
+    rows = feature_table(submissions, options, limit) if features is None else features
+    fitting = rows.filter(F.col("error").isNull())
+    scored = analyze_fast(submissions, targets, options, rows).join(
+        tfidf_cosine(fitting, targets, "processed_text"), PAIR, "left"
     )
     if vectors is not None:
         scored = scored.join(vector_cosine(vectors, targets), PAIR, "left")
@@ -67,13 +85,12 @@ def analyze_vector(
 ) -> DataFrame:
     """Fast scores of the files among the ``k`` nearest chunks of each target.
 
-    ``chunks(namespace, name, chunk_no, embedding)`` has the corpus as namespace; the target's
-    first chunk is the query.
+    ``chunks(namespace, name, chunk_no, embedding)`` has the corpus as namespace; all chunks of
+    the target are its query, and a chunk is as near as it is to the nearest of them.
     """
-    queries = (
-        chunks.filter(F.col("chunk_no") == 0)
-        .join(targets.select(F.col("corpus_id").alias("namespace"), F.col("target").alias("name")), ["namespace", "name"], "left_semi")
-        .select("namespace", F.col("name").alias("query"), "embedding")
+    asked = targets.select(F.col("corpus_id").alias("namespace"), F.col("target").alias("name"))
+    queries = chunks.join(asked, ["namespace", "name"], "left_semi").select(
+        "namespace", F.col("name").alias("query"), "embedding"
     )
     near = file_scores(vector_topk(chunks, queries, k), agg).select(
         F.col("namespace").alias("corpus_id"), F.col("query").alias("target"), "name",
@@ -86,7 +103,8 @@ def analyze_vector(
     subset = submissions.join(wanted, ["corpus_id", "name"], "left_semi")
     scored = analyze_fast(subset, targets, options)
     return scored.join(near.withColumnRenamed("name", "other"), PAIR, "left").select(
-        *PAIR, "raw", "processed", "ast", "token", F.coalesce("vector", F.lit(0.0)).alias("vector")
+        *PAIR, "raw", "processed", "ast", "token", "cover",
+        F.when(F.col("error").isNull(), F.coalesce("vector", F.lit(0.0))).alias("vector"), "error",
     )
 
 
@@ -94,10 +112,12 @@ def ranked_report(scores: DataFrame) -> DataFrame:
     """Scores with the overall match and its band, ranked within each target."""
     present = [F.col(m) for m in METRICS if m in scores.columns]
     overall = S.overall_match(F.array_compact(F.array(*present)))
+    best = Window.partitionBy("corpus_id", "target").orderBy(F.desc("overall"), "other")
     return (
         scores.withColumn("overall", overall)
         .withColumn("band", S.overall_band(F.col("overall")))
-        .orderBy("corpus_id", "target", F.desc("overall"), "other")
+        .withColumn("rank", F.row_number().over(best))
+        .orderBy("corpus_id", "target", "rank")
     )
 
 

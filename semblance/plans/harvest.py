@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from semblance.operators.harvest import TAGGED, latest_messages, merge_into_cache, next_marks, tag_urls
 from semblance.session import cut_lineage
-from semblance.settings import MESSAGE_LIMIT
 from semblance.sources.tables import plain_tag
 
 
@@ -17,7 +16,7 @@ def refresh_urls(
     marks: DataFrame,
     scraped_at: Column,
     force: bool = False,
-    limit: int = MESSAGE_LIMIT,
+    limit: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """The new cache and markers.
 
@@ -27,7 +26,7 @@ def refresh_urls(
     asked = marks
     if force:
         asked = marks.withColumn("last_message_id", F.lit(None).cast("string"))
-    # At most ``limit`` messages per channel and tag; read by the URLs and the markers.
+    # Read by the URLs and the markers.
     latest = cut_lineage(latest_messages(messages, asked, limit))
     fresh = tag_urls(latest)
     if force:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+# Limits, lifetimes and defaults that results depend on.
 MAX_TEXT_BYTES = 5 * 1024 * 1024
-# A stored submission may not exceed this; larger combinations become error rows.
-MAX_STORED_BYTES = 16 * 1024 * 1024
+# A row of a combined submission holds about so much text; larger ones come in several parts.
+PART_BYTES = 16 * 1024 * 1024
 BUFFER_TTL_SECONDS = 3600
 CHUNK_TOKENS = 512
 CHUNK_OVERLAP = 50
@@ -18,6 +19,7 @@ MAX_TOKEN_MATCHES = 10
 MATCHED_TEXT_CHARS = 500
 MESSAGE_LIMIT = 500
 SHAPE_GRAM = 3
+# Fixed value: the line between the code cells of a notebook.
 NOTEBOOK_SEPARATOR = "\n\n# === CELL SEPARATOR ===\n\n"
 
 # How many ways a join key is split when one key may hold a large share of all rows: one part per

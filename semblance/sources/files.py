@@ -21,6 +21,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 NOTEBOOK_SCHEMA = "cells array<struct<cell_type: string, source: variant>>"
 
+# Tasks that list the entries of a folder.
+MAX_LISTING_TASKS = 1000
+
 
 def decode_text(content: Column) -> Column:
     """UTF-8 with undecodable bytes left out."""
@@ -94,7 +97,7 @@ def scan_folder(
         return spark.createDataFrame([], "name string, raw_text string")
     entries = [(folder, info.path) for info in system.get_file_info(FileSelector(base))]
     tops = spark.createDataFrame(entries, "root string, path string")
-    files = tops.repartition(max(1, len(entries)), "path").mapInPandas(_list_files, tops.schema)
+    files = tops.repartition(min(max(1, len(entries)), MAX_LISTING_TASKS), "path").mapInPandas(_list_files, tops.schema)
     name = F.substr("path", F.lit(len(base.rstrip("/")) + 2))
     named = files.withColumn("name", name).filter(keeps_file(F.col("name"), patterns, exclude))
     read = named.repartition("path").mapInPandas(_read_files, "name string, content binary")

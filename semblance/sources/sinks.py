@@ -11,9 +11,12 @@ from semblance.settings import BUFFER_TTL_SECONDS
 
 
 def buffer_rows(submissions: DataFrame, buffer_id: str, created_at: Column) -> DataFrame:
-    """Submissions as rows of one buffer that expires an hour after its creation."""
+    """Submissions as rows of one buffer that expires an hour after its creation. A large
+    submission has several rows, told apart by ``part_no``."""
+    part = F.col("part_no") if "part_no" in submissions.columns else F.lit(0)
     return submissions.select(
-        F.lit(buffer_id).alias("corpus_id"), "name", "raw_text", created_at.alias("created_at")
+        F.lit(buffer_id).alias("corpus_id"), "name", part.cast("bigint").alias("part_no"), "raw_text",
+        created_at.alias("created_at"),
     ).withColumn("expires_at", expiry(F.col("created_at")))
 
 

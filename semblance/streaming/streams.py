@@ -8,7 +8,7 @@ what it reads.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -16,10 +16,11 @@ from semblance.operators.corpus import last_wins
 from semblance.operators.features import chunk_texts
 from semblance.operators.harvest import TAGGED, latest_messages, tag_urls
 from semblance.operators.incremental import changed_files
-from semblance.settings import MESSAGE_LIMIT
 from semblance.sources.sinks import expiry
+from semblance.sources.tables import live_buffers
 
-URL_SCHEMA = "channel_id string, tag string, url string, rank long, at long"
+URL_SCHEMA = "channel_id string, tag string, url string, msg_id long, at long"
+FILE_SCHEMA = "namespace string, name string, content_hash string"
 CHUNK_SCHEMA = "namespace string, name string, chunk_no int, content_hash string, text string"
 
 
@@ -38,18 +39,17 @@ def _read_parts(spark: SparkSession, store: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], full)
 
 
-def harvest_stream(
-    messages: DataFrame, tags: DataFrame, store: str, checkpoint: str, limit: int = MESSAGE_LIMIT
-) -> StreamingQuery:
+def harvest_stream(messages: DataFrame, tags: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
     """Collect tagged URLs from a message stream. The checkpoint takes the place of the marker.
 
-    ``tags(channel_id, tag)`` is a table; batches without a match add nothing.
+    ``tags(channel_id, tag)`` is a table. All messages of a batch are read; batches without a
+    match add nothing.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         asked = tags.withColumn("last_message_id", F.lit(None).cast("string"))
-        found = tag_urls(latest_messages(batch, asked, limit))
-        rows = found.select(*TAGGED, "url", F.col("rank").cast("long"), F.col("at").cast("long"))
+        found = tag_urls(latest_messages(batch, asked))
+        rows = found.select(*TAGGED, "url", F.col("msg_id").cast("long"), F.col("at").cast("long"))
         _write_part(rows, store, batch_id)
 
     return (
@@ -62,38 +62,41 @@ def harvested_urls(spark: SparkSession, store: str) -> DataFrame:
     """Every URL once with its latest batch: newer batches first, then the order inside them."""
     rows = _read_parts(spark, store, URL_SCHEMA)
     newest = rows.groupBy(*TAGGED, "url").agg(
-        F.max_by(F.struct("batch", "rank", "at"), "batch").alias("last")
+        F.max_by(F.struct("batch", "msg_id", "at"), "batch").alias("last")
     )
-    return newest.select(*TAGGED, "url", "last.*").orderBy(*TAGGED, F.desc("batch"), "rank", "at")
+    return newest.select(*TAGGED, "url", "last.*").orderBy(*TAGGED, F.desc("batch"), F.desc("msg_id"), "at")
 
 
-def buffer_stream(submissions: DataFrame, lifetime: str = "1 hour") -> DataFrame:
-    """Submissions of a stream, one per key within the buffer lifetime, with their expiry.
+def buffer_stream(submissions: DataFrame) -> DataFrame:
+    """Submissions of a stream with their expiry. Every version is kept, without state;
+    ``current_buffer`` reads the latest live one of each key."""
+    return submissions.withColumn("expires_at", expiry(F.col("created_at")))
 
-    The watermark bounds the state: keys older than the lifetime are dropped from it.
-    """
-    return (
-        submissions.withWatermark("created_at", lifetime)
-        .dropDuplicatesWithinWatermark(["corpus_id", "name"])
-        .withColumn("expires_at", expiry(F.col("created_at")))
-    )
+
+def current_buffer(rows: DataFrame, now: Column) -> DataFrame:
+    """The latest version of each buffered submission that has not expired; later writes win."""
+    return last_wins(live_buffers(rows, now), ["corpus_id", "name"], "created_at")
 
 
 def ingest_stream(submissions: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
     """Chunk only new or changed submissions of a stream.
 
     ``submissions(corpus_id, name, raw_text, ingest_order)``; of two versions in one batch the
-    later counts. A repeated batch is compared with the parts before it.
+    later counts. The store has a manifest row per file version, also for a text without chunks,
+    so batches are compared with that narrow table. A repeated batch is compared with the parts
+    before it, and its chunks are written before its manifest names them.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        before = _read_parts(spark, store, CHUNK_SCHEMA).filter(F.col("batch") < batch_id)
-        manifest = _latest(before).select(
-            F.col("namespace").alias("corpus_id"), "name", "content_hash"
-        ).distinct()
+        before = _read_parts(spark, f"{store}/files", FILE_SCHEMA).filter(F.col("batch") < batch_id)
+        manifest = _latest_files(before).select(F.col("namespace").alias("corpus_id"), "name", "content_hash")
         latest = last_wins(batch, ["corpus_id", "name"], "ingest_order")
-        _write_part(chunk_texts(changed_files(latest, manifest)), store, batch_id)
+        changed = changed_files(latest, manifest).persist()
+        _write_part(chunk_texts(changed), f"{store}/chunks", batch_id)
+        files = changed.select(F.col("corpus_id").alias("namespace"), "name", "content_hash")
+        _write_part(files, f"{store}/files", batch_id)
+        changed.unpersist()
 
     return (
         submissions.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
@@ -101,12 +104,15 @@ def ingest_stream(submissions: DataFrame, store: str, checkpoint: str) -> Stream
     )
 
 
-def _latest(rows: DataFrame) -> DataFrame:
-    """The rows of each file's latest batch. A file's rows are few and bounded by its text."""
-    newest = F.max("batch").over(Window.partitionBy("namespace", "name"))
-    return rows.withColumn("_newest", newest).filter(F.col("batch") == F.col("_newest")).drop("_newest")
+def _latest_files(files: DataFrame) -> DataFrame:
+    """The latest version of each file, from the narrow manifest alone."""
+    return files.groupBy("namespace", "name").agg(
+        F.max_by("content_hash", "batch").alias("content_hash"), F.max("batch").alias("batch")
+    )
 
 
 def ingested_chunks(spark: SparkSession, store: str) -> DataFrame:
-    """Current chunks: those of the latest version of each file."""
-    return _latest(_read_parts(spark, store, CHUNK_SCHEMA)).drop("batch")
+    """Current chunks: those of the latest version of each file; a blank file has none."""
+    current = _latest_files(_read_parts(spark, f"{store}/files", FILE_SCHEMA))
+    chunks = _read_parts(spark, f"{store}/chunks", CHUNK_SCHEMA)
+    return chunks.join(current.select("namespace", "name", "batch"), ["namespace", "name", "batch"], "left_semi").drop("batch")

@@ -1,7 +1,9 @@
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from checks.catalog import QUERIES
 from checks.compare import check, duck
+from checks.oracle import ORACLE
 
 SMALL = "/root/testdata/sf0.001"
 FAST = [
@@ -10,14 +12,12 @@ FAST = [
     "code_blocks", "block_norm", "token_runs", "vector_topk", "cache_merged", "changed_files", "cache_upsert",
     "workspace_update",
 ]
-WITHOUT_SQL = {
-    "raw_ratio", "processed_ratio", "token_ratio", "analyze_fast", "analyze_sparse", "analyze_vector",
-    "token_matches", "region_report",
-}
+WITHOUT_SQL = {"raw_ratio", "processed_ratio", "analyze_fast", "analyze_sparse", "analyze_vector", "region_report"}
 
 
 def test_every_query_has_sql_unless_it_needs_a_kernel():
-    assert set(queries()) - set(oracle_sql()) == WITHOUT_SQL
+    assert set(QUERIES) - set(ORACLE) == WITHOUT_SQL
+    assert set(QUERIES) <= set(queries())
     assert set(oracle_sql()) <= set(queries())
 
 

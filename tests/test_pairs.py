@@ -13,19 +13,25 @@ from semblance.operators import features as A
 from semblance.operators import pairs as P
 from semblance.operators import tfidf as TF
 from semblance.plans import analysis as AN
+from semblance.plans.preprocess import preprocess_all, preprocess_with_cache
+from semblance.settings import TextOptions
 
-FAST = {
-    "fast": {
-        "target.py": 'def run():\n    log("start")\n    total = 4 + 9',
-        "similar.py": 'def run():\n    log("go")\n    count = 5 + 8',
-        "different.py": "class Store:\n    def open(self): pass",
-        "another.py": "import sys\nfor n in range(3): show(n)",
-    },
-    "pair": {
-        "file1": 'def greet():\n    say("morning")',
-        "file2": 'def greet():\n    say("evening")',
-        "file3": "class Shelf:\n    def put(self): pass",
+
+
+def steps(seed, names):
+    """A random straight program over the given names."""
+    rng = random.Random(seed)
+    forms = ["{0} = {1} * {2} - {3}", "while {0} < {3}:\n    {1} += {2}", "{0}, {1} = {1}, {0}", "send({0}, to={2})", "del {1}"]
+    return "\n".join(rng.choice(forms).format(*rng.sample(names, 3), rng.randint(0, 99)) for _ in range(12))
+
+
+METALS, TREES = ["iron", "zinc", "tin", "lead"], ["oak", "ash", "elm", "fir"]
+CORPORA = {
+    "north": {
+        "origin": steps(1, METALS), "renamed": steps(1, TREES), "unlike": steps(2, TREES),
+        "letter": "Dear reader, there is no program in here; only words.",
     },
+    "south": {"origin": steps(5, TREES), "same": steps(5, TREES), "blank": ""},
 }
 
 
@@ -34,20 +40,37 @@ def scored(df, metric):
 
 
 def test_every_target_meets_the_rest(corpus):
-    subs = corpus(FAST)
+    subs = corpus(CORPORA)
     targets = P.default_targets(subs)
-    assert {tuple(r) for r in targets.collect()} == {("fast", "target.py"), ("pair", "file1")}
-    rows = AN.analyze_fast(subs, targets).collect()
-    assert sorted((r.corpus_id, r.other) for r in rows) == [
-        ("fast", "another.py"), ("fast", "different.py"), ("fast", "similar.py"), ("pair", "file2"), ("pair", "file3"),
-    ]
-    by = {r.other: r for r in rows}
-    assert by["file2"].raw > by["file3"].raw
-    assert by["similar.py"].ast > by["different.py"].ast
-    for r in rows:
-        assert all(0 <= r[m] <= 1 for m in ("raw", "processed", "ast", "token"))
-    raw = indel_ratio(FAST["fast"]["target.py"], FAST["fast"]["similar.py"])
-    assert by["similar.py"].raw == pytest.approx(raw)
+    assert {tuple(r) for r in targets.collect()} == {("north", "origin"), ("south", "origin")}
+    rows = {(r.corpus_id, r.other): r for r in AN.analyze_fast(subs, targets).collect()}
+    assert set(rows) == {(c, f) for c, files in CORPORA.items() for f in files if f != "origin"}
+    for (c, f), r in rows.items():
+        assert all(0 <= r[m] <= 1 for m in ("raw", "processed", "ast", "token", "cover")) and r.error is None
+        assert r.raw == pytest.approx(indel_ratio(CORPORA[c]["origin"], CORPORA[c][f]))
+    # Renaming changes the words, not the shape.
+    assert rows["north", "renamed"].ast == 1.0 > rows["north", "renamed"].token
+    assert rows["north", "letter"].ast < rows["north", "unlike"].ast < 1.0
+    same, blank = rows["south", "same"], rows["south", "blank"]
+    assert [same[m] for m in ("raw", "processed", "ast", "token", "cover")] == [1.0] * 5
+    assert [blank[m] for m in ("raw", "ast", "token", "cover")] == [0.0] * 4
+
+
+def test_names_count_when_preserved(corpus):
+    subs = corpus({"c": {"origin": steps(1, METALS), "renamed": steps(1, TREES)}})
+    options = TextOptions(preserve_variable_names=True)
+    targets = P.default_targets(subs)
+    assert AN.analyze_fast(subs, targets, options).first().ast < AN.analyze_fast(subs, targets).first().ast == 1.0
+
+
+def test_cached_features_score_like_fresh_ones(corpus):
+    subs = corpus(CORPORA)
+    targets = P.default_targets(subs)
+    cached, _ = preprocess_with_cache(subs, preprocess_all(subs.limit(0)))
+    fresh, again = (
+        sorted(tuple(r) for r in AN.analyze_sparse(subs, targets, features=f).fillna("").collect()) for f in (None, cached)
+    )
+    assert fresh == again and len(fresh) == 5
 
 
 def test_bounds_and_symmetry(corpus):
@@ -95,21 +118,24 @@ def test_cosine_against_plain_python(corpus):
 
 
 def test_missing_targets(spark, corpus):
-    subs = corpus(FAST)
+    subs = corpus(CORPORA)
     asked = spark.createDataFrame(
-        [("fast", "target.py"), ("fast", "gone.py"), ("none", "x")], "corpus_id string, target string"
+        [("south", "origin"), ("south", "lost"), ("west", "origin")], "corpus_id string, target string"
     )
-    assert {(r.target, r.reason) for r in P.missing_targets(asked, subs).collect()} == {
-        ("gone.py", "Target 'gone.py' not found"), ("x", "No submissions provided"),
-    }
+    reasons = {("south", "lost", "Target 'lost' not found"), ("west", "origin", "No submissions provided")}
+    assert {tuple(r) for r in P.missing_targets(asked, subs).collect()} == reasons
+    rows = AN.analyze_fast(subs, asked).collect()
+    assert {(r.corpus_id, r.target, r.error) for r in rows if r.other is None} == reasons
+    assert {r.other for r in rows if r.error is None} == {"same", "blank"}
 
 
-def test_oversized_submission_has_null_scores(corpus, monkeypatch):
+def test_oversized_submission_has_null_scores_only_with_a_limit(corpus):
     subs = corpus({"c": {"a": "x = 1", "b": "y = 2", "big": "z = 3 " * 100}})
-    monkeypatch.setattr(A.X, "size_error", lambda t, limit: F.when(F.octet_length(t) > 50, F.lit("too large")))
-    rows = {r.other: r for r in AN.analyze_fast(subs, P.default_targets(subs)).collect()}
+    targets = P.default_targets(subs)
+    rows = {r.other: r for r in AN.analyze_fast(subs, targets, limit=50).collect()}
     assert rows["b"].raw is not None
     assert [rows["big"][m] for m in ("raw", "processed", "ast", "token")] == [None] * 4
+    assert all(r.raw is not None for r in AN.analyze_fast(subs, targets).collect())
 
 
 def test_ranked_report(spark):
@@ -118,7 +144,9 @@ def test_ranked_report(spark):
         "corpus_id string, target string, other string, raw double, token double, cosine double",
     )
     rows = AN.ranked_report(scores).collect()
-    assert [(r.other, r.overall, r.band) for r in rows] == [("b", 0.8, "red"), ("a", 0.5, "orange"), ("n", 0.0, "green")]
+    assert [(r.rank, r.other, r.overall, r.band) for r in rows] == [
+        (1, "b", 0.8, "red"), (2, "a", 0.5, "orange"), (3, "n", 0.0, "green"),
+    ]
 
 
 def test_hot_key_join_keeps_all_rows(spark):
@@ -154,3 +182,15 @@ def test_pairs_of_a_hot_corpus(corpus, monkeypatch):
     assert len(scores) == 90 and scores[("hot", "f5")] == 1.0
     cosine = scored(TF.tfidf_cosine(subs, targets), "cosine")
     assert len(cosine) == 90 and cosine[("hot", "f5")] == pytest.approx(1.0)
+
+
+def test_counted_in_the_row(spark):
+    rng = random.Random(3)
+    lists = [[], [None], ["a"], ["a", None, "a"]] + [[rng.choice("abcdé") for _ in range(rng.randint(0, 40))] for _ in range(30)]
+    df = spark.createDataFrame([("c", str(i), v) for i, v in enumerate(lists)], "corpus_id string, name string, x array<string>")
+    got = P.item_counts(df, F.col("x"))
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    found = {}
+    for r in got.collect():
+        found.setdefault(int(r.name), {})[r["item"]] = r.n
+    assert found == {i: dict(c) for i, v in enumerate(lists) if (c := Counter(x for x in v if x is not None))}

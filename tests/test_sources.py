@@ -1,9 +1,11 @@
 import fnmatch
+import html
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
+from semblance.functions import html as H
 from semblance.functions import urls as U
 from semblance.operators import corpus as C
 from semblance.plans import ingest as IN
@@ -48,18 +50,68 @@ def test_single_submission_keeps_archive_order(spark):
     assert built(C.archive_as_single(df)) == {"work.v1": "# === z.py ===\n1\n\n# === a.py ===\n2"}
 
 
-def test_oversized_group_becomes_an_error_row(spark):
-    df = members(spark, "s.zip", [("ann/a.py", "x" * 50), ("ann/b.py", "y" * 50), ("bob/c.py", "z")])
-    rows = {r.name: r for r in C.archive_submissions(df, limit=100).collect()}
-    assert rows["ann"].raw_text is None and rows["ann"].error.startswith("too large") and rows["ann"].n_members == 2
-    assert rows["bob"].error is None and rows["bob"].raw_text.endswith("z")
+@pytest.mark.parametrize("limit", [100, 16 << 20])
+def test_large_group_comes_in_parts(spark, limit):
+    size = 50 if limit == 100 else 6 << 20
+    files = [(f"ann/{i}.py", chr(97 + i) * size) for i in range(5)] + [("bob/c.py", "z")]
+    df = members(spark, "s.zip", files)
+    rows = C.archive_submissions(df, limit=limit).orderBy("name", "part_no").collect()
+    parts = [r for r in rows if r.name == "ann"]
+    assert len(parts) > 1 and [r.part_no for r in parts] == list(range(len(parts)))
+    assert "\n\n".join(r.raw_text for r in parts) == "\n\n".join(f"# === {p} ===\n{t}" for p, t in files[:5])
+    assert sum(r.n_members for r in parts) == 5
+    assert [r.raw_text for r in rows if r.name == "bob"] == ["# === bob/c.py ===\nz"]
+
+
+def arrived(df, order):
+    return df.withColumn("ingest_order", F.lit(order))
 
 
 def test_later_archive_wins(spark):
-    df = members(spark, "1.zip", [("a.py", "old"), ("b.py", "b")]).union(members(spark, "2.zip", [("a.py", "new"), ("c.py", "c")]))
+    old = members(spark, "9.zip", [("a.py", "old"), ("b.py", "b"), ("notes.pdf", "dropped")])
+    new = members(spark, "10.zip", [("a.py", "new"), ("c.py", "c")])
+    df = arrived(old, 1).union(arrived(new, 2))
     assert {r.name: r.raw_text for r in IN.extract_archives(df).collect()} == {"a.py": "new", "b.py": "b", "c.py": "c"}
 
 
+def test_last_wins_with_null_keys(spark):
+    df = spark.createDataFrame([(None, 1, "x"), (None, 2, "y"), ("k", 1, "z")], "k string, o int, v string")
+    assert {(r.k, r.v) for r in C.last_wins(df, ["k"], "o").collect()} == {(None, "y"), ("k", "z")}
+
+
+def test_articles_of_one_name_stay_apart(spark):
+    title = "t" * 150
+    pages = spark.createDataFrame(
+        [(f"http://e.com/{i}", f"<title>{title}{i}</title><p>{i}</p>", 0) for i in range(2)]
+        + [("http://e.com/0", f"<title>{title}0</title><p>new</p>", 1)], "url string, html string, o int",
+    )
+    got = {r.url: r for r in IN.extract_pages(pages, "o").collect()}
+    assert got["http://e.com/0"].raw_text.endswith("new") and got["http://e.com/1"].raw_text.endswith("1")
+    assert got["http://e.com/0"].name == got["http://e.com/1"].name
+
+
+def test_build_corpus(spark, tmp_path):
+    spool = str(tmp_path / "spool")
+    zips = arrived(members(spark, "a.zip", [("ann/a.py", "1"), ("bob.py", "2"), ("x/Thumbs.db", "j")]), 1).withColumn(
+        "content", F.encode("content", "utf-8")
+    )
+    files = spark.createDataFrame([("bob.py", 5, bytearray(b"later")), ("b.pdf", 6, bytearray(b"no"))], "name string, ingest_order int, content binary")
+    pages = spark.createDataFrame([("http://e.com/1", "<title>T</title><article><p>p</p></article>", 7)], "url string, html string, ingest_order int")
+    buffer = IN.build_corpus(spool, zips, files, pages)
+    got = {r.name: r.raw_text for r in ST.read_submissions(spark, spool, buffer).collect()}
+    assert got == {"ann": "# === ann/a.py ===\n1", "bob.py": "later", "T http://e.com/1": "# T\n\n\np"}
+
+
+def test_character_references(spark):
+    texts = [
+        "&#8217;&#x27;&eacute;&mdash;&nbsp;&hellip;", "&amp;lt; &lt &copy", "a & b &nosuch; &#0; &#xD800; &#150;", "&#128512;",
+        "plain", "&NotEqualTilde;&#x1F600;", "&", "&;&#;&#x;",
+    ]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for r in df.select("i", H.decode_entities(F.col("t")).alias("d")).collect():
+        assert r.d == html.unescape(texts[r.i]), texts[r.i]
+
+
 def test_patterns_against_fnmatch(spark):
     names = ["a.pdf", "x/a.pdf.txt", "b[1].py", "cache/__pycache__/m.pyc", "A.PDF", "._x", "n\nl.log", ""]
     patterns = ["*.pdf", "__pycache__", "?[!a]*", "*.l?g", "[[]*", "x/*"]
@@ -102,12 +154,12 @@ def test_notebooks(spark):
 
 
 def test_articles(spark):
-    html = (
+    page = (
         '<html><head><title> A &amp; B: "x" </title><meta name="author" content="Ann"><meta '
         'property="article:published_time" content="2024-01-02"><script>var a="<p>";</script></head>'
         "<body><nav>menu</nav><article><p>One  <b>two</b></p><!-- c --><p>3 &lt; 4</p></article></body></html>"
     )
-    df = spark.createDataFrame([("http://e.com/slug?x", html), ("http://e.com/slug?x", "<p>t</p>")], "url string, html string")
+    df = spark.createDataFrame([("http://e.com/slug?x", page), ("http://e.com/slug?x", "<p>t</p>")], "url string, html string")
     rows = SF.page_articles(df).collect()
     assert rows[0].name == "A  B x"
     assert rows[0].raw_text == (

@@ -12,6 +12,7 @@ from semblance.operators import vectors as VE
 from semblance.operators import workspaces as W
 from semblance.plans import analysis as AN
 from semblance.plans.harvest import refresh_urls
+from semblance.plans.ingest import ingest_batch
 from semblance.plans.preprocess import preprocess_all, preprocess_with_cache
 from semblance.sources import tables as ST
 from semblance.streaming import streams as SM
@@ -117,7 +118,7 @@ def test_harvest_and_cache(spark):
     marks = spark.createDataFrame([("ch", "#nlp", "1"), ("other", "none", None)], "channel_id string, tag string, last_message_id string")
     latest = V.latest_messages(messages, marks)
     fresh = V.tag_urls(latest)
-    assert [(r.url) for r in fresh.orderBy("rank", "at").collect()] == [
+    assert [(r.url) for r in fresh.orderBy(F.desc("msg_id"), "at").collect()] == [
         "HTTP://D.example/%20x", "http://a.example/1", "https://b.example/2?x=1,",
     ]
     cached = spark.createDataFrame([("ch", "nlp", "http://a.example/1", 0), ("ch", "nlp", "http://z.example", 1)],
@@ -167,6 +168,17 @@ def test_harvest_stream(spark, tmp_path):
     assert send(MESSAGES[3:]) == ["HTTP://D.example/%20x", "http://a.example/1", "https://b.example/2?x=1,"]
 
 
+def test_harvest_stream_reads_every_message(spark, tmp_path):
+    source, store, check = (str(tmp_path / x) for x in ("in", "store", "check"))
+    schema = "msg_id long, channel_id string, content string"
+    rows = [(i, "ch", f"#nlp http://e.example/{i}") for i in range(600)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(source)
+    tags = spark.createDataFrame([("ch", "nlp")], "channel_id string, tag string")
+    SM.harvest_stream(spark.readStream.schema(schema).parquet(source), tags, store, check).awaitTermination()
+    urls = [r.url for r in SM.harvested_urls(spark, store).collect()]
+    assert urls == [f"http://e.example/{i}" for i in reversed(range(600))]
+
+
 def test_ingest_stream(spark, tmp_path):
     source, store, check = (str(tmp_path / x) for x in ("in", "store", "check"))
     schema = "corpus_id string, name string, raw_text string, ingest_order long"
@@ -179,19 +191,44 @@ def test_ingest_stream(spark, tmp_path):
 
     assert send([("c", "a", "one", 0), ("c", "b", "two", 1), ("c", "b", "two again", 2)]) == {"a": "one", "b": "two again"}
     assert send([("c", "a", "one", 3), ("c", "b", "three", 4)]) == {"a": "one", "b": "three"}
-    parts = spark.read.parquet(store).filter("batch = 1").collect()
+    parts = spark.read.parquet(f"{store}/chunks").filter("batch = 1").collect()
     assert [r.name for r in parts] == ["b"]
+    # A file that becomes blank loses its chunks and counts as changed once.
+    assert send([("c", "b", " ", 5)]) == {"a": "one"}
+    assert send([("c", "b", " ", 6)]) == {"a": "one"}
+    files = spark.read.parquet(f"{store}/files")
+    assert sorted(r.batch for r in files.filter("name = 'b'").collect()) == [0, 1, 2]
+    assert send([("c", "b", "back", 7)]) == {"a": "one", "b": "back"}
 
 
 def test_buffer_stream(spark, tmp_path):
     source = str(tmp_path / "in")
     at = dt.datetime(2024, 1, 1, 10)
-    rows = [("c", "a", "x", at), ("c", "a", "x", at + dt.timedelta(minutes=5)), ("c", "b", "y", at)]
+    rows = [("c", "a", "x", at), ("c", "a", "newer", at + dt.timedelta(minutes=5)), ("c", "b", "y", at)]
     schema = "corpus_id string, name string, raw_text string, created_at timestamp"
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(source)
     out = SM.buffer_stream(spark.readStream.schema(schema).parquet(source))
     query = out.writeStream.format("memory").queryName("buffer_rows").trigger(availableNow=True).start()
     query.awaitTermination()
-    got = spark.table("buffer_rows").collect()
-    assert sorted(r.name for r in got) == ["a", "b"]
-    assert all(r.expires_at - r.created_at == dt.timedelta(hours=1) for r in got)
+    got = spark.table("buffer_rows")
+    assert all(r.expires_at - r.created_at == dt.timedelta(hours=1) for r in got.collect())
+
+    def live(minutes):
+        now = F.lit(at + dt.timedelta(minutes=minutes)).cast("timestamp")
+        return {r.name: r.raw_text for r in SM.current_buffer(got, now).collect()}
+
+    assert live(10) == {"a": "newer", "b": "y"} and live(62) == {"a": "newer"} and live(70) == {}
+
+
+def test_all_chunks_of_the_target_are_its_query(spark, corpus):
+    subs = corpus({"c": {"t": "one", "x": "two", "y": "three"}})
+    rows = [("c", "t", 0, [1.0, 0.0]), ("c", "t", 1, [0.0, 1.0]), ("c", "x", 0, [0.1, 1.0]), ("c", "y", 0, [-1.0, -1.0])]
+    chunks = spark.createDataFrame(rows, "namespace string, name string, chunk_no int, embedding array<double>")
+    got = AN.analyze_vector(subs, P.default_targets(subs), chunks, k=3).collect()
+    assert {r.other: round(r.vector, 4) for r in got} == {"x": round(1 / math.sqrt(1.01), 4)}
+
+
+def test_batch_ingest(spark, corpus):
+    first = ingest_batch(corpus({"c": {"a": "one", "b": "two"}}), spark.createDataFrame([], SM.CHUNK_SCHEMA))
+    second = ingest_batch(corpus({"c": {"a": "one", "b": "three"}, "d": {"a": "x"}}), first)
+    assert {(r.namespace, r.name, r.text) for r in second.collect()} == {("c", "a", "one"), ("c", "b", "three"), ("d", "a", "x")}
