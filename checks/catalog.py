@@ -398,6 +398,13 @@ def analyze_sparse(spark, sf):
     return AN.analyze_sparse(subs, _targets(subs))
 
 
+@query
+def analyze_names(spark, sf):
+    """All scores of short texts: every part name against the first of its brand."""
+    names = D.part_names(spark, sf)
+    return AN.analyze_sparse(names, _targets(names)).drop("error")
+
+
 # ---- regions ----
 
 

@@ -529,3 +529,34 @@ ORACLE["ranked_report"] = SCORES + "," + best_sql("[ast, token, cosine]") + """
 ORACLE["score_bands"] = BASE + "," + dice_ctes(tokens_sql("raw_text"), "0", "w") + """ SELECT corpus_id, target, other,
   CASE WHEN score > 0.7 THEN 'red' WHEN score > 0.4 THEN 'orange' ELSE 'green' END AS overall_band,
   CASE WHEN score > 0.8 THEN 'red' WHEN score > 0.6 THEN 'orange' ELSE 'green' END AS block_band FROM wd"""
+
+
+def lcs_ctes(text: str, prefix: str) -> str:
+    """``2 * LCS / (length + length)`` of each pair, one row of the table per step."""
+    return f"""{prefix}c AS (SELECT p.corpus_id, p.target, p.other, string_split(a.{text}, '') AS x, string_split(b.{text}, '') AS y FROM pairs p
+    JOIN texts a ON a.corpus_id = p.corpus_id AND a.name = p.target JOIN texts b ON b.corpus_id = p.corpus_id AND b.name = p.other),
+  {prefix}r AS (SELECT *, 0 AS i, list_transform(range(len(y) + 1), lambda j: 0) AS row FROM {prefix}c
+    UNION ALL SELECT corpus_id, target, other, x, y, i + 1, list_transform(range(1, len(y) + 2), lambda j: list_max(list_transform(
+      range(1, j + 1), lambda k: CASE WHEN k = 1 THEN 0 ELSE greatest(row[k], row[k - 1] + (x[i + 1] = y[k - 1])::INT) END)))
+      FROM {prefix}r WHERE i < len(x)),
+  {prefix}s AS (SELECT corpus_id, target, other, CASE WHEN len(x) + len(y) = 0 THEN 1 ELSE 2.0 * row[-1] / (len(x) + len(y)) END::DOUBLE AS ratio
+    FROM {prefix}r WHERE i = len(x))"""
+
+
+PART_SUBS = """subs AS (SELECT p_brand AS corpus_id, CAST(p_partkey AS VARCHAR) AS name, p_name AS raw_text, p_partkey AS ingest_order FROM part)"""
+PROCESSED = processed_sql("raw_text")
+ORACLE["analyze_names"] = (
+    with_ctes(PART_SUBS, TARGETS, PAIRS, f"texts AS (SELECT corpus_id, name, raw_text, {PROCESSED} AS processed FROM subs)",
+              "ps AS (SELECT corpus_id, name, processed AS raw_text FROM texts)",
+              SHAPE_DICE, dice_ctes(tokens_sql("raw_text"), "0", "w", "ps"),
+              TFIDF.replace("lower(raw_text)", f"lower({PROCESSED})"), run_ctes("ps"),
+              lcs_ctes("raw_text", "q"), lcs_ctes("processed", "z")).replace("WITH ", "WITH RECURSIVE ", 1) + """,
+  spots AS (SELECT DISTINCT corpus_id, target, other, 1 AS side, unnest(range(pos1, pos1 + token_count)) AS at FROM runs
+    UNION SELECT DISTINCT corpus_id, target, other, 2, unnest(range(pos2, pos2 + token_count)) FROM runs),
+  cov AS (SELECT corpus_id, target, other, count(*) AS n FROM spots GROUP BY ALL)
+  SELECT d.corpus_id, d.target, d.other, round(r.ratio, 6) AS raw, round(p.ratio, 6) AS processed, round(s.score, 6) AS ast, round(d.score, 6) AS token,
+    round(CASE WHEN len(x.l) + len(y.l) = 0 THEN 0 ELSE coalesce(c.n, 0) / (len(x.l) + len(y.l)) END::DOUBLE, 6) AS cover, round(k.cosine, 6) AS cosine
+  FROM wd d JOIN qs r USING (corpus_id, target, other) JOIN zs p USING (corpus_id, target, other) JOIN sd s USING (corpus_id, target, other)
+  JOIN cosines k USING (corpus_id, target, other) LEFT JOIN cov c USING (corpus_id, target, other)
+  JOIN wl x ON x.corpus_id = d.corpus_id AND x.name = d.target JOIN wl y ON y.corpus_id = d.corpus_id AND y.name = d.other"""
+)

@@ -206,3 +206,11 @@ def nested_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("corpus_id", F.concat(folder, F.lit("/"), "name").alias("name"), "raw_text").unionByName(
         docs.select(F.concat("corpus_id", F.lit("/"), folder).alias("corpus_id"), "name", "raw_text")
     )
+
+
+def part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``part`` names as submissions: the brand is the corpus."""
+    return table(spark, sf_dir, "part").select(
+        F.col("p_brand").alias("corpus_id"), F.col("p_partkey").cast("string").alias("name"),
+        F.col("p_name").alias("raw_text"), F.col("p_partkey").alias("ingest_order"),
+    )

@@ -6,11 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from semblance.session import cut_lineage
 from semblance.settings import (
+    BROADCAST_BYTES,
     BROADCAST_ROWS,
-    MAX_SALTS,
+    BYTES_PER_PART,
     MIN_SALTS,
     PARTITIONS_PER_SALT,
     ROWS_PER_PART,
@@ -20,7 +22,7 @@ from semblance.settings import (
 def salt_count(df: DataFrame) -> int:
     """How many ways a hot key is split: more on a cluster that shuffles into more partitions."""
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(MIN_SALTS, min(MAX_SALTS, partitions // PARTITIONS_PER_SALT))
+    return max(MIN_SALTS, partitions // PARTITIONS_PER_SALT)
 
 
 def salt_of(columns: Sequence[str], salts: int) -> Column:
@@ -56,21 +58,25 @@ def split_join(
     spread_by: Sequence[str],
     how: str = "inner",
     rows_per_part: int | None = None,
+    weight: Column | None = None,
 ) -> DataFrame:
     """Equi-join like ``salted_join`` that splits only hot keys, each by its own size.
 
     The rows per key are counted from the key columns alone. A key with ``n`` rows above the limit
     gets ``n / rows_per_part`` parts, so its parts stay of one size however large it grows, and the
-    other side is copied for these keys only. Hot keys are few by construction; should they exceed
-    the broadcast bound, all keys are salted instead.
+    other side is copied for these keys only. With a ``weight`` in bytes per row, parts are also of
+    at most about ``BYTES_PER_PART``, so wide rows are split long before they are many. Hot keys are
+    few by construction; should they exceed the broadcast bound, all keys are salted instead.
     """
     limit = rows_per_part or ROWS_PER_PART
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit)
-    hot = cut_lineage(sizes.select(*keys, F.ceil(F.col("_n") / limit).cast("int").alias("_parts")))
-    n_hot = hot.limit(BROADCAST_ROWS + 1).count()
-    if n_hot == 0:
+    parts_of = F.ceil(F.count("*") / limit)
+    if weight is not None:
+        parts_of = F.greatest(parts_of, F.ceil(F.sum(F.coalesce(weight, F.lit(0))) / BYTES_PER_PART))
+    sizes = rows.groupBy(*keys).agg(parts_of.cast("int").alias("_parts"))
+    hot = cut_lineage(sizes.filter("_parts > 1"))
+    if hot.isEmpty():
         return rows.join(per_key, list(keys), how)
-    if n_hot > BROADCAST_ROWS:
+    if not is_small(hot):
         return salted_join(rows, per_key, keys, spread_by, how=how)
     parts = F.coalesce("_parts", F.lit(1))
     salt = F.coalesce(F.pmod(F.xxhash64(*spread_by), parts).cast("int"), F.lit(0))
@@ -83,14 +89,21 @@ def split_join(
     return left.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
-def broadcast_if_few(names: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a table of short rows for broadcast only after counting that it is small.
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether a table has few rows and few bytes. The count stops at ``max_rows + 1``."""
+    texts = [F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)) for f in df.schema.fields if f.dataType == T.StringType()]
+    fixed = F.lit(16 * len(df.columns))
+    size = sum(texts, fixed)
+    n, total = df.limit(max_rows + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return n <= max_rows and total <= max_bytes
 
-    The count stops at ``max_rows + 1``; a larger table is left to a shuffle join.
+
+def broadcast_if_few(names: DataFrame) -> DataFrame:
+    """Mark a table for broadcast only after measuring that it is small in rows and bytes.
+
+    A larger table is left to a shuffle join.
     """
-    if names.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(names)
-    return names
+    return F.broadcast(names) if is_small(names) else names
 
 
 def narrow_join(
@@ -98,9 +111,9 @@ def narrow_join(
 ) -> DataFrame:
     """Join many rows with a stored table of short rows, without moving the rows if it is small.
 
-    ``stored`` is counted first; above the bound the join shuffles with salted keys.
+    ``stored`` is measured first; above the bounds the join shuffles with salted keys.
     """
-    if stored.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if is_small(stored):
         return rows.join(F.broadcast(stored), list(keys), how)
     return salted_join(rows, stored, keys, spread_by, how=how)
 

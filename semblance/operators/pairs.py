@@ -50,14 +50,18 @@ def rows_of_targets(rows: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def with_target(rows: DataFrame, targets: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Each other submission beside its target: ``columns`` as ``t_*`` and ``o_*``."""
+    """Each other submission beside its target: text ``columns`` as ``t_*`` and ``o_*``.
+
+    A corpus is split by the bytes of its texts.
+    """
     mine = rows_of_targets(rows.select("corpus_id", "name", *columns), targets).select(
         "corpus_id", "target", *[F.col(c).alias(f"t_{c}") for c in columns]
     )
     others = rows.select(
         "corpus_id", F.col("name").alias("other"), *[F.col(c).alias(f"o_{c}") for c in columns]
     )
-    joined = split_join(others, mine, ["corpus_id"], ["other"])
+    weight = sum((F.coalesce(F.octet_length(f"o_{c}"), F.lit(0)) for c in columns), F.lit(0).cast("bigint"))
+    joined = split_join(others, mine, ["corpus_id"], ["other"], weight=weight)
     return joined.filter(F.col("other") != F.col("target"))
 
 

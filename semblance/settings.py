@@ -23,14 +23,15 @@ SHAPE_GRAM = 3
 NOTEBOOK_SEPARATOR = "\n\n# === CELL SEPARATOR ===\n\n"
 
 # How many ways a join key is split when one key may hold a large share of all rows: one part per
-# so many shuffle partitions, within bounds.
+# so many shuffle partitions.
 PARTITIONS_PER_SALT = 32
 MIN_SALTS = 2
-MAX_SALTS = 16
-# A key with more rows than this is split into parts of about this many rows.
+# A key with more rows, or bytes of text, than this is split into parts of about this size.
 ROWS_PER_PART = 100_000
-# Largest table of names (one short row each) that may be broadcast.
+BYTES_PER_PART = 64 * 1024 * 1024
+# Largest table that may be broadcast, in rows and in bytes.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 * 1024 * 1024
 
 # Junk left by operating systems, always filtered.
 OS_JUNK_PATTERNS = [

@@ -194,3 +194,15 @@ def test_counted_in_the_row(spark):
     for r in got.collect():
         found.setdefault(int(r.name), {})[r["item"]] = r.n
     assert found == {i: dict(c) for i, v in enumerate(lists) if (c := Counter(x for x in v if x is not None))}
+
+
+def test_join_is_split_by_bytes(spark, monkeypatch):
+    from semblance.functions import joins
+
+    monkeypatch.setattr(joins, "BYTES_PER_PART", 1000)
+    rows = spark.range(200).selectExpr("'one' AS k", "id", "repeat('x', 100) AS text")
+    side = spark.createDataFrame([("one", 7)], "k string, v int")
+    joined = split_join(rows, side, ["k"], ["id"], weight=F.octet_length("text"))
+    assert joined.count() == 200 and joined.filter("v = 7").count() == 200
+    salted = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" in salted and "_salt" not in split_join(rows, side, ["k"], ["id"])._jdf.queryExecution().optimizedPlan().toString()
