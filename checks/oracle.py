@@ -249,7 +249,7 @@ ORACLE["tfidf_weights"] = BASE + "," + TFIDF + " SELECT corpus_id, name, term, t
 ORACLE["tfidf_cosine"] = BASE + "," + TFIDF + " SELECT corpus_id, target, other, round(cosine, 6) AS cosine FROM cosines"
 ORACLE["flagship"] = BASE + "," + TFIDF + """ SELECT corpus_id, target, other, round(cosine, 6) AS cosine, round(cosine, 6) AS overall,
   CASE WHEN cosine > 0.7 THEN 'red' WHEN cosine > 0.4 THEN 'orange' ELSE 'green' END AS band,
-  row_number() OVER (PARTITION BY corpus_id, target ORDER BY cosine DESC, other)::BIGINT AS rank FROM cosines"""
+  row_number() OVER (PARTITION BY corpus_id, target ORDER BY round(cosine, 9) DESC, other)::BIGINT AS rank FROM cosines"""
 
 
 def dice_ctes(items: str, both_empty: str, prefix: str, source: str = "subs") -> str:
@@ -524,7 +524,7 @@ ORACLE["overall_match"] = SCORES + "," + best_sql("[round(ast, 1), round(token,
 ORACLE["ranked_report"] = SCORES + "," + best_sql("[ast, token, cosine]") + """ SELECT s.corpus_id, s.target, s.other,
   round(ast, 6) AS ast, round(token, 6) AS token, round(cosine, 6) AS cosine, round(overall, 6) AS overall,
   CASE WHEN overall > 0.7 THEN 'red' WHEN overall > 0.4 THEN 'orange' ELSE 'green' END AS band,
-  row_number() OVER (PARTITION BY s.corpus_id, s.target ORDER BY overall DESC, other)::BIGINT AS rank
+  row_number() OVER (PARTITION BY s.corpus_id, s.target ORDER BY round(overall, 9) DESC, other)::BIGINT AS rank
   FROM sco s JOIN best USING (corpus_id, target, other)"""
 ORACLE["score_bands"] = BASE + "," + dice_ctes(tokens_sql("raw_text"), "0", "w") + """ SELECT corpus_id, target, other,
   CASE WHEN score > 0.7 THEN 'red' WHEN score > 0.4 THEN 'orange' ELSE 'green' END AS overall_band,

@@ -109,10 +109,13 @@ def analyze_vector(
 
 
 def ranked_report(scores: DataFrame) -> DataFrame:
-    """Scores with the overall match and its band, ranked within each target."""
+    """Scores with the overall match and its band, ranked within each target.
+
+    Scores that differ only by the order of a sum, beyond nine places, tie; the name decides.
+    """
     present = [F.col(m) for m in METRICS if m in scores.columns]
     overall = S.overall_match(F.array_compact(F.array(*present)))
-    best = Window.partitionBy("corpus_id", "target").orderBy(F.desc("overall"), "other")
+    best = Window.partitionBy("corpus_id", "target").orderBy(F.desc(F.round("overall", 9)), "other")
     return (
         scores.withColumn("overall", overall)
         .withColumn("band", S.overall_band(F.col("overall")))
