@@ -10,6 +10,7 @@ content, and every line of that element that is not boilerplate is kept, however
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -55,38 +56,50 @@ _NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 class Line:
     """Text between two block borders."""
 
-    __slots__ = ("parts", "tags", "path", "dropped")
+    __slots__ = ("parts", "tags", "place", "dropped")
 
-    def __init__(self, path: tuple[int, ...], dropped: bool):
+    def __init__(self, place: int, dropped: bool):
         self.parts: list[str] = []
         self.tags = 0
-        self.path = path
+        self.place = place
         self.dropped = dropped
 
 
 class PageLines(HTMLParser):
-    """Lines of one page, in page order."""
+    """Lines of one page, in page order, and the containers they stand in."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        # Open elements: name, whether text is silent, whether it is boilerplate, containers above.
-        self.open: list[tuple[str, bool, bool, tuple[int, ...]]] = [("", False, False, ())]
-        self.names: dict[int, str] = {}
+        # Open elements: name, whether text is silent, whether it is boilerplate, container.
+        self.open: list[tuple[str, bool, bool, int]] = [("", False, False, -1)]
+        self.named: Counter[str] = Counter()
+        # Name and outer container of each container; outer ones come first.
+        self.names: list[str] = []
+        self.outer: list[int] = []
         self.lines: list[Line] = []
         self._cut()
 
     def _cut(self) -> None:
-        _, _, dropped, path = self.open[-1]
+        _, _, dropped, place = self.open[-1]
         if self.lines and not self.lines[-1].parts:
             self.lines.pop()
-        self.lines.append(Line(path, dropped))
+        self.lines.append(Line(place, dropped))
 
     def _close(self, at: int) -> None:
-        block = any(entry[0] in BLOCKS for entry in self.open[at:])
+        gone = self.open[at:]
         del self.open[at:]
-        if block:
+        self.named.subtract(entry[0] for entry in gone)
+        if any(entry[0] in BLOCKS for entry in gone):
             self._cut()
 
+    def parse_marked_section(self, i, report=1):
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            # An unknown declaration is skipped like a comment.
+            end = self.rawdata.find(">", i)
+            return end + 1 if end >= 0 else -1
+
     def handle_starttag(self, tag, attrs):
         self.lines[-1].tags += 1
         if tag in VOID:
@@ -95,52 +108,41 @@ class PageLines(HTMLParser):
             elif tag == "hr":
                 self._cut()
             return
-        for at in range(len(self.open) - 1, 0, -1):
-            name = self.open[at][0]
-            if name in CLOSES.get(tag, ()) or (name == "p" and tag in BLOCKS):
-                self._close(at)
-                break
-            if name in BLOCKS and name not in ("p",):
-                break
-        _, silent, dropped, path = self.open[-1]
+        if tag in CLOSES or (tag in BLOCKS and self.named["p"]):
+            for at in range(len(self.open) - 1, 0, -1):
+                name = self.open[at][0]
+                if name in CLOSES.get(tag, ()) or (name == "p" and tag in BLOCKS):
+                    self._close(at)
+                    break
+                if name in BLOCKS:
+                    break
+        _, silent, dropped, place = self.open[-1]
         told = dict(attrs)
         words = {w.lower() for key in ("class", "id") for w in _NAME_WORDS.findall(told.get(key) or "")}
         whole = tag in ("html", "body", "main", "article")
         dropped = dropped or tag in BOILERPLATE or (told.get("role") or "").lower() in BOILERPLATE_ROLES
         dropped = dropped or "hidden" in told or (not whole and not words.isdisjoint(BOILERPLATE_NAMES))
         if tag in CONTAINERS:
-            self.names[len(self.names)] = tag
-            path = (*path, len(self.names) - 1)
-        self.open.append((tag, silent or tag in SILENT, dropped, path))
+            self.names.append(tag)
+            self.outer.append(place)
+            place = len(self.names) - 1
+        self.open.append((tag, silent or tag in SILENT, dropped, place))
+        self.named[tag] += 1
         if tag in BLOCKS:
             self._cut()
             self.lines[-1].tags = 1
 
     def handle_endtag(self, tag):
         self.lines[-1].tags += 1
-        for at in range(len(self.open) - 1, 0, -1):
-            if self.open[at][0] == tag:
-                self._close(at)
-                return
+        if self.named[tag] > 0:
+            at = next(k for k in range(len(self.open) - 1, 0, -1) if self.open[k][0] == tag)
+            self._close(at)
 
     def handle_data(self, data):
         if not self.open[-1][1]:
             self.lines[-1].parts.append(data)
 
 
-def page_lines(html: str) -> list[tuple[str, int, tuple[int, ...], bool]]:
-    """``(text, tags, containers above, boilerplate)`` of each line with text, and container names."""
-    parser = PageLines()
-    parser.feed(html)
-    parser.close()
-    found = []
-    for line in parser.lines:
-        text = " ".join("".join(line.parts).split())
-        if text:
-            found.append((text, line.tags, line.path, line.dropped))
-    return found, parser.names
-
-
 def smoothed(ratios: np.ndarray, radius: int = SMOOTHING_RADIUS) -> np.ndarray:
     """Gaussian smoothing with mirrored ends."""
     at = np.arange(-radius, radius + 1)
@@ -159,31 +161,40 @@ def content_lines(ratios: np.ndarray) -> np.ndarray:
 
 def main_text(html: str | None) -> str:
     """Main text of a page; empty for a NULL or empty page and for one without content."""
-    lines, names = page_lines(html or "")
-    lines = [line for line in lines if not line[3]]
+    parser = PageLines()
+    parser.feed(html or "")
+    parser.close()
+    lines = [
+        (text, line.tags, line.place)
+        for line in parser.lines if not line.dropped and (text := " ".join("".join(line.parts).split()))
+    ]
     if not lines:
         return ""
-    ratios = np.array([len(text) / max(tags, 1) for text, tags, _, _ in lines])
-    chosen = content_lines(ratios)
-    # The innermost article or main element of each chosen line is content as a whole; without
-    # one, the innermost element above most of the chosen text is.
-    weight: dict[int, float] = {}
-    for (text, _, path, _), wanted in zip(lines, chosen):
-        if wanted:
-            for place in path:
-                weight[place] = weight.get(place, 0) + len(text)
-    articles = {p for p in weight if names[p] in ("article", "main")}
-    inner = {p for p in articles if not any(
-        p in path and any(q in articles for q in path[path.index(p) + 1:]) for _, _, path, _ in lines
-    )}
+    chosen = content_lines(np.array([len(text) / max(tags, 1) for text, tags, _ in lines]))
+    # The innermost article or main elements of the chosen lines are content as a whole; without
+    # them, the innermost element above all of the chosen text is.
+    names, outer = parser.names, parser.outer
+    weight, holds = [0] * len(names), [False] * len(names)
+    for (text, _, place), wanted in zip(lines, chosen):
+        if wanted and place >= 0:
+            weight[place] += len(text)
+    inner = set()
+    for place in range(len(names) - 1, -1, -1):
+        article = names[place] in ("article", "main") and weight[place] > 0
+        if article and not holds[place]:
+            inner.add(place)
+        if outer[place] >= 0:
+            weight[outer[place]] += weight[place]
+            holds[outer[place]] |= holds[place] or article
     total = sum(len(text) for (text, *_), wanted in zip(lines, chosen) if wanted)
     if inner and sum(weight[p] for p in inner) >= 0.5 * total:
         homes = inner
     else:
-        heavy = [p for p, w in weight.items() if w >= 0.8 * total]
-        homes = {max(heavy)} if heavy else set()
-    kept = [text for text, _, path, _ in lines if not homes or not homes.isdisjoint(path)]
-    return " ".join(kept)
+        homes = {max((p for p, w in enumerate(weight) if w >= total), default=-1)}
+    inside = [False] * len(names)
+    for place in range(len(names)):
+        inside[place] = place in homes or (outer[place] >= 0 and inside[outer[place]])
+    return " ".join(text for text, _, place in lines if homes == {-1} or (place >= 0 and inside[place]))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -3,6 +3,8 @@ import random
 import re
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from semblance.llm import html_extract as H
 
@@ -39,6 +41,23 @@ def test_page_without_article():
     assert H.main_text(page) == " ".join([text.strip()] * 8 + ["Hm."])
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from([
+    "<p>", "</p>", "<b>", "</b>", "<div>", "</div>", "<article>", "</article>", "<![", "<![x[", "<!--", "-->", "<!", "<?", "]]>", "</", "<",
+    ">", "<a href='", '"', "&", "&#", ";", "<script>", "</script>", "<li>", "<td>", "<br/>", "word ", " \n", "<main>", "<nav>", "</nav>",
+]), max_size=40).map("".join))
+def test_any_markup(page):
+    text = H.main_text(page)
+    assert text == " ".join(text.split())
+
+
+def test_deep_and_unbalanced_pages():
+    n = 50_000
+    assert H.main_text("<div>" * n + "deep text") == "deep text"
+    assert H.main_text("<b>" * n + "</i>" * n + "<p>text" * 3) == "text text text"
+    assert len(H.main_text("<div>some words" * n).split()) == 2 * n
+
+
 def test_very_long_page():
     words = " ".join(f"w{i}" for i in range(200_000))
     assert H.main_text(f"<article><p>{words}</p></article>") == words
