@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 SMOOTHING_RADIUS = 2
 # A line's smoothed ratio above this share of the standard deviation is content.
 THRESHOLD_DEVIATIONS = 1.0
+# Share of the chosen text that an element must hold to be the content's.
+CORE_SHARE = 0.95
 
 # Elements whose text is never shown.
 SILENT = frozenset("script style noscript template head title svg math iframe object canvas textarea select".split())
@@ -172,7 +174,8 @@ def main_text(html: str | None) -> str:
         return ""
     chosen = content_lines(np.array([len(text) / max(tags, 1) for text, tags, _ in lines]))
     # The innermost article or main elements of the chosen lines are content as a whole; without
-    # them, the innermost element above all of the chosen text is.
+    # them, the innermost element above nearly all of the chosen text is: smoothing also lifts a
+    # short line beside long ones.
     names, outer = parser.names, parser.outer
     weight, holds = [0] * len(names), [False] * len(names)
     for (text, _, place), wanted in zip(lines, chosen):
@@ -190,7 +193,7 @@ def main_text(html: str | None) -> str:
     if inner and sum(weight[p] for p in inner) >= 0.5 * total:
         homes = inner
     else:
-        homes = {max((p for p, w in enumerate(weight) if w >= total), default=-1)}
+        homes = {max((p for p, w in enumerate(weight) if w >= CORE_SHARE * total), default=-1)}
     inside = [False] * len(names)
     for place in range(len(names)):
         inside[place] = place in homes or (outer[place] >= 0 and inside[outer[place]])
