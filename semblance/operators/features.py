@@ -28,10 +28,29 @@ def build_features(
     fits = F.col("error").isNull()
     processed = guarded.withColumn(
         "processed_text", F.when(fits, X.preprocess(F.col("raw_text"), options))
-    )
+    ).withColumn("ast", F.when(fits, structure_lists(F.col("raw_text"), options.preserve_variable_names)))
     return processed.withColumn("tokens", X.tokens(F.col("processed_text")))
 
 
+def structure_lists(text: Column, preserve_names: bool = False) -> Column:
+    """The elements of four families of a source text, each as a list in order of the text."""
+    flow = F.create_map(*[F.lit(x) for pair in C.CONTROL_FLOW.items() for x in pair])
+
+    def lists(toks: Column) -> Column:
+        visible = F.filter(toks, lambda x: x["t"] != "\n")
+        calls = F.filter(toks, lambda x: C.is_call(x["t"], x["b"], x["a"]))
+        steps = F.filter(toks, lambda x: C.starts_statement(x["b"]) & x["t"].isin(list(C.CONTROL_FLOW)))
+        signs = F.filter(toks, lambda x: x["t"].isin(C.OPERATORS))
+        return F.struct(
+            F.transform(visible, lambda x: C.shape(x["t"], x["b"], x["a"], preserve_names)).alias("node_types"),
+            F.transform(calls, lambda x: x["t"] if preserve_names else F.lit("FUNC_CALL")).alias("function_calls"),
+            F.transform(steps, lambda x: flow[x["t"]]).alias("control_flow"),
+            F.transform(signs, lambda x: x["t"]).alias("operators"),
+        )
+
+    return let(let(C.code_tokens(X.strip_comments(text)), C.with_neighbours), lists)
+
+
 def token_stream(submissions: DataFrame, text: str = "raw_text") -> DataFrame:
     return submissions.select(
         "corpus_id", "name", F.posexplode(X.tokens(F.col(text))).alias("pos", "token")
@@ -105,11 +124,7 @@ def shape_grams(text: str = "raw_text", k: int = SHAPE_GRAM, preserve_names: boo
     A text with fewer than ``k`` tokens gives one gram of all its tokens.
     """
 
-    def classes(toks: Column) -> Column:
-        visible = F.filter(C.with_neighbours(toks), lambda x: x["t"] != "\n")
-        return F.transform(visible, lambda x: C.shape(x["t"], x["b"], x["a"], preserve_names))
-
-    return let(let(C.code_tokens(X.strip_comments(F.col(text))), classes), lambda arr: gram_array(arr, k))
+    return let(structure_lists(F.col(text), preserve_names)["node_types"], lambda arr: gram_array(arr, k))
 
 
 def grams(items: str, k: int = SHAPE_GRAM) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from semblance.functions import scores as S
-from semblance.operators.features import build_features, shape_grams
+from semblance.operators.features import build_features, grams, shape_grams
 from semblance.operators.pairs import PAIR, bag_scores, item_counts, missing_targets, text_scores
 from semblance.operators.tfidf import tfidf_cosine
 from semblance.operators.token_scores import token_scores
@@ -18,8 +18,10 @@ METRICS = ["raw", "processed", "ast", "token", "cosine", "vector"]
 
 
 def shape_scores(submissions: DataFrame, targets: DataFrame, preserve_names: bool = False) -> DataFrame:
-    """Structure score: Dice of shape k-grams; a text without code tokens scores 0."""
-    items = shape_grams(preserve_names=preserve_names)
+    """Structure score: Dice of shape k-grams; a text without code tokens scores 0. Feature rows
+    bring their shapes along."""
+    ready = "ast" in submissions.columns
+    items = grams("ast.node_types") if ready else shape_grams(preserve_names=preserve_names)
     return bag_scores(submissions, lambda rows: item_counts(rows, items), targets, "ast", 0.0)
 
 
@@ -122,10 +124,3 @@ def ranked_report(scores: DataFrame) -> DataFrame:
         .withColumn("rank", F.row_number().over(best))
         .orderBy("corpus_id", "target", "rank")
     )
-
-
-def vectors_of(submissions: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Attach the embedding of each submission, NULL where it has none."""
-    return submissions.select("corpus_id", "name").join(
-        vectors.select("corpus_id", "name", "embedding"), ["corpus_id", "name"], "left"
-    )

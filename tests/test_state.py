@@ -13,7 +13,7 @@ from semblance.operators import workspaces as W
 from semblance.plans import analysis as AN
 from semblance.plans.harvest import refresh_urls
 from semblance.plans.ingest import ingest_batch
-from semblance.plans.preprocess import preprocess_all, preprocess_with_cache
+from semblance.plans.preprocess import preprocess_all, preprocess_with_cache, with_embeddings
 from semblance.sources import tables as ST
 from semblance.streaming import streams as SM
 
@@ -30,6 +30,17 @@ def test_preprocess_with_cache(corpus):
     assert status == {"new": 1, "cached": 1, "stale": 1}
 
 
+def test_feature_rows(spark, corpus):
+    code = "import os\nfor i in range(3):\n    if i > 1:\n        show(i + 1)\n"
+    subs = corpus({"c": {"a": code, "b": ""}})
+    vectors = spark.createDataFrame([("c", "a", [0.5])], "corpus_id string, name string, embedding array<double>")
+    rows = {r.name: r for r in with_embeddings(preprocess_all(subs), vectors).collect()}
+    shapes = rows["a"].ast
+    assert shapes.function_calls == ["FUNC_CALL"] * 2 and shapes.control_flow == ["For", "If"] and shapes.operators == [">", "+"]
+    assert shapes.node_types[:4] == ["import", "W", "for", "W"] and rows["b"].ast.node_types == []
+    assert rows["a"].dense_embedding == [0.5] and rows["b"].dense_embedding is None and rows["a"].error is None
+
+
 def test_changed_files(spark, corpus):
     subs = corpus({"c": {"a": "1", "b": "2", "n": "3"}})
     manifest = I.changed_files(corpus({"c": {"a": "1", "b": "old", "gone": "g"}}), subs.limit(0).withColumn("content_hash", F.lit("")))
