@@ -10,7 +10,8 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -22,6 +23,9 @@ from pyspark.sql import functions as F
 from semblance.llm.storage import stored
 
 TOKEN_LIMIT = 2048
+# Words whose counts a worker remembers, and the length of the longest one.
+REMEMBERED_WORDS = 300_000
+REMEMBERED_CHARS = 64
 CACHE_SCHEMA = "digest binary, n_tokens long, version string"
 
 
@@ -53,8 +57,43 @@ def normal_content(text: Column, path: str) -> Column:
     return F.regexp_replace(text, r"[ \t\n\r]+", " ") if blanks_fold(path) else text
 
 
+def words_apart(path: str) -> bool:
+    """Whether a tokenizer file never joins what a blank parts: blanks are folded, and the parts it
+    keeps of a text hold none, so the counts of the words of a text add up to that of the text."""
+    if not blanks_fold(path):
+        return False
+    with open(path, encoding="utf-8") as file:
+        steps = (json.load(file).get("pre_tokenizer") or {}).get("pretokenizers", [])
+    first = steps[0] if steps else {}
+    pattern = first.get("pattern", {}).get("Regex", " ")
+    others = re.findall(r"\[\^[^\]]*\]", pattern)
+    rest = re.sub(r"\[\^[^\]]*\]", "", pattern)
+    plain = not re.search(r"[ .]|\\[sSWDPH]", rest) and all(r"\s" in c for c in others)
+    return first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True and plain
+
+
+class WordCounter:
+    """Counts of texts from the counts of their words; the library encodes each new word once."""
+
+    def __init__(self, encode: Callable[[list[str]], list[int]]):
+        self.encode = encode
+        self.known: dict[str, int] = {}
+
+    def __call__(self, texts: list[str]) -> list[int]:
+        if len(self.known) > REMEMBERED_WORDS:
+            self.known.clear()
+        parts = [text.split(" ") for text in texts]
+        fresh = list({word for words in parts for word in words}.difference(self.known))
+        self.known.update(zip(fresh, self.encode(fresh)))
+        counts = [sum(map(self.known.__getitem__, words)) for words in parts]
+        for word in fresh:
+            if len(word) > REMEMBERED_CHARS:
+                del self.known[word]
+        return counts
+
+
 @lru_cache(maxsize=2)
-def counter(path: str):
+def counter(path: str) -> Callable[[list[str]], list[int]]:
     """``texts -> counts`` of the library of a tokenizer file, loaded once per worker."""
     if path.endswith(".json"):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -63,7 +102,11 @@ def counter(path: str):
         model = Tokenizer.from_file(path)
         model.no_truncation()
         model.no_padding()
-        return lambda texts: [len(e) for e in model.encode_batch_fast(texts, add_special_tokens=False)]
+
+        def count(texts: list[str]) -> list[int]:
+            return [len(e) for e in model.encode_batch_fast(texts, add_special_tokens=False)]
+
+        return WordCounter(count) if words_apart(path) else count
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)

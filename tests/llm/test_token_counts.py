@@ -1,3 +1,6 @@
+import random
+import re
+
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -54,5 +57,15 @@ def test_only_misses_are_encoded(spark, docs, tmp_path):
     assert spark.read.parquet(marked).select("version").distinct().count() == 2
 
 
+def test_words_of_a_text_add_up():
+    assert T.words_apart(WORDS) and not T.words_apart(BYTES) and not T.words_apart(PIECES)
+    count, whole = T.counter(WORDS), library(WORDS)
+    rng = random.Random(5)
+    signs = ["a", "B", "é", "e\u0301", "\u0301", "1", "'s", "!", " ", " ", "\u3000", "\x85", "\x1c", "<|endoftext|>", "<|", "ß", "İ", "日本", "\x00"]
+    texts = ["".join(rng.choices(signs, k=rng.randint(0, 60))) for _ in range(2000)] + ["x" * 10_000, "", " "]
+    texts = [re.sub(r"[ \t\n\r]+", " ", t) for t in texts]
+    assert count(texts) == [whole(t) for t in texts] == count(texts)
+
+
 def test_empty_table(docs, tmp_path):
     assert T.token_counts(docs.limit(0), WORDS, f"file://{tmp_path}/cache").count() == 0
