@@ -24,7 +24,7 @@ from semblance.llm.storage import stored
 
 TOKEN_LIMIT = 2048
 # Words whose counts a worker remembers, and the length of the longest one.
-REMEMBERED_WORDS = 300_000
+REMEMBERED_WORDS = 500_000
 REMEMBERED_CHARS = 64
 CACHE_SCHEMA = "digest binary, n_tokens long, version string"
 
