@@ -46,6 +46,8 @@ FOLDS = 4
 SCORED_WINDOWS = 1024
 CHUNK_WORDS = 60_000
 KEPT_WORDS = 150_000
+# Texts of an Arrow batch that are Python strings at one time.
+ROWS_AT_ONCE = 1024
 
 _WORD = re.compile(r"[^\W\d_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -402,7 +404,8 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clea
 
 
 def _score_batch(model: Network, texts: pa.Array) -> np.ndarray:
-    return np.round(model.scores(texts.to_pylist()), 6)
+    parts = [model.scores(texts.slice(at, ROWS_AT_ONCE).to_pylist()) for at in range(0, len(texts), ROWS_AT_ONCE)]
+    return np.round(np.concatenate([np.zeros(0), *parts]), 6)
 
 
 def score(docs: DataFrame, model: Network, accept: float = ACCEPT) -> DataFrame:
