@@ -28,6 +28,8 @@ from tokenizers import Regex, normalizers, pre_tokenizers
 
 # Words whose tokens a worker remembers; the memory is emptied when it is full.
 REMEMBERED_WORDS = 200_000
+# Pairs of neighbours whose compatibility a worker remembers.
+REMEMBERED_PAIRS = 50_000
 # Longer parts of a text are encoded without being remembered.
 REMEMBERED_CHARS = 64
 
@@ -88,7 +90,7 @@ class Merges:
         key = (left, right)
         known = self.memory.get(key)
         if known is None:
-            if len(self.memory) > REMEMBERED_WORDS:
+            if len(self.memory) >= REMEMBERED_PAIRS:
                 self.memory.clear()
             known = self.memory[key] = self._compatible(left, right)
         return known

@@ -45,7 +45,7 @@ FOLDS = 4
 # Windows scored at once, and words whose gate inputs a worker keeps.
 SCORED_WINDOWS = 1024
 CHUNK_WORDS = 60_000
-KEPT_WORDS = 150_000
+KEPT_WORDS = 100_000
 # Texts of an Arrow batch that are Python strings at one time.
 ROWS_AT_ONCE = 1024
 
@@ -218,13 +218,20 @@ class Network:
         """Highest window logit of each text; minus infinity without words."""
         if self.gates is None or len(self.ids) > KEPT_WORDS:
             self.ids.clear()
-            self.gates = np.empty((0, 2, 3 * STATES), dtype=np.float32)
+            if self.gates is None:
+                self.gates = np.empty((0, 2, 3 * STATES), dtype=np.float32)
         ids = self.ids
         fresh = [w for w in dict.fromkeys(w for text in texts for w in text) if w not in ids]
         if fresh:
-            ids.update(zip(fresh, range(len(ids), len(ids) + len(fresh))))
-            added = [self.gate_inputs(self.inputs(fresh[at:at + 20_000])) for at in range(0, len(fresh), 20_000)]
-            self.gates = np.concatenate([self.gates, *added])
+            begin, end = len(ids), len(ids) + len(fresh)
+            ids.update(zip(fresh, range(begin, end)))
+            if end > len(self.gates):
+                grown = np.empty((max(end, 2 * len(self.gates)), 2, 3 * STATES), dtype=np.float32)
+                grown[:begin] = self.gates[:begin]
+                self.gates = grown
+            for at in range(0, len(fresh), 20_000):
+                part = fresh[at:at + 20_000]
+                self.gates[begin + at:begin + at + len(part)] = self.gate_inputs(self.inputs(part))
         out = np.full(len(texts), -np.inf)
         full, owners = [], []
         for k, text in enumerate(texts):
