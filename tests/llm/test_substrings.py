@@ -92,3 +92,17 @@ def test_copies_nulls_and_repeated_rows(spark):
 def test_very_long_text():
     text = " ".join(f"w{i}" for i in range(300_000))
     assert S.covered_units(S.units(text), set()).count(True) == 0
+
+
+def test_fifty_shared_words_hold_a_span():
+    """Runs of words without marks, in the middle of other words, with any frequency of words."""
+    rng = random.Random(3)
+    for size in (20, 200, 5000):
+        names = [f"n{i}" for i in range(size)]
+        for _ in range(400):
+            passage = rng.choices(names, k=50)
+            found = []
+            for _ in range(2):
+                words = [*rng.choices(names, k=rng.randint(0, 40)), *passage, *rng.choices(names, k=rng.randint(0, 40))]
+                found.append({mark for mark, _, _ in S.spans(S.units(" ".join(words)))})
+            assert found[0] & found[1]
