@@ -24,8 +24,6 @@ from semblance.llm.storage import sample_rows
 # Labelled texts of each kind that are learned from, chosen by the hash of their id.
 TOXIC_ROWS = 1200
 CLEAN_ROWS = 3000
-# Windows of a labelled text that are learned from, spread evenly over it.
-TRAIN_WINDOWS = 24
 ACCEPT = 0.7
 WINDOW = 32
 STRIDE = 16
@@ -373,10 +371,9 @@ def fit(texts: list[list[list[str]]], labels: np.ndarray) -> Network:
 
 
 def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> Network:
-    """Learn from ``labels(doc_id, label)`` and windows of the texts of ``docs(doc_id, text)``.
+    """Learn from ``labels(doc_id, label)`` and all windows of the texts of ``docs(doc_id, text)``.
 
-    Rows without a label teach nothing. At most ``toxic_rows + clean_rows`` texts with
-    ``TRAIN_WINDOWS`` windows each are used, which bounds what is broadcast and collected.
+    Rows without a label teach nothing. At most ``toxic_rows + clean_rows`` labelled texts are used.
     """
     known = labels.filter("label IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.col("label").cast("int"))
     picked = sample_rows(known.filter("label > 0"), "doc_id", toxic_rows).union(
@@ -385,26 +382,20 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clea
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for text in batch.column(1).to_pylist():
-                words = words_of(text)
-                starts = window_starts(len(words))
-                if len(starts) > TRAIN_WINDOWS:
-                    places = np.linspace(0, len(starts) - 1, TRAIN_WINDOWS).astype(int)
-                    starts = [starts[p] for p in places]
-                rows.append([" ".join(words[s:s + WINDOW]) for s in starts])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(rows, pa.list_(pa.string()))], ["label", "windows"]
-            )
+            rows = [" ".join(words_of(text)) for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.string())], ["label", "words"])
 
     marked = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select(
         F.when(F.col("label") > 0, 1).otherwise(0).alias("label"), "text"
     )
-    found = marked.mapInArrow(cut, "label int, windows array<string>").limit(2 * (toxic_rows + clean_rows)).collect()
-    found.sort(key=lambda r: (r["label"], r["windows"]))
+    found = marked.mapInArrow(cut, "label int, words string").limit(2 * (toxic_rows + clean_rows)).collect()
+    found.sort(key=lambda r: (r["label"], r["words"]))
     # One string object per distinct word keeps the driver's memory small.
     one: dict[str, str] = {}
-    texts = [[[one.setdefault(w, w) for w in part.split()] for part in r["windows"]] for r in found]
+    texts = []
+    for r in found:
+        words = [one.setdefault(w, w) for w in r["words"].split()]
+        texts.append([words[s:s + WINDOW] for s in window_starts(len(words))])
     labels = np.array([r["label"] for r in found])
     del found
     return fit(texts, labels)

@@ -122,3 +122,16 @@ def test_rows(spark):
     one_kind = X.train(docs, marks.filter("label = 0"))
     assert {r.predicted for r in X.score(docs, one_kind).collect()} == {0}
     assert X.score(odd.limit(0), X.train(docs.limit(0), marks)).count() == 0
+
+
+def test_all_windows_are_learned_from(spark, monkeypatch):
+    """The windows that the fit gets are those of the whole texts, however long they are."""
+    made = [" ".join(f"w{'abcdefghij'[k % 10] * (i + 1)}{'xyz'[k % 3]}" for k in range(n)) for i, n in enumerate((5, 900, 4000))]
+    docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    marks = spark.createDataFrame([(0, 0), (1, 1), (2, 1)], "doc_id long, label int")
+    taken = []
+    monkeypatch.setattr(X, "fit", lambda texts, labels: taken.append((texts, labels)))
+    X.train(docs, marks)
+    (found, labels), = taken
+    assert sorted(labels) == [0, 1, 1]
+    assert sorted(found) == sorted(windows(t) for t in made)
