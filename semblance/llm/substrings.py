@@ -3,7 +3,8 @@
 A text is cut into units: sentences, the clauses of sentences, and pieces of long clauses that end
 at the least word hash of a short window, so equal passages are cut alike wherever they stand, and
 any 50 words in a row that two texts share hold a whole span. Every unit begins a span: the shortest
-run of at least ``SPAN_UNITS`` units with ``SPAN_WORDS`` words. Spans are hashed and joined globally;
+run of at least ``SPAN_UNITS`` units with ``SPAN_WORDS`` words. In Chinese, Japanese, Thai and other
+scripts without spaces every letter counts as a word, and wide marks need no space after them. Spans are hashed and joined globally;
 all units that a non-first occurrence of a repeated span covers are removed.
 """
 
@@ -28,11 +29,17 @@ PIECE_WORDS = 8
 # Widths that double a window up to that one.
 _HALVES = (1, 2, 4)
 
-# What a character is; white space after a mark or with a line end in it ends a clause.
-_SPACE, _MARK = 1, 2
-_KINDS = np.zeros(1 << 16, dtype=np.uint8)
+# What a character is. White space after a mark or with a line end in it ends a clause, and so does a
+# wide mark by itself. Letters of scripts without spaces are words each, with the signs after them.
+_SPACE, _MARK, _WIDE, _WIDE_MARK, _SIGN = 1, 2, 3, 4, 5
+_KINDS = np.zeros(0x32400, dtype=np.uint8)
+_KINDS[[c for c in range(1 << 16) if not chr(c).isalnum()]] = _SIGN
+for _a, _b in ((0xE00, 0x1000), (0x1000, 0x10A0), (0x1780, 0x1800), (0x3005, 0x3008), (0x3040, 0x3100), (0x31F0, 0x3200),
+               (0x3400, 0x4DC0), (0x4E00, 0xA000), (0xF900, 0xFB00), (0xFF66, 0xFFA0), (0x20000, 0x323B0)):
+    _KINDS[[c for c in range(_a, _b) if chr(c).isalnum()]] = _WIDE
 _KINDS[[c for c in range(1 << 16) if chr(c).isspace()]] = _SPACE
-_KINDS[[ord(c) for c in ".!?,;:。！？、"]] = _MARK
+_KINDS[[ord(c) for c in ".!?,;:"]] = _MARK
+_KINDS[[ord(c) for c in "。！？、，；：．｡､"]] = _WIDE_MARK
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _FINISH = np.uint64(0xD6E8FEB86659FD93)
 # Stands for a NULL id, which comes after all others.
@@ -44,8 +51,17 @@ def _codes(text: str) -> np.ndarray:
 
 
 def _starts(codes: np.ndarray) -> np.ndarray:
-    inside = _KINDS[np.minimum(codes, len(_KINDS) - 1)] != _SPACE
-    return np.flatnonzero(inside & ~np.append(False, inside[:-1]))
+    kinds = _KINDS[np.minimum(codes, len(_KINDS) - 1)]
+    inside = kinds != _SPACE
+    begins = inside & ~np.append(False, inside[:-1])
+    wide = (kinds == _WIDE) | (kinds == _WIDE_MARK)
+    if wide.any():
+        # A letter after a wide one or a wide mark, and the signs between, begins a word.
+        bare = (kinds != _MARK) & (kinds != _SIGN)
+        before = np.maximum.accumulate(np.where(bare | wide, np.arange(len(kinds)), 0))
+        after_wide = np.append(False, wide[before[:-1]])
+        begins |= (kinds == _WIDE) | ((kinds == 0) & after_wide)
+    return np.flatnonzero(begins)
 
 
 def _ranks(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -64,15 +80,19 @@ def units(text: str) -> list[tuple[str, list[str]]]:
     White space belongs to the unit before it, or to the first unit.
     """
     low = text.lower()
-    words = low.split()
-    n = len(words)
-    if not n:
-        return []
     codes = _codes(text)
     starts = _starts(codes)
+    n = len(starts)
+    if not n:
+        return []
+    words = low.split()
+    if len(words) != n:
+        words = [text[a:b].rstrip().lower() for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(text)])]
     kinds = _KINDS[np.minimum(codes, len(_KINDS) - 1)]
     inside = kinds != _SPACE
-    last = kinds[inside & ~np.append(inside[1:], False)] == _MARK
+    ends = (kinds == _WIDE_MARK) | ((kinds == _MARK) & ~np.append(inside[1:], False))
+    last = np.zeros(n, dtype=bool)
+    last[np.searchsorted(starts, np.flatnonzero(ends), "right") - 1] = True
     lines = np.searchsorted(starts, np.flatnonzero(codes == 10)) - 1
     last[lines[lines >= 0]] = True
     last[-1] = True

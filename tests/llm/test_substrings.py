@@ -106,3 +106,22 @@ def test_fifty_shared_words_hold_a_span():
                 words = [*rng.choices(names, k=rng.randint(0, 40)), *passage, *rng.choices(names, k=rng.randint(0, 40))]
                 found.append({mark for mark, _, _ in S.spans(S.units(" ".join(words)))})
             assert found[0] & found[1]
+
+
+def test_passages_without_spaces():
+    """Shared passages of scripts without spaces hold a span, with and without wide marks."""
+    rng = random.Random(6)
+    for low, high in ((0x4E00, 0x5600), (0x3041, 0x3097), (0xE01, 0xE31)):
+        letters = [chr(c) for c in range(low, high)]
+        for marks in (0, 1):
+            passage = "".join(c + ("，" if marks and k % 9 == 8 else "") for k, c in enumerate(rng.choices(letters, k=50)))
+            found = []
+            for _ in range(2):
+                text = "".join([*rng.choices(letters, k=30), passage, *rng.choices(letters, k=30)])
+                cut = S.units(text)
+                assert "".join(p for p, _ in cut) == text and max(len(w) for _, w in cut) <= S.PIECE_WORDS
+                found.append({mark for mark, _, _ in S.spans(cut)})
+            assert found[0] & found[1]
+    cut = S.units("你好。」世界，Python3。Java is here. กา")
+    assert [p for p, _ in cut] == ["你好。」", "世界，", "Python3。", "Java is here. ", "กา"]
+    assert cut[0][1] == ["你", "好。」"]
