@@ -52,6 +52,8 @@ CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
     "th": {"td", "th"}, "option": {"option"},
 }
+# Elements that a head may hold; any other one closes it.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title head html".split())
 _NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
@@ -104,6 +106,8 @@ class PageLines(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         self.lines[-1].tags += 1
+        if self.named["head"] > 0 and (tag == "body" or (self.open[-1][0] == "head" and tag not in IN_HEAD)):
+            self._close(next(k for k in range(len(self.open) - 1, 0, -1) if self.open[k][0] == "head"))
         if tag in VOID:
             if tag == "br":
                 self.lines[-1].parts.append(" ")
@@ -141,6 +145,8 @@ class PageLines(HTMLParser):
             self._close(at)
 
     def handle_data(self, data):
+        if self.open[-1][0] == "head" and data.strip():
+            self._close(len(self.open) - 1)
         if not self.open[-1][1]:
             self.lines[-1].parts.append(data)
 
@@ -173,8 +179,8 @@ def main_text(html: str | None) -> str:
     if not lines:
         return ""
     chosen = content_lines(np.array([len(text) / max(tags, 1) for text, tags, _ in lines]))
-    # The innermost article or main elements of the chosen lines are content as a whole; without
-    # them, the innermost element above nearly all of the chosen text is: smoothing also lifts a
+    # The innermost article or main elements of the chosen lines are content as a whole, or the
+    # outermost ones where the inner ones lack some of their chosen text; without them, the innermost element above nearly all of the chosen text is: smoothing also lifts a
     # short line beside long ones.
     names, outer = parser.names, parser.outer
     weight, holds = [0] * len(names), [False] * len(names)
@@ -190,8 +196,22 @@ def main_text(html: str | None) -> str:
             weight[outer[place]] += weight[place]
             holds[outer[place]] |= holds[place] or article
     total = sum(len(text) for (text, *_), wanted in zip(lines, chosen) if wanted)
-    if inner and sum(weight[p] for p in inner) >= 0.5 * total:
+    held = sum(weight[p] for p in inner)
+    # Outer ones hold what the inner ones hold, and more: the inner ones take their place only when
+    # they hold nearly all of it.
+    outermost = set()
+    above = [False] * len(names)
+    for place in range(len(names)):
+        article = names[place] in ("article", "main") and weight[place] > 0
+        up = outer[place] >= 0 and above[outer[place]]
+        if article and not up:
+            outermost.add(place)
+        above[place] = up or article
+    around = sum(weight[p] for p in outermost)
+    if inner and held >= 0.5 * total and held >= CORE_SHARE * around:
         homes = inner
+    elif outermost and around >= 0.5 * total:
+        homes = outermost
     else:
         homes = {max((p for p, w in enumerate(weight) if w >= CORE_SHARE * total), default=-1)}
     inside = [False] * len(names)

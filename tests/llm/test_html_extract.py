@@ -80,3 +80,24 @@ def test_rows(spark):
     got = [tuple(r) for r in H.extract(pages).collect()]
     assert sorted(got, key=repr) == sorted([(1, "u", "x", 1), (1, "u", "x", 1), (None, None, "", 0)], key=repr)
     assert H.extract(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("page", [
+    "<html><head><title>T</title><meta charset=utf-8><body><p>Some text of the page.</p></body></html>",
+    "<html><head><title>T</title><script>var a</script><p>Some text of the page.</p></html>",
+    "<head><noscript><img src=x><p>No script</p></noscript><style>p{}</style><div>Some text of the page.</div>",
+    "<head><title>T</title>Some text of the page.",
+])
+def test_head_without_an_end(page):
+    assert H.main_text(page) == "Some text of the page."
+
+
+def test_main_around_an_article():
+    """An embedded article with about half of the text does not take the place of main."""
+    text = "A paragraph that is long enough to be the content of this page, word after word."
+    for n in (3, 4, 6):
+        page = f"<main>{f'<p>{text}</p>' * 3}<article>{f'<p>{text}</p>' * n}</article><p>{text}</p></main>"
+        assert H.main_text(f"<body>{page}</body>") == " ".join([text] * (n + 4))
+    # Without chosen text of its own, main gives way to its article.
+    page = f"<main><p>Menu</p><article>{f'<p>{text}</p>' * 8}</article></main>"
+    assert H.main_text(page) == " ".join([text] * 8)
