@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semblance.llm import ann, bpe, decontaminate, html_extract, langid, quality, simhash, substrings, token_counts, toxicity
+from semblance.llm import ann, bpe, decontaminate, hard_negatives, html_extract, langid, quality, simhash, substrings, token_counts, toxicity, whitening
 from semblance.llm.storage import held_out, new_folder
 from semblance.session import local_checkpoints
 
@@ -92,6 +92,16 @@ def op10_bpe(spark, sf_dir):
     return bpe.digests(bpe.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), path))
 
 
+@query
+def op11_hard_negatives(spark, sf_dir):
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
+@query
+def op13_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 ORACLE["op6_decontaminate"] = r"""
 WITH items AS (
     SELECT row_number() OVER () AS nr, item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS words
@@ -115,3 +125,26 @@ SELECT doc_id, item_id, n / size AS containment
 FROM met JOIN (SELECT nr, count(*) AS size FROM item_grams GROUP BY nr) USING (nr)
 WHERE n / size >= 0.8
 """
+
+ORACLE["op11_hard_negatives"] = """
+WITH rows AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS x
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), met AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+           CAST(list_sum(list_transform(list_zip(a.x, b.x), lambda z: z[1] * z[2])) AS BIGINT) AS score
+    FROM rows a JOIN rows b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+), positives AS (
+    SELECT * FROM met WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+)
+SELECT p.anchor_id, p.other_id AS positive_id,
+       CAST(row_number() OVER (PARTITION BY p.anchor_id, p.other_id ORDER BY n.score DESC, n.other_id) AS INTEGER) AS rank,
+       n.other_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN met n ON n.anchor_id = p.anchor_id AND NOT n.same
+WHERE 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+QUALIFY rank <= 3
+"""

@@ -1,0 +1,121 @@
+"""Hard negatives against all pairs, the share of pairs verified, and odd rows."""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pytest
+
+from semblance.llm import hard_negatives as H
+
+SCHEMA = "vec_id long, embedding array<float>, label int, score string, rows int"
+
+
+def table(spark, vectors, labels):
+    return spark.createDataFrame([(i, v, int(k), "x", 1) for i, (v, k) in enumerate(zip(vectors, labels))], SCHEMA)
+
+
+def plain(rows, every, positives=5, negatives=3):
+    known = {}
+    for i, v, k in rows:
+        known[i] = ([math.floor(256 * float(np.float32(c))) for c in v], (k + 1) % 10 if i % 7 == 0 else k)
+    out = []
+    for a, (x, label) in known.items():
+        if a % every:
+            continue
+        ranked = sorted((-sum(p * q for p, q in zip(x, y)), i) for i, (y, _) in known.items() if i != a)
+        for s, p in [r for r in ranked if known[r[1]][1] == label][:positives]:
+            fits = [(n, i) for n, i in ranked if known[i][1] != label and 50 * -s <= 100 * -n <= 95 * -s]
+            out += [(a, p, k + 1, i, -s, -n) for k, (n, i) in enumerate(fits[:negatives])]
+    return sorted(out)
+
+
+def clusters(n, width, seed, spread):
+    random = np.random.default_rng(seed)
+    centres = random.normal(size=(20, width)) ** 3
+    vectors = centres[random.integers(0, 20, n)] + spread * random.normal(size=(n, width))
+    return vectors / np.linalg.norm(vectors, axis=1)[:, None] * random.uniform(0.5, 2, (n, 1)), random.integers(0, 4, n)
+
+
+@pytest.mark.parametrize("width, spread, bucket", [(3, 0.3, 8), (16, 0.2, 16), (8, 5.0, 32)])
+def test_same_as_all_pairs(spark, monkeypatch, width, spread, bucket):
+    monkeypatch.setattr(H, "BUCKET_ROWS", bucket)
+    monkeypatch.setattr(H, "BLOCK_BYTES", 8 * width * 20)
+    monkeypatch.setattr(H, "LEAST_TASK_BYTES", 8 * width * 50)
+    vectors, labels = clusters(300, width, 5, spread)
+    got = H.hard_negatives(table(spark, vectors.tolist(), labels), every=6)
+    want = plain(list(zip(range(300), vectors, labels)), 6)
+    assert sorted(map(tuple, got.collect())) == want and want
+
+
+def test_ties_and_a_common_vector(spark, monkeypatch):
+    monkeypatch.setattr(H, "BUCKET_ROWS", 16)
+    random = np.random.default_rng(2)
+    vectors = random.integers(-2, 3, (240, 3)) / 4
+    vectors[::3] = [0.5, 0.25, 0.0]
+    labels = random.integers(0, 3, 240)
+    got = H.hard_negatives(table(spark, vectors.tolist(), labels), every=10)
+    assert sorted(map(tuple, got.collect())) == plain(list(zip(range(240), vectors, labels)), 10)
+
+
+def whole_search(vectors, labels, every, size):
+    """Counts of pairs and of verified pairs of the positives' search, over plain buckets."""
+    x = np.floor(256 * vectors).astype(np.int64)
+    ids = np.arange(len(x))
+    asked = ids[ids % every == 0]
+    wide = np.full((len(asked), 1), 2 ** 62)
+    best = H.Best(H.Anchors(asked, labels[asked], x[asked], -wide, wide), 5)
+    work = H.Work()
+    for label in np.unique(labels):
+        mine = ids[labels == label]
+        mine = mine[np.lexsort((mine, -H.lengths(x[mine])))]
+        for at in range(0, len(mine), size):
+            part = mine[at:at + size]
+            bucket = H.Bucket(int(label), part, x[part], H.coordinate_order(x[part]))
+            H.search(bucket, best, np.flatnonzero(labels[asked] == label), work)
+    for a, i in enumerate(asked):
+        scores = x[labels == labels[i]] @ x[i]
+        others = ids[labels == labels[i]]
+        order = np.lexsort((others, -scores))
+        assert best.ids[a, 0].tolist() == [o for o in others[order] if o != i][:5]
+    return work
+
+
+def test_ranges_and_lengths_prune():
+    vectors, labels = clusters(6000, 16, 7, 0.02)
+    work = whole_search(vectors, labels, 20, 256)
+    # Clustered vectors of unlike length: few pairs have their exact score taken.
+    assert work.verified < 0.4 * work.pairs, work
+
+
+def test_feasible_ranges_hold_every_row_within_the_angle():
+    random = np.random.default_rng(9)
+    a, b = (v / np.linalg.norm(v, axis=1)[:, None] for v in random.normal(size=(2, 4000, 4)))
+    cosine = np.einsum("nd,nd->n", a, b)
+    for bound in (-0.5, 0.0, 0.7, 0.99):
+        low, high = H.feasible(a, np.full((len(a), 1), bound))
+        inside = ((b >= low) & (b <= high)).all(axis=1)
+        assert inside[cosine >= bound].all()
+    assert not inside.all()
+
+
+def test_odd_rows(spark):
+    nan = float("nan")
+    rows = [
+        (0, [1.0, 0.0], 1, "a", 1), (0, [1.0, 0.0], 1, "b", 2), (1, [1.0, 0.25], 2, None, 3), (2, [0.75, 0.0], 3, "d", 4),
+        (3, None, 3, "e", 5), (4, [1.0, None], 3, "f", 6), (5, [nan, 0.5], 3, "g", 7), (6, [1.0, 0.0], None, "h", 8),
+        (None, [1.0, 0.0], 3, "i", 9), (8, [], 3, "j", 10), (9, [2.0], 2, "k", 11),
+    ]
+    got = H.hard_negatives(spark.createDataFrame(rows, SCHEMA)).collect()
+    # Id 0 moves to label 2: its positive is id 1.
+    assert [tuple(r) for r in got] == [(0, 1, 1, 2, 65536, 49152)]
+    assert H.hard_negatives(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_large_components_saturate_and_stay_exact(spark):
+    rows = [(0, [3e38, 3e38], 1, "", 1), (1, [3e38, 1e6], 2, "", 1), (3, [1.5e8, 0.0], 4, "", 1), (2, [2e6, 5.0], 3, "", 1)]
+    top = int(math.floor(math.sqrt(2.0 ** 61 / 2)))
+    got = H.hard_negatives(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert got[0]["positive_score"] == top * top + top * 256 * 10 ** 6
+    assert 0 < got[0]["negative_score"] <= got[0]["positive_score"] * 0.95
