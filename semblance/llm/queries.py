@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semblance.llm import ann, bpe, decontaminate, hard_negatives, html_extract, langid, quality, simhash, substrings, token_counts, toxicity, whitening
+from semblance.llm import ann, bpe, decontaminate, hard_negatives, html_extract, langid, pii, quality, simhash, substrings, token_counts, toxicity, whitening
 from semblance.llm.storage import held_out, new_folder
 from semblance.session import local_checkpoints
 
@@ -97,6 +97,12 @@ def op11_hard_negatives(spark, sf_dir):
     return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
 
 
+@query
+def op12_pii(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.digests(pii.find(docs, pii.train(docs)))
+
+
 @query
 def op13_whitening(spark, sf_dir):
     return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
