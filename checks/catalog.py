@@ -17,6 +17,7 @@ from semblance.operators import corpus as C
 from semblance.operators import features as A
 from semblance.operators import harvest as V
 from semblance.operators import incremental as I
+from semblance.operators import matching as M
 from semblance.operators import pairs as P
 from semblance.operators import runs as R
 from semblance.operators import tfidf as TF
@@ -383,7 +384,7 @@ def processed_ratio(spark, sf):
 @query
 def token_ratio(spark, sf):
     subs = D.submissions(spark, sf)
-    return TS.token_scores(A.build_features(subs), _targets(subs))
+    return TS.token_scores(AN.feature_table(subs), _targets(subs))
 
 
 @query
@@ -456,6 +457,33 @@ def token_runs(spark, sf):
     return R.token_runs(subs, _targets(subs))
 
 
+@query
+def longest_matches(spark, sf):
+    subs = D.submissions(spark, sf)
+    return M.longest_matches(M.pair_matches(subs, _targets(subs)))
+
+
+@query
+def best_matches(spark, sf):
+    subs = D.submissions(spark, sf)
+    return M.best_matches(M.pair_matches(subs, _targets(subs)))
+
+
+@query
+def token_tiles(spark, sf):
+    """Tilings of short texts: every part name against the first of its brand."""
+    names = D.part_names(spark, sf)
+    tiled = M.token_tiles(names, _targets(names), 2)
+    shown = F.transform("tiles", lambda t: F.concat_ws(":", t["pos1"], t["pos2"], t["token_count"]))
+    return tiled.select(*M.PAIR, F.array_join(shown, " ").alias("tiles"), "tiled", "tile_ratio")
+
+
+@query
+def tile_ratio(spark, sf):
+    subs = D.submissions(spark, sf)
+    return M.token_tiles(subs, _targets(subs)).select(*M.PAIR, "tiled", "tile_ratio")
+
+
 @query
 def token_matches(spark, sf):
     subs = D.submissions(spark, sf)

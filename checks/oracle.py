@@ -426,6 +426,17 @@ ORACLE["token_matches"] = BASE + "," + run_ctes("subs") + """ SELECT r.*,
   substring(array_to_string(d.toks[pos1 + 1 : pos1 + token_count], ''), 1, 500) AS matched_text,
   row_number() OVER (PARTITION BY r.corpus_id, target, other ORDER BY token_count DESC, pos1, pos2)::BIGINT AS rank
   FROM runs r JOIN rd d ON d.corpus_id = r.corpus_id AND d.name = r.target QUALIFY rank <= 10"""
+# The longest match from each place of the other text on, at its leftmost place in the target.
+LONGEST = """sp AS (SELECT corpus_id, target, other, pos1, pos2, token_count, unnest(range(pos2, pos2 + token_count - 9)) AS p FROM runs),
+  ms AS (SELECT corpus_id, target, other, p, pos2 + token_count - p AS n, pos1 + p - pos2 AS at FROM sp),
+  mb AS (SELECT corpus_id, target, other, p, max(n) AS n FROM ms GROUP BY ALL),
+  longest AS (SELECT b.corpus_id, b.target, b.other, min(m.at)::BIGINT AS pos1, b.p::BIGINT AS pos2, b.n::BIGINT AS token_count
+    FROM mb b JOIN ms m USING (corpus_id, target, other, p, n)
+    LEFT JOIN mb f ON f.corpus_id = b.corpus_id AND f.target = b.target AND f.other = b.other AND f.p = b.p - 1
+    WHERE f.n IS NULL OR b.n >= f.n GROUP BY ALL)"""
+ORACLE["longest_matches"] = BASE + "," + run_ctes("subs") + "," + LONGEST + " SELECT * FROM longest"
+ORACLE["best_matches"] = BASE + "," + run_ctes("subs") + "," + LONGEST + """ SELECT *,
+  row_number() OVER (PARTITION BY corpus_id, target, other ORDER BY token_count DESC, pos1, pos2)::BIGINT AS rank FROM longest QUALIFY rank <= 10"""
 ORACLE["token_ratio"] = (
     BASE + f", ps AS (SELECT corpus_id, name, {processed_sql('raw_text')} AS raw_text FROM subs),"
     + dice_ctes(tokens_sql("raw_text"), "0", "w", "ps") + "," + run_ctes("ps") + """,
@@ -560,3 +571,30 @@ ORACLE["analyze_names"] = (
   JOIN cosines k USING (corpus_id, target, other) LEFT JOIN cov c USING (corpus_id, target, other)
   JOIN wl x ON x.corpus_id = d.corpus_id AND x.name = d.target JOIN wl y ON y.corpus_id = d.corpus_id AND y.name = d.other"""
 )
+# Every common stretch is a candidate; the best one is taken, and all that share a token with it go.
+GREEDY = """greedy AS (SELECT corpus_id, target, other, c, c[:0] AS tiles FROM cand UNION ALL SELECT corpus_id, target, other,
+    list_filter(c, lambda t: (t.i >= c[1].i + c[1].n OR c[1].i >= t.i + t.n) AND (t.j >= c[1].j + c[1].n OR c[1].j >= t.j + t.n)),
+    list_append(tiles, c[1]) FROM greedy WHERE len(c) > 0),
+  made AS (SELECT p.corpus_id, p.target, p.other, len(a.w) + len(b.w) AS total, g.tiles,
+    coalesce(list_sum(list_transform(g.tiles, lambda t: t.n)), 0)::BIGINT AS tiled FROM pairs p
+    JOIN tk a ON a.corpus_id = p.corpus_id AND a.name = p.target JOIN tk b ON b.corpus_id = p.corpus_id AND b.name = p.other
+    LEFT JOIN (SELECT * FROM greedy WHERE len(c) = 0) g ON g.corpus_id = p.corpus_id AND g.target = p.target AND g.other = p.other)"""
+TILE_RATIO = "tiled, round(CASE WHEN total = 0 THEN 0 ELSE 2.0 * tiled / total END::DOUBLE, 6) AS tile_ratio FROM made"
+TILE_TOKENS = f"tk AS (SELECT corpus_id, name, {tokens_sql('raw_text')} AS w FROM subs)"
+ORACLE["token_tiles"] = with_ctes(
+    PART_SUBS, TARGETS, PAIRS, TILE_TOKENS,
+    "tp AS (SELECT p.*, a.w AS x, b.w AS y FROM pairs p JOIN tk a ON a.corpus_id = p.corpus_id AND a.name = p.target"
+    " JOIN tk b ON b.corpus_id = p.corpus_id AND b.name = p.other)",
+    "t1 AS (SELECT *, unnest(range(0, len(x))) AS i FROM tp)", "t2 AS (SELECT *, unnest(range(0, len(y))) AS j FROM t1)",
+    "t3 AS (SELECT *, unnest(range(2, least(len(x) - i, len(y) - j) + 1)) AS n FROM t2)",
+    "cand AS (SELECT corpus_id, target, other, list({'i': i, 'j': j, 'n': n} ORDER BY n DESC, i, j) AS c FROM t3"
+    " WHERE x[i + 1 : i + n] = y[j + 1 : j + n] GROUP BY ALL)",
+    GREEDY,
+).replace("WITH ", "WITH RECURSIVE ", 1) + """ SELECT corpus_id, target, other,
+  coalesce(array_to_string(list_transform(tiles, lambda t: t.i || ':' || t.j || ':' || t.n), ' '), '') AS tiles, """ + TILE_RATIO
+# Common stretches of long texts lie in their runs.
+ORACLE["tile_ratio"] = (BASE + "," + run_ctes("subs")).replace("WITH ", "WITH RECURSIVE ", 1) + "," + TILE_TOKENS + """,
+  c1 AS (SELECT corpus_id, target, other, pos1, pos2, token_count, unnest(range(0, token_count - 9)) AS o FROM runs),
+  c2 AS (SELECT corpus_id, target, other, pos1 + o AS i, pos2 + o AS j, unnest(range(10, token_count - o + 1)) AS n FROM c1),
+  cand AS (SELECT corpus_id, target, other, list({'i': i, 'j': j, 'n': n} ORDER BY n DESC, i, j) AS c FROM c2 GROUP BY ALL),
+  """ + GREEDY + " SELECT corpus_id, target, other, " + TILE_RATIO

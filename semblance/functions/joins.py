@@ -92,8 +92,9 @@ def split_join(
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
     """Whether a table has few rows and few bytes. The count stops at ``max_rows + 1``."""
     texts = [F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)) for f in df.schema.fields if f.dataType == T.StringType()]
+    lists = [F.greatest(16 * F.size(f"`{f.name}`"), F.lit(0)) for f in df.schema.fields if isinstance(f.dataType, T.ArrayType)]
     fixed = F.lit(16 * len(df.columns))
-    size = sum(texts, fixed)
+    size = sum([*texts, *lists], fixed)
     n, total = df.limit(max_rows + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
     return n <= max_rows and total <= max_bytes
 
