@@ -23,6 +23,7 @@ from semblance.operators import runs as R
 from semblance.operators import tfidf as TF
 from semblance.operators import token_scores as TS
 from semblance.operators import vectors as VE
+from semblance.operators import verify as Q
 from semblance.operators import workspaces as W
 from semblance.plans import analysis as AN
 from semblance.plans import ingest as IN
@@ -381,6 +382,19 @@ def processed_ratio(spark, sf):
     return P.text_scores(subs, _targets(subs), {"processed_text": "processed"})
 
 
+@query
+def best_names(spark, sf):
+    """The three part names of each brand most like its first, by bounds before exact ratios."""
+    names = D.part_names(spark, sf)
+    return Q.best_pairs(names, _targets(names), 3).select(*P.PAIR, "ratio", "rank", "n_pairs")
+
+
+@query
+def best_ratios(spark, sf):
+    subs = D.submissions(spark, sf)
+    return Q.best_pairs(subs, _targets(subs), 3)
+
+
 @query
 def token_ratio(spark, sf):
     subs = D.submissions(spark, sf)

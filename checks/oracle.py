@@ -598,3 +598,8 @@ ORACLE["tile_ratio"] = (BASE + "," + run_ctes("subs")).replace("WITH ", "WITH RE
   c2 AS (SELECT corpus_id, target, other, pos1 + o AS i, pos2 + o AS j, unnest(range(10, token_count - o + 1)) AS n FROM c1),
   cand AS (SELECT corpus_id, target, other, list({'i': i, 'j': j, 'n': n} ORDER BY n DESC, i, j) AS c FROM c2 GROUP BY ALL),
   """ + GREEDY + " SELECT corpus_id, target, other, " + TILE_RATIO
+ORACLE["best_names"] = with_ctes(
+    PART_SUBS, TARGETS, PAIRS, "texts AS (SELECT corpus_id, name, raw_text FROM subs)", lcs_ctes("raw_text", "q")
+).replace("WITH ", "WITH RECURSIVE ", 1) + """ SELECT corpus_id, target, other, round(ratio, 6) AS ratio,
+  row_number() OVER (PARTITION BY corpus_id, target ORDER BY ratio DESC, other)::BIGINT AS rank,
+  count(*) OVER (PARTITION BY corpus_id, target)::BIGINT AS n_pairs FROM qs QUALIFY rank <= 3"""

@@ -32,6 +32,11 @@ def build_features(
     return processed.withColumn("tokens", X.tokens(F.col("processed_text")))
 
 
+def token_array(rows: DataFrame, text: str) -> Column:
+    """The tokens of a text column; feature rows bring those of their processed text along."""
+    return F.col("tokens") if text == "processed_text" and "tokens" in rows.columns else X.tokens(F.col(text))
+
+
 def structure_lists(text: Column, preserve_names: bool = False) -> Column:
     """The elements of four families of a source text, each as a list in order of the text."""
     flow = F.create_map(*[F.lit(x) for pair in C.CONTROL_FLOW.items() for x in pair])

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from semblance.functions import scores as S
 from semblance.operators.features import build_features, grams, shape_grams
-from semblance.operators.pairs import PAIR, bag_scores, item_counts, missing_targets, text_scores
+from semblance.operators.pairs import PAIR, bag_scores, item_counts, missing_targets
 from semblance.operators.tfidf import tfidf_cosine
 from semblance.operators.token_scores import token_scores
 from semblance.operators.vectors import file_scores, vector_cosine, vector_topk
+from semblance.operators.verify import text_ratios
 from semblance.session import cut_lineage
 from semblance.settings import TOP_K, TextOptions
 
@@ -48,7 +49,7 @@ def analyze_fast(
     rows = feature_table(submissions, options, limit) if features is None else features
     fitting = rows.filter(F.col("error").isNull())
     shown = rows.withColumn("raw_text", F.when(F.col("error").isNull(), F.col("raw_text")))
-    exact = text_scores(shown, targets, {"raw_text": "raw", "processed_text": "processed"})
+    exact = text_ratios(shown, targets, {"raw_text": "raw", "processed_text": "processed"})
     scored = (
         exact.join(shape_scores(fitting, targets, options.preserve_variable_names), PAIR, "left")
         .join(token_scores(fitting, targets), PAIR, "left")

@@ -29,6 +29,10 @@ MIN_SALTS = 2
 # A key with more rows, or bytes of text, than this is split into parts of about this size.
 ROWS_PER_PART = 100_000
 BYTES_PER_PART = 64 * 1024 * 1024
+# A pair whose text lengths multiply to more than this is scored tile by tile, in tiles of so many
+# characters on each side.
+CELLS_PER_CALL = 1 << 36
+TILE_CHARS = 1 << 18
 # Largest table that may be broadcast, in rows and in bytes.
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 32 * 1024 * 1024
