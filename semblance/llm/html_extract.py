@@ -1,10 +1,12 @@
 """Main text of web pages by smoothed text-to-tag ratios.
 
 The standard library's parser streams events; block elements cut the page into lines, each with
-its text, the tags met in it and its place in the element tree. Lines of boilerplate elements do
-not count. The text-to-tag ratios of the others are smoothed by a Gaussian and split in two
-clusters by a threshold. The regions of the upper cluster choose the element that holds the
-content, and every line of that element that is not boilerplate is kept, however short.
+its text, the tags met in it and its place in the element tree. The text-to-tag ratios are smoothed
+by a Gaussian and split in two clusters by a threshold. Names and kinds of elements are evidence of
+boilerplate only as far as the clusters agree: an element that holds most text of the upper cluster
+is none, nor is a name whose elements do. Without the lines of boilerplate the ratios are clustered
+again; the regions of the upper cluster choose the element that holds the content, and every line
+of that element that is not boilerplate is kept, however short.
 """
 
 from __future__ import annotations
@@ -25,6 +27,11 @@ THRESHOLD_DEVIATIONS = 1.0
 # Share of the chosen text that an element must hold to be the content's.
 CORE_SHARE = 0.95
 
+# Share of the upper cluster's text above which an element or a name is no boilerplate, and the same
+# for readers' comments, which can be longer than the article.
+MOST_SHARE = 0.5
+COMMENT_SHARE = 0.95
+
 # Elements whose text is never shown.
 SILENT = frozenset("script style noscript template head title svg math iframe object canvas textarea select".split())
 # Elements that are not the article.
@@ -40,6 +47,14 @@ BOILERPLATE_NAMES = frozenset(
     recommendations comment comments commentlist reply replies respond disqus widget pagination pager toolbar skip
     copyright""".split()
 )
+COMMENT_NAMES = frozenset("comment comments commentlist reply replies respond disqus".split())
+# First words of a name that tell what an element has or has not, not what it is.
+TELLING = frozenset("no not non without has have with is if hide hidden".split())
+# Beside these words a header is the article's own.
+OWN_HEADER = frozenset("entry post article story content title headline".split())
+# Kinds of elements that may also stand around a whole page.
+AROUND_PAGES = frozenset("<form> <fieldset> <header> <role>".split())
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 BLOCKS = frozenset(
     """address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer
     form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th
@@ -57,16 +72,27 @@ IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script st
 _NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
+def boilerplate_words(names: str) -> set[str]:
+    """The words of class or id names that are evidence of boilerplate."""
+    found = set()
+    for name in names.split():
+        words = [w.lower() for w in _NAME_WORDS.findall(name)]
+        if words and words[0] not in TELLING:
+            found.update(w for w in words if w in BOILERPLATE_NAMES and (w != "header" or OWN_HEADER.isdisjoint(words)))
+    return found
+
+
 class Line:
     """Text between two block borders."""
 
-    __slots__ = ("parts", "tags", "place", "dropped")
+    __slots__ = ("parts", "tags", "place", "hidden", "mark")
 
-    def __init__(self, place: int, dropped: bool):
+    def __init__(self, place: int, hidden: bool, mark: int):
         self.parts: list[str] = []
         self.tags = 0
         self.place = place
-        self.dropped = dropped
+        self.hidden = hidden
+        self.mark = mark
 
 
 class PageLines(HTMLParser):
@@ -74,20 +100,23 @@ class PageLines(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        # Open elements: name, whether text is silent, whether it is boilerplate, container.
-        self.open: list[tuple[str, bool, bool, int]] = [("", False, False, -1)]
+        # Open elements: name, whether text is silent, whether it is hidden, container, mark.
+        self.open: list[tuple[str, bool, bool, int, int]] = [("", False, False, -1, -1)]
         self.named: Counter[str] = Counter()
         # Name and outer container of each container; outer ones come first.
         self.names: list[str] = []
         self.outer: list[int] = []
+        # Elements with evidence of boilerplate: the evidence, and the next such element around.
+        self.evidence: list[frozenset[str]] = []
+        self.around: list[int] = []
         self.lines: list[Line] = []
         self._cut()
 
     def _cut(self) -> None:
-        _, _, dropped, place = self.open[-1]
+        _, _, hidden, place, mark = self.open[-1]
         if self.lines and not self.lines[-1].parts:
             self.lines.pop()
-        self.lines.append(Line(place, dropped))
+        self.lines.append(Line(place, hidden, mark))
 
     def _close(self, at: int) -> None:
         gone = self.open[at:]
@@ -122,17 +151,24 @@ class PageLines(HTMLParser):
                     break
                 if name in BLOCKS:
                     break
-        _, silent, dropped, place = self.open[-1]
-        told = dict(attrs)
-        words = {w.lower() for key in ("class", "id") for w in _NAME_WORDS.findall(told.get(key) or "")}
-        whole = tag in ("html", "body", "main", "article")
-        dropped = dropped or tag in BOILERPLATE or (told.get("role") or "").lower() in BOILERPLATE_ROLES
-        dropped = dropped or "hidden" in told or (not whole and not words.isdisjoint(BOILERPLATE_NAMES))
+        _, silent, hidden, place, mark = self.open[-1]
+        told = {key: value or "" for key, value in attrs}
+        found = {f"<{tag}>"} if tag in BOILERPLATE else set()
+        if told.get("role", "").lower() in BOILERPLATE_ROLES:
+            found.add("<role>")
+        if tag not in ("html", "body", "main", "article"):
+            found |= boilerplate_words(told.get("class", "")) | boilerplate_words(told.get("id", ""))
+            unseen = "hidden" in told or told.get("aria-hidden", "").lower() == "true"
+            hidden = hidden or unseen or _UNSEEN.search(told.get("style", "")) is not None
+        if found:
+            self.evidence.append(frozenset(found))
+            self.around.append(mark)
+            mark = len(self.evidence) - 1
         if tag in CONTAINERS:
             self.names.append(tag)
             self.outer.append(place)
             place = len(self.names) - 1
-        self.open.append((tag, silent or tag in SILENT, dropped, place))
+        self.open.append((tag, silent or tag in SILENT, hidden, place, mark))
         self.named[tag] += 1
         if tag in BLOCKS:
             self._cut()
@@ -167,15 +203,52 @@ def content_lines(ratios: np.ndarray) -> np.ndarray:
     return smooth >= max(level, 1e-9)
 
 
+def boilerplate(parser: PageLines, lines: list[tuple[str, int, int, int]]) -> list[bool]:
+    """For each marked element whether its lines are boilerplate: it is marked, and the upper cluster
+    agrees that it, and all elements of one of its names, hold no more than their share. Navigation, footers and
+    the like are boilerplate whatever they hold."""
+    marks = len(parser.evidence)
+    chosen = content_lines(np.array([len(text) / max(tags, 1) for text, tags, *_ in lines]))
+    weight, total = [0] * marks, 0
+    named: Counter[str] = Counter()
+    whole: list[frozenset[str]] = []
+    for evidence, around in zip(parser.evidence, parser.around):
+        whole.append(evidence | whole[around] if around >= 0 else evidence)
+    for (text, _, _, mark), wanted in zip(lines, chosen):
+        if wanted:
+            total += len(text)
+            if mark >= 0:
+                weight[mark] += len(text)
+                for word in whole[mark]:
+                    named[word] += len(text)
+    for mark in range(marks - 1, -1, -1):
+        if parser.around[mark] >= 0:
+            weight[parser.around[mark]] += weight[mark]
+
+    def most(words: frozenset[str]) -> float:
+        if any(w[0] == "<" and w not in AROUND_PAGES for w in words):
+            return total
+        return (MOST_SHARE if words.isdisjoint(COMMENT_NAMES) else COMMENT_SHARE) * total
+
+    out: list[bool] = []
+    for evidence, around, held in zip(parser.evidence, parser.around, weight):
+        # The kind of an element speaks for itself alone, a name for all elements that have it.
+        left = [w for w in evidence if w[0] == "<" or named[w] <= most(frozenset([w]))]
+        out.append((around >= 0 and out[around]) or (bool(left) and held <= most(evidence)))
+    return out
+
+
 def main_text(html: str | None) -> str:
     """Main text of a page; empty for a NULL or empty page and for one without content."""
     parser = PageLines()
     parser.feed(html or "")
     parser.close()
-    lines = [
-        (text, line.tags, line.place)
-        for line in parser.lines if not line.dropped and (text := " ".join("".join(line.parts).split()))
+    shown = [
+        (text, line.tags, line.place, line.mark)
+        for line in parser.lines if not line.hidden and (text := " ".join("".join(line.parts).split()))
     ]
+    dropped = boilerplate(parser, shown) if parser.evidence else []
+    lines = [(text, tags, place) for text, tags, place, mark in shown if mark < 0 or not dropped[mark]]
     if not lines:
         return ""
     chosen = content_lines(np.array([len(text) / max(tags, 1) for text, tags, _ in lines]))

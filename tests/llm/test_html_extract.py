@@ -101,3 +101,61 @@ def test_main_around_an_article():
     # Without chosen text of its own, main gives way to its article.
     page = f"<main><p>Menu</p><article>{f'<p>{text}</p>' * 8}</article></main>"
     assert H.main_text(page) == " ".join([text] * 8)
+
+
+PARAGRAPHS = [
+    f"Paragraph {k} tells at some length what happened on day {k}, so that it has far more text than tags around it." for k in range(8)
+]
+ARTICLE = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+MENU = '<ul class="menu"><li><a href="/a">Home</a></li><li><a href="/b">News</a></li></ul>'
+FOOT = '<div class="site-footer"><a href="/c">Imprint</a> <a href="/d">Privacy</a></div>'
+
+
+@pytest.mark.parametrize("around", [
+    '<div class="layout has-sidebar">{}</div>', '<div class="site no-sidebar"><article>{}</article></div>',
+    '<div class="with-fixed-header">{}</div>', '<div class="social-science">{}</div>', '<form action="/x">{}</form>',
+    '<div id="popup-page"><div class="subscription">{}</div></div>', '<section class="hasSidebar noComments">{}</section>',
+    '<div class="modal"><main>{}</main></div>', '<div role="form">{}</div>',
+])
+def test_names_and_forms_around_an_article_do_not_empty_it(around):
+    page = f"<html><body>{MENU}{around.format(ARTICLE)}{FOOT}</body></html>"
+    assert H.main_text(page) == " ".join(PARAGRAPHS)
+
+
+def test_a_name_on_every_part_of_the_article_is_no_boilerplate():
+    parts = "".join(f'<div class="elementor-widget"><div class="elementor-widget-container"><p>{p}</p></div></div>' for p in PARAGRAPHS)
+    assert H.main_text(f"<body>{MENU}<div>{parts}</div>{FOOT}</body>") == " ".join(PARAGRAPHS)
+
+
+def test_the_headers_of_articles_stay_and_others_go():
+    page = f'<body><div class="site-header"><p>Site of the day</p></div><article><div class="entry-header"><h1>Head</h1></div>{ARTICLE}</article></body>'
+    assert H.main_text(page) == " ".join(["Head", *PARAGRAPHS])
+
+
+def test_hidden_text_goes():
+    hidden = '<p style="color:red; display: none">not shown at all, though it is long enough to look like the text of an article</p>'
+    page = f'<body><article>{hidden}{ARTICLE}<p aria-hidden="true">nor this, which is as long as any other paragraph of the page</p></article></body>'
+    assert H.main_text(page) == " ".join(PARAGRAPHS)
+
+
+def test_comments_longer_than_the_article_go():
+    comments = "".join(f"<div class='comment'><p>Reader {k} has a long opinion. {PARAGRAPHS[k % 8]} {PARAGRAPHS[k % 7]}</p></div>" for k in range(30))
+    page = f'<body><article>{ARTICLE}</article><div id="comments">{comments}</div>{FOOT}</body>'
+    assert H.main_text(page) == " ".join(PARAGRAPHS)
+
+
+def test_generated_layouts_come_out_whole():
+    rng = random.Random(6)
+    wrappers = ["layout has-sidebar", "site no-sidebar", "wrap", "page with-banner", "content", "elementor-widget-container", "social-science"]
+    extras = [
+        MENU, '<div class="sidebar"><a href="/1">One</a><a href="/2">Two</a></div>', '<div class="cookie-notice">We use cookies. <button>OK</button></div>',
+        '<form class="search"><input><button>Go</button></form>', '<div class="ad-slot">Buy now</div>', '<div class="related-posts"><a href="/r">More</a></div>',
+    ]
+    for _ in range(60):
+        body = "".join(rng.choice(["<p>{}</p>", "<div><p>{}</p></div>", '<div class="text-block">{}</div>']).format(p) for p in PARAGRAPHS)
+        if rng.random() < 0.5:
+            body = f"<article>{body}</article>"
+        for _ in range(rng.randint(0, 3)):
+            body = f'<div class="{rng.choice(wrappers)}">{body}</div>'
+        before, after = ("".join(rng.choices(extras, k=rng.randint(0, 3))) for _ in range(2))
+        assert H.main_text(f"<html><body>{before}{body}{after}{FOOT}</body></html>") == " ".join(PARAGRAPHS)
