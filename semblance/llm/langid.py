@@ -20,8 +20,6 @@ from pyspark.sql import functions as F
 
 # Labelled rows per language that are learned from, chosen by the hash of their id.
 ROWS_PER_LANGUAGE = 2000
-# Languages that may be learned, the most frequent first.
-MAX_LANGUAGES = 200
 BUCKETS = 1 << 14
 ORDERS = (1, 2, 3)
 # N-grams after which a text's margins no longer grow with its length.
@@ -125,7 +123,7 @@ def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
     the driver, one fixed-size row per language and task.
     """
     known = docs.filter("lang IS NOT NULL")
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    sizes = known.groupBy("lang").count().orderBy("lang").collect()
     if not sizes:
         return fit({})
     share = F.create_map(*[

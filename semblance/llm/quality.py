@@ -191,9 +191,9 @@ def fit(rows: np.ndarray, labels: np.ndarray) -> Model:
 
 def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [features(t) for t in batch.column(1).to_pylist()]
+        found = [features(t) for t in batch.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(found, pa.list_(pa.float64()))], ["label", "features"]
+            [batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.float64()))], ["doc_id", "label", "features"]
         )
 
 
@@ -201,11 +201,16 @@ def train(docs: DataFrame, labels: DataFrame, n: int = TRAIN_ROWS) -> Model:
     """Learn from ``labels(doc_id, label)`` and the texts of ``docs(doc_id, text)``.
 
     Rows without a label teach nothing. At most ``n`` labels are used, so the join side that is
-    broadcast and the features that reach the driver are bounded.
+    broadcast is bounded; of the rows of one ``doc_id`` the least one in label and features teaches, so
+    at most ``n`` rows of features reach the driver.
     """
     picked = sample_rows(labels.filter("label IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "label"), "doc_id", n)
-    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select(F.col("label").cast("int"), "text")
-    found = texts.mapInArrow(_feature_batches, "label int, features array<double>").limit(2 * n).toPandas()
+    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select(
+        F.col("doc_id").cast("string"), F.col("label").cast("int"), "text"
+    )
+    made = texts.mapInArrow(_feature_batches, "doc_id string, label int, features array<double>")
+    least = made.groupBy("doc_id").agg(F.min(F.struct("label", "features")).alias("row"))
+    found = least.select("doc_id", "row.*").orderBy("doc_id").toPandas()
     rows = np.array(found["features"].tolist(), dtype=float).reshape(-1, len(FEATURES))
     return fit(rows, found["label"].to_numpy(dtype=float))
 

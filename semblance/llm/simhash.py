@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from semblance.llm.components import components
-from semblance.llm.storage import stored
+from semblance.llm.storage import free_name, stored
 
 BITS = 64
 RADIUS = 2
@@ -235,13 +235,16 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` that stay: one of each component, with all its columns.
 
     The row of the smallest ``doc_id`` stays, NULL ids last, and of several texts under one id the
-    one of the smallest key. Rows with the same id and text are one.
+    one of the smallest key. Rows with the same id and text are one; which of them stays, where other
+    columns differ, is left to Spark.
     """
     order = F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id"), F.col("text_key"))
     best = classes(docs, radius).groupBy("component").agg(F.min(order).alias("best"))
     keep = best.select(F.col("best.doc_id").alias("__id"), F.col("best.text_key").alias("__text"))
-    keyed = docs.withColumn("__key", text_key())
+    key, chosen_id, chosen_text = (free_name(docs, n) for n in ("__key", "__id", "__text"))
+    keep = keep.toDF(chosen_id, chosen_text)
+    keyed = docs.withColumn(key, text_key())
     kept = keyed.join(
-        keep, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__text")), "left_semi"
+        keep, F.col("doc_id").eqNullSafe(F.col(chosen_id)) & (F.col(key) == F.col(chosen_text)), "left_semi"
     )
-    return kept.dropDuplicates(["doc_id", "__key"]).drop("__key")
+    return kept.dropDuplicates(["doc_id", key]).drop(key)

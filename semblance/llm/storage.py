@@ -36,6 +36,14 @@ def held_out(column: str, modulus: int, remainder: int) -> Column:
     return F.coalesce(id_remainder(column, modulus) == remainder, F.lit(False))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as no column of ``df`` is called."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def sample_rows(labels: DataFrame, key: str, n: int) -> DataFrame:
     """At most ``n`` rows of a narrow table, chosen by the hash of their key.
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semblance.llm.storage import stored
+from semblance.llm.storage import free_name, stored
 
 SPAN_UNITS = 3
 SPAN_WORDS = 15
@@ -201,10 +201,11 @@ def remove_repeats(docs: DataFrame, new: tuple[str, str] = ("n_removed", "first_
     kept = [f for f in docs.schema.fields if f.name not in new]
     names = [f.name for f in kept]
     at, n = names.index("text"), len(names)
+    key, marked, first = (free_name(docs, c) for c in ("__key", "__marks", "__first"))
     found = repeated_spans(docs).select(
-        F.col("doc").alias("__key"), F.col("marks").alias("__marks"), F.array_sort("first_docs").alias("__first")
+        F.col("doc").alias(key), F.col("marks").alias(marked), F.array_sort("first_docs").alias(first)
     )
-    joined = docs.select(*[F.col(f"`{c}`") for c in names], _key("doc_id").alias("__key")).join(found, "__key", "left")
+    joined = docs.select(*[F.col(f"`{c}`") for c in names], _key("doc_id").alias(key)).join(found, key, "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -223,6 +224,6 @@ def remove_repeats(docs: DataFrame, new: tuple[str, str] = ("n_removed", "first_
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
     empty = F.array().cast("array<bigint>")
-    return joined.select(*[F.col(f"`{c}`") for c in names], "__marks", F.coalesce("__first", empty).alias("__first")).mapInArrow(
+    return joined.select(*[F.col(f"`{c}`") for c in names], marked, F.coalesce(first, empty).alias(first)).mapInArrow(
         run, f"{fields}, `{new[0]}` long, `{new[1]}` array<bigint>"
     )

@@ -373,7 +373,8 @@ def fit(texts: list[list[list[str]]], labels: np.ndarray) -> Network:
 def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> Network:
     """Learn from ``labels(doc_id, label)`` and all windows of the texts of ``docs(doc_id, text)``.
 
-    Rows without a label teach nothing. At most ``toxic_rows + clean_rows`` labelled texts are used.
+    Rows without a label teach nothing. At most ``toxic_rows + clean_rows`` labelled texts are used;
+    of the rows of one ``doc_id`` one teaches, a toxic one if there is any.
     """
     known = labels.filter("label IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.col("label").cast("int"))
     picked = sample_rows(known.filter("label > 0"), "doc_id", toxic_rows).union(
@@ -382,13 +383,14 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clea
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [" ".join(words_of(text)) for text in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.string())], ["label", "words"])
+            rows = [" ".join(words_of(text)) for text in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(rows, pa.string())], ["doc_id", "label", "words"])
 
     marked = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select(
-        F.when(F.col("label") > 0, 1).otherwise(0).alias("label"), "text"
+        F.col("doc_id").cast("string"), F.when(F.col("label") > 0, 1).otherwise(0).alias("label"), "text"
     )
-    found = marked.mapInArrow(cut, "label int, words string").limit(2 * (toxic_rows + clean_rows)).collect()
+    made = marked.mapInArrow(cut, "doc_id string, label int, words string")
+    found = made.groupBy("doc_id").agg(F.max(F.struct("label", "words")).alias("row")).select("row.*").collect()
     found.sort(key=lambda r: (r["label"], r["words"]))
     # One string object per distinct word keeps the driver's memory small.
     one: dict[str, str] = {}

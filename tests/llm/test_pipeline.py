@@ -79,3 +79,29 @@ def test_one_of_each_group_stays(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = C.drop_near_duplicates(spark, docs, SMALL).collect()
     assert sorted((r.doc_id or 0) for r in got) == [0, 4, 7]
+
+
+def test_clashing_names_pass_through(spark):
+    """A column called like a helper column is neither lost nor in the way."""
+    from semblance.llm import simhash, substrings
+
+    shared = "one two three four five. six seven eight nine ten. eleven twelve thirteen fourteen fifteen. " * 2
+    docs = spark.createDataFrame(
+        [(1, shared, "a", "m", 5, "x"), (2, shared, "b", "n", 6, "y"), (3, "alone", "c", "o", 7, "z")],
+        "doc_id long, text string, __key string, __marks string, __first int, __id string",
+    )
+    kept = {r["doc_id"]: r for r in simhash.one_of_each(docs).collect()}
+    assert set(kept) == {1, 3} and kept[1]["__key"] == "a" and kept[1]["__id"] == "x"
+    cut = {r["doc_id"]: r for r in substrings.remove_repeats(docs, ("n", "f")).collect()}
+    assert [cut[k]["__key"] for k in (1, 2, 3)] == ["a", "b", "c"] and cut[2]["__first"] == 6 and cut[2]["n"] > 0
+
+
+def test_labels_of_repeated_ids_teach_once(spark):
+    from semblance.llm import quality
+
+    rows = [(i % 40, ("good words here " if i % 2 else "!!! 1 2 3 ||| ") * 5) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, label int")
+    a = quality.train(docs, labels, 30)
+    b = quality.train(docs.distinct(), labels, 30)
+    assert all((x == y).all() for x, y in zip(a.tables, b.tables))
