@@ -22,6 +22,7 @@ from semblance.operators import pairs as P
 from semblance.operators import runs as R
 from semblance.operators import tfidf as TF
 from semblance.operators import token_scores as TS
+from semblance.operators import trees as TR
 from semblance.operators import vectors as VE
 from semblance.operators import verify as Q
 from semblance.operators import workspaces as W
@@ -365,6 +366,18 @@ def shape_similarity(spark, sf):
     return AN.shape_scores(subs, _targets(subs))
 
 
+@query
+def tree_grams(spark, sf):
+    grams = TR.tree_grams(D.nested_names(spark, sf), preserve_names=True)
+    return grams.select("corpus_id", "name", F.array_join(F.array_sort("grams"), ";").alias("grams"))
+
+
+@query
+def tree_similarity(spark, sf):
+    names = D.nested_names(spark, sf)
+    return TR.tree_scores(names, _targets(names), preserve_names=True)
+
+
 @query
 def structure_profile(spark, sf):
     return A.structure_profile(D.code_modules(spark, sf))

@@ -603,3 +603,29 @@ ORACLE["best_names"] = with_ctes(
 ).replace("WITH ", "WITH RECURSIVE ", 1) + """ SELECT corpus_id, target, other, round(ratio, 6) AS ratio,
   row_number() OVER (PARTITION BY corpus_id, target ORDER BY ratio DESC, other)::BIGINT AS rank,
   count(*) OVER (PARTITION BY corpus_id, target)::BIGINT AS n_pairs FROM qs QUALIFY rank <= 3"""
+# The parent of a token is the last one before it that is less deep.
+TREES = ["""subs AS (SELECT p_brand AS corpus_id, CAST(p_partkey AS VARCHAR) AS name, p_partkey AS ingest_order,
+    string_split(p_name, ' ')[1] AS w1, coalesce(string_split(p_name, ' ')[2], 'none') AS w2, string_split(p_type, ' ')[-1] AS l, p_size::VARCHAR AS z,
+    CASE p_partkey % 3 WHEN 0 THEN 'def ' || w1 || '(' || w2 || ', ' || l || '):' || chr(10) || '    return ' || l || '(' || z || ')'
+      WHEN 1 THEN 'def ' || w1 || '(' || l || '):' || chr(10) || '    if ' || w2 || ':' || chr(10) || '        return ' || l || '(' || chr(10) || z || ')' || chr(10)
+      ELSE w1 || '(' || w2 || '(' || l || '), [' || z || '])' || chr(10) || chr(10) || 'end' END AS raw_text FROM part)""",
+    TARGETS, PAIRS,
+    r"""tr0 AS (SELECT corpus_id, name, unnest(t) AS t, generate_subscripts(t, 1) AS pos FROM
+    (SELECT corpus_id, name, regexp_extract_all(chr(10) || raw_text, '\n *|[A-Za-z]+|[0-9]+|[^\s]') AS t FROM subs)),
+  tr1 AS (SELECT *, sum(CASE WHEN t IN ('(', '[') THEN 1 WHEN t IN (')', ']') THEN -1 ELSE 0 END) OVER w AS inside,
+    lag(t) OVER w AS b FROM tr0 WINDOW w AS (PARTITION BY corpus_id, name ORDER BY pos)),
+  tr2 AS (SELECT *, starts_with(t, chr(10)) AS feed, last_value(CASE WHEN starts_with(t, chr(10)) AND inside = 0 THEN length(t) - 1 END IGNORE NULLS)
+    OVER (PARTITION BY corpus_id, name ORDER BY pos) // 4 AS level FROM tr1),
+  tr3 AS (SELECT corpus_id, name, pos, CASE WHEN regexp_matches(t, '^[0-9]') THEN '0' ELSE t END AS label,
+    CASE WHEN starts_with(b, chr(10)) AND inside - (t IN ('(', '['))::INT = 0 THEN level ELSE level + 1 + inside - (t IN ('(', '['))::INT END AS depth
+    FROM tr2 WHERE NOT feed),
+  tr4 AS (SELECT a.*, (SELECT max(p.pos) FROM tr3 p WHERE p.corpus_id = a.corpus_id AND p.name = a.name AND p.pos < a.pos AND p.depth < a.depth) AS parent FROM tr3 a),
+  tr5 AS (SELECT corpus_id, name, coalesce(parent, 0) AS parent, ['*', '*'] || list(label ORDER BY pos) || ['*', '*'] AS row FROM tr4 GROUP BY ALL),
+  tr6 AS (SELECT corpus_id, name, pos, parent, label FROM tr4 UNION ALL SELECT DISTINCT corpus_id, name, 0, NULL, '*' FROM tr4),
+  tr7 AS (SELECT n.corpus_id, n.name, coalesce(u.label, '*') || ' ' || n.label || ' ' AS head, coalesce(c.row, ['*', '*', '*']) AS row FROM tr6 n
+    LEFT JOIN tr3 u ON u.corpus_id = n.corpus_id AND u.name = n.name AND u.pos = n.parent
+    LEFT JOIN tr5 c ON c.corpus_id = n.corpus_id AND c.name = n.name AND c.parent = n.pos),
+  tg AS (SELECT corpus_id, name, flatten(list(list_transform(range(1, len(row) - 1), lambda i: head || array_to_string(row[i : i + 2], ' ')))) AS g
+    FROM tr7 GROUP BY ALL)"""]
+ORACLE["tree_grams"] = with_ctes(*TREES) + "SELECT corpus_id, name, array_to_string(list_sort(g), ';') AS grams FROM tg"
+ORACLE["tree_similarity"] = with_ctes(*TREES, dice_ctes("g", "0", "y", "tg")) + "SELECT corpus_id, target, other, round(score, 6) AS tree FROM yd"

@@ -214,3 +214,19 @@ def part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_brand").alias("corpus_id"), F.col("p_partkey").cast("string").alias("name"),
         F.col("p_name").alias("raw_text"), F.col("p_partkey").alias("ingest_order"),
     )
+
+
+def nested_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``part`` names as small source texts whose words are nested in three ways."""
+    word = [F.coalesce(F.get(F.split("p_name", " "), F.lit(i)), F.lit("none")) for i in range(2)]
+    kind, size, key = F.col("p_type"), F.col("p_size").cast("string"), F.col("p_partkey") % 3
+    last = F.element_at(F.split(kind, " "), -1)
+    text = (
+        F.when(key == 0, F.concat(F.lit("def "), word[0], F.lit("("), word[1], F.lit(", "), last, F.lit("):\n    return "), last, F.lit("("), size, F.lit(")")))
+        .when(key == 1, F.concat(F.lit("def "), word[0], F.lit("("), last, F.lit("):\n    if "), word[1], F.lit(":\n        return "), last, F.lit("(\n"), size, F.lit(")\n")))
+        .otherwise(F.concat(word[0], F.lit("("), word[1], F.lit("("), last, F.lit("), ["), size, F.lit("])\n\nend")))
+    )
+    return table(spark, sf_dir, "part").select(
+        F.col("p_brand").alias("corpus_id"), F.col("p_partkey").cast("string").alias("name"), text.alias("raw_text"),
+        F.col("p_partkey").alias("ingest_order"),
+    )
