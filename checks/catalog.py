@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +32,7 @@ from semblance.plans import ingest as IN
 from semblance.plans import regions as RE
 from semblance.plans.harvest import refresh_urls
 from semblance.plans.preprocess import preprocess_with_cache
-from semblance.session import local_checkpoints
+from semblance.session import checkpoint_folder, local_checkpoints
 from semblance.settings import MAX_TEXT_BYTES
 from semblance.sources import files as SF
 from semblance.sources import sinks as SK
@@ -433,6 +434,25 @@ def analyze_names(spark, sf):
     return AN.analyze_sparse(names, _targets(names)).drop("error")
 
 
+@query
+def analyze_parts(spark, sf):
+    """All scores of texts that come in two parts each: the words of every part name."""
+    names = D.part_names(spark, sf)
+    parts = names.select("corpus_id", "name", "ingest_order", F.posexplode(F.split("raw_text", " ")).alias("part_no", "raw_text"))
+    return AN.analyze_sparse(parts, _targets(parts)).drop("error")
+
+
+@query
+def buffer_report(spark, sf):
+    """Files uploaded into a saved buffer, then scored and ranked: every part name as a file."""
+    files = D.part_names(spark, sf).select(
+        F.concat("name", F.lit(".txt")).alias("name"), "ingest_order", F.encode("raw_text", "UTF-8").alias("content")
+    )
+    spool = f"{checkpoint_folder(spark).rstrip('/')}/buffers-{uuid.uuid4().hex}"
+    report = AN.buffer_report(spark, spool, IN.build_corpus(spool, files=files))
+    return report.select("target", "other", "raw", "processed", "ast", "token", "overall", "band", "rank")
+
+
 # ---- regions ----
 
 

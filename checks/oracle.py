@@ -629,3 +629,18 @@ TREES = ["""subs AS (SELECT p_brand AS corpus_id, CAST(p_partkey AS VARCHAR) AS
     FROM tr7 GROUP BY ALL)"""]
 ORACLE["tree_grams"] = with_ctes(*TREES) + "SELECT corpus_id, name, array_to_string(list_sort(g), ';') AS grams FROM tg"
 ORACLE["tree_similarity"] = with_ctes(*TREES, dice_ctes("g", "0", "y", "tg")) + "SELECT corpus_id, target, other, round(score, 6) AS tree FROM yd"
+# The two words of a name are its two parts, with a blank line between.
+PARTED = f"subs0 AS (SELECT p_brand AS corpus_id, CAST(p_partkey AS VARCHAR) AS name, replace(p_name, ' ', chr(10) || chr(10)) AS raw_text, p_partkey AS ingest_order FROM part)"
+ORACLE["analyze_parts"] = ORACLE["analyze_names"].replace(PART_SUBS, PARTED + ", subs AS (SELECT * FROM subs0)", 1)
+ONE_BUFFER = "subs AS (SELECT 'buffer' AS corpus_id, p_partkey || '.txt' AS name, p_name AS raw_text, p_partkey AS ingest_order FROM part)"
+ORACLE["buffer_report"] = (
+    ORACLE["analyze_names"].replace(PART_SUBS, ONE_BUFFER, 1).replace(
+        "SELECT d.corpus_id, d.target, d.other, round(r.ratio, 6) AS raw", "_all AS (SELECT d.corpus_id, d.target, d.other, r.ratio AS raw", 1
+    ).replace("cov AS (SELECT corpus_id, target, other, count(*) AS n FROM spots GROUP BY ALL)\n  _all", "cov AS (SELECT corpus_id, target, other, count(*) AS n FROM spots GROUP BY ALL),\n  sco", 1)
+    .replace("round(p.ratio, 6) AS processed, round(s.score, 6) AS ast, round(d.score, 6) AS token", "p.ratio AS processed, s.score AS ast, d.score AS token", 1)
+    + "), " + best_sql("[raw, processed, ast, token]") + """ SELECT s.target, s.other, round(raw, 6) AS raw, round(processed, 6) AS processed,
+  round(ast, 6) AS ast, round(token, 6) AS token, round(overall, 6) AS overall,
+  CASE WHEN overall > 0.7 THEN 'red' WHEN overall > 0.4 THEN 'orange' ELSE 'green' END AS band,
+  row_number() OVER (PARTITION BY s.corpus_id, s.target ORDER BY round(overall, 9) DESC, other)::BIGINT AS rank
+  FROM sco s JOIN best USING (corpus_id, target, other)"""
+)

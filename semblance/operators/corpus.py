@@ -7,10 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from semblance.functions.joins import salted_join, split_join
+from semblance.functions.joins import broadcast_if_few, salted_join, split_join
 from semblance.functions.text import is_nonblank
 from semblance.functions.urls import keeps_member, without_extension
-from semblance.settings import PART_BYTES
+from semblance.settings import PART_BORDER, PART_BYTES
 
 
 def keep_members(members: DataFrame, patterns: Sequence[str] = (), exclude: bool = True) -> DataFrame:
@@ -77,7 +77,7 @@ def combine_members(
     )
     text = F.array_join(
         F.transform("m", lambda x: F.concat(F.lit("# === "), x["p"], F.lit(" ===\n"), x["c"])),
-        "\n\n",
+        PART_BORDER,
     )
     if bare_name is not None:
         alone = (F.size("m") == 1) & (F.col("m")[0]["p"] == F.col(bare_name))
@@ -85,6 +85,27 @@ def combine_members(
     return gathered.select(*keys, "part_no", text.alias("raw_text"), F.size("m").cast("bigint").alias("n_members"))
 
 
+def whole_texts(submissions: DataFrame) -> DataFrame:
+    """Submissions with one row per ``(corpus_id, name)``: the parts of a large one are joined again.
+
+    Every score is one of whole texts. Submissions of a single part, and tables without
+    ``part_no``, pass unmoved; the names of the others are few and short. Other columns of a
+    submission are those of its first part.
+    """
+    if "part_no" not in submissions.columns:
+        return submissions
+    keys = ["corpus_id", "name"]
+    several = broadcast_if_few(submissions.filter("part_no > 0").select(*keys).distinct())
+    single = submissions.join(several, keys, "left_anti").drop("part_no")
+    others = [c for c in single.columns if c not in (*keys, "raw_text")]
+    pieces = F.array_sort(F.collect_list(F.struct("part_no", "raw_text")))
+    joined = submissions.join(several, keys, "left_semi").groupBy(*keys).agg(
+        F.array_join(F.transform(pieces, lambda p: p["raw_text"]), PART_BORDER).alias("raw_text"),
+        *[F.min_by(c, "part_no").alias(c) for c in others],
+    )
+    return single.unionByName(joined)
+
+
 def archive_submissions(
     members: DataFrame, patterns: Sequence[str] = (), exclude: bool = True,
     limit: int = PART_BYTES,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from semblance.functions import code as C
 from semblance.functions import text as X
 from semblance.functions.arrays import let
+from semblance.operators.corpus import whole_texts
 from semblance.settings import CHUNK_OVERLAP, CHUNK_TOKENS, MAX_TEXT_BYTES, SHAPE_GRAM, TextOptions
 
 
@@ -19,8 +20,9 @@ def guard_size(submissions: DataFrame, limit: int = MAX_TEXT_BYTES) -> DataFrame
 def build_features(
     submissions: DataFrame, options: TextOptions = TextOptions(), limit: int | None = None
 ) -> DataFrame:
-    """Processed text and tokens. With a ``limit`` in bytes, an oversized text gets none of them
+    """Processed text and tokens of whole submissions; parts are joined first. With a ``limit`` in bytes, an oversized text gets none of them
     and a reason in ``error``; without one every text gets its features."""
+    submissions = whole_texts(submissions)
     if limit is None:
         guarded = submissions.withColumn("error", F.lit(None).cast("string"))
     else:
@@ -66,7 +68,7 @@ def chunk_texts(
     submissions: DataFrame, size: int = CHUNK_TOKENS, overlap: int = CHUNK_OVERLAP
 ) -> DataFrame:
     """Overlapping token windows of each submission, with the hash of the whole text."""
-    toks = submissions.select(
+    toks = whole_texts(submissions).select(
         F.col("corpus_id").alias("namespace"), "name",
         X.content_hash(F.col("raw_text")).alias("content_hash"),
         X.tokens(F.col("raw_text")).alias("toks"),

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from semblance.functions import scores as S
+from semblance.operators.corpus import whole_texts
 from semblance.operators.features import build_features, grams, shape_grams
-from semblance.operators.pairs import PAIR, bag_scores, item_counts, missing_targets
+from semblance.operators.pairs import PAIR, bag_scores, default_targets, item_counts, missing_targets
 from semblance.operators.tfidf import tfidf_cosine
 from semblance.operators.token_scores import token_scores
 from semblance.operators.vectors import file_scores, vector_cosine, vector_topk
 from semblance.operators.verify import text_ratios
 from semblance.session import cut_lineage
 from semblance.settings import TOP_K, TextOptions
+from semblance.sources.tables import buffered_submissions
 
 METRICS = ["raw", "processed", "ast", "token", "cosine", "vector"]
 
@@ -103,7 +105,7 @@ def analyze_vector(
     wanted = near.select("corpus_id", "name").unionByName(
         targets.select("corpus_id", F.col("target").alias("name"))
     ).distinct()
-    subset = submissions.join(wanted, ["corpus_id", "name"], "left_semi")
+    subset = whole_texts(submissions).join(wanted, ["corpus_id", "name"], "left_semi")
     scored = analyze_fast(subset, targets, options)
     return scored.join(near.withColumnRenamed("name", "other"), PAIR, "left").select(
         *PAIR, "raw", "processed", "ast", "token", "cover",
@@ -111,6 +113,12 @@ def analyze_vector(
     )
 
 
+def buffer_report(spark: SparkSession, spool: str, buffer_id: str, options: TextOptions = TextOptions()) -> DataFrame:
+    """From a saved buffer to its ranked report: the submission that arrived first against the rest."""
+    saved = buffered_submissions(spark, spool, buffer_id)
+    return ranked_report(analyze_fast(saved, default_targets(saved), options))
+
+
 def ranked_report(scores: DataFrame) -> DataFrame:
     """Scores with the overall match and its band, ranked within each target.
 

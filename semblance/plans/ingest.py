@@ -12,6 +12,7 @@ from semblance.operators.corpus import (
     keep_members,
     last_wins,
     name_submissions,
+    whole_texts,
 )
 from semblance.functions.urls import without_extension
 from semblance.operators.features import chunk_texts
@@ -96,5 +97,5 @@ def build_corpus(
 def ingest_batch(submissions: DataFrame, chunks: DataFrame) -> DataFrame:
     """The chunk table after a batch: changed files lose their old chunks and get new ones."""
     manifest = chunk_manifest(chunks).select(F.col("namespace").alias("corpus_id"), "name", "content_hash")
-    changed = changed_files(submissions, manifest)
+    changed = changed_files(whole_texts(submissions), manifest)
     return replace_chunks(chunks, changed, chunk_texts(changed))

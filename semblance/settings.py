@@ -8,6 +8,7 @@ from dataclasses import dataclass
 MAX_TEXT_BYTES = 5 * 1024 * 1024
 # A row of a combined submission holds about so much text; larger ones come in several parts.
 PART_BYTES = 16 * 1024 * 1024
+PART_BORDER = "\n\n"
 BUFFER_TTL_SECONDS = 3600
 CHUNK_TOKENS = 512
 CHUNK_OVERLAP = 50

@@ -12,10 +12,12 @@ from semblance.settings import BUFFER_TTL_SECONDS
 
 def buffer_rows(submissions: DataFrame, buffer_id: str, created_at: Column) -> DataFrame:
     """Submissions as rows of one buffer that expires an hour after its creation. A large
-    submission has several rows, told apart by ``part_no``."""
+    submission has several rows, told apart by ``part_no``. Their order of arrival stays, as the
+    first submission of a buffer is its target."""
     part = F.col("part_no") if "part_no" in submissions.columns else F.lit(0)
+    order = [c for c in ("ingest_order",) if c in submissions.columns]
     return submissions.select(
-        F.lit(buffer_id).alias("corpus_id"), "name", part.cast("bigint").alias("part_no"), "raw_text",
+        F.lit(buffer_id).alias("corpus_id"), "name", part.cast("bigint").alias("part_no"), "raw_text", *order,
         created_at.alias("created_at"),
     ).withColumn("expires_at", expiry(F.col("created_at")))
 

@@ -12,6 +12,13 @@ def read_submissions(spark: SparkSession, path: str, corpus_id: str | None = Non
     return df if corpus_id is None else df.filter(F.col("corpus_id") == corpus_id)
 
 
+def buffered_submissions(spark: SparkSession, path: str, buffer_id: str) -> DataFrame:
+    """The submissions of one saved buffer, parts and all, ready to be scored; the id stays text
+    where it looks like a number."""
+    rows = spark.read.option("mergeSchema", "false").parquet(path)
+    return rows.filter(F.col("corpus_id") == buffer_id).withColumn("corpus_id", F.lit(buffer_id))
+
+
 def features_of(features: DataFrame, corpus_id: str | None = None) -> DataFrame:
     """Rows that carry features; an unprocessed or failed submission has none."""
     df = features.filter(F.col("tokens").isNotNull())

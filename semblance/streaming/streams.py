@@ -11,12 +11,14 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from semblance.operators.corpus import last_wins
+from semblance.operators.corpus import last_wins, whole_texts
 from semblance.operators.features import chunk_texts
 from semblance.operators.harvest import TAGGED, latest_messages, tag_urls
 from semblance.operators.incremental import changed_files
 from semblance.sources.sinks import expiry
+from semblance.settings import BUFFER_TTL_SECONDS
 from semblance.sources.tables import live_buffers
 
 URL_SCHEMA = "channel_id string, tag string, url string, msg_id long, at long"
@@ -69,13 +71,73 @@ def harvested_urls(spark: SparkSession, store: str) -> DataFrame:
 
 def buffer_stream(submissions: DataFrame) -> DataFrame:
     """Submissions of a stream with their expiry. Every version is kept, without state;
-    ``current_buffer`` reads the latest live one of each key."""
+    ``current_buffer`` reads the latest live one of each key, ``buffer_changes`` emits only
+    versions that win."""
     return submissions.withColumn("expires_at", expiry(F.col("created_at")))
 
 
 def current_buffer(rows: DataFrame, now: Column) -> DataFrame:
-    """The latest version of each buffered submission that has not expired; later writes win."""
-    return last_wins(live_buffers(rows, now), ["corpus_id", "name"], "created_at")
+    """The latest version of each buffered submission that has not expired; later writes win.
+
+    Of versions written at one time the later in arrival wins, where ``ingest_order`` tells it,
+    otherwise the one with the greater text. The parts of one version stay together.
+    """
+    order = [F.col("created_at")]
+    if "ingest_order" in rows.columns:
+        order.append(F.coalesce("ingest_order", F.lit(-1)))
+    if "part_no" not in rows.columns:
+        order.append(F.col("raw_text"))
+    ordered = live_buffers(rows, now).withColumn("_order", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)]))
+    if "part_no" not in rows.columns:
+        ordered = ordered.dropDuplicates(["corpus_id", "name", "_order"])
+    return last_wins(ordered, ["corpus_id", "name"], "_order").drop("_order")
+
+
+def buffer_changes(submissions: DataFrame, delay: str = "0 seconds", ttl_seconds: int = BUFFER_TTL_SECONDS) -> DataFrame:
+    """What changes in the buffer: winning versions, and the end of those that expire.
+
+    ``submissions(corpus_id, name, raw_text, created_at, ingest_order)`` is a stream. A key's state
+    is the time and order of its last write, never its text. A write changes the buffer when it is
+    later than the state, by time and then by ``ingest_order``; writes that lost, or whose hour is
+    over, give no row. Once the watermark, ``delay`` behind the latest write, has passed the expiry
+    of a key, its state goes and a row with ``expired`` and no text tells so.
+    """
+    def update(key, frames, state: GroupState):
+        import pandas as pd
+
+        if state.hasTimedOut:
+            micros, _ = state.get
+            state.remove()
+            yield pd.DataFrame({
+                "corpus_id": [key[0]], "name": [key[1]], "raw_text": [None], "created_at": [pd.Timestamp(micros, unit="us")],
+                "ingest_order": [None], "expired": [True],
+            })
+            return
+        last, won = state.get if state.exists else None, None
+        for frame in frames:
+            for text, at, order in zip(frame["raw_text"], frame["created_at"], frame["ingest_order"]):
+                rank = (at.value // 1000, -1 if pd.isna(order) else int(order))
+                if last is None or rank > tuple(last):
+                    last, won = rank, (text, at, order)
+        if won is None:
+            state.setTimeoutTimestamp(last[0] // 1000 + ttl_seconds * 1000)
+            return
+        if last[0] // 1000 + ttl_seconds * 1000 <= state.getCurrentWatermarkMs():
+            if state.exists:
+                state.remove()
+            return
+        state.update(last)
+        state.setTimeoutTimestamp(last[0] // 1000 + ttl_seconds * 1000)
+        yield pd.DataFrame({
+            "corpus_id": [key[0]], "name": [key[1]], "raw_text": [won[0]], "created_at": [won[1]],
+            "ingest_order": [won[2]], "expired": [False],
+        })
+
+    out = "corpus_id string, name string, raw_text string, created_at timestamp, ingest_order long, expired boolean"
+    asked = submissions.select("corpus_id", "name", "raw_text", "created_at", F.col("ingest_order").cast("long"))
+    return asked.withWatermark("created_at", delay).groupBy("corpus_id", "name").applyInPandasWithState(
+        update, out, "micros long, ingest_order long", "update", GroupStateTimeout.EventTimeTimeout
+    )
 
 
 def ingest_stream(submissions: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
@@ -91,7 +153,7 @@ def ingest_stream(submissions: DataFrame, store: str, checkpoint: str) -> Stream
         spark = batch.sparkSession
         before = _read_parts(spark, f"{store}/files", FILE_SCHEMA).filter(F.col("batch") < batch_id)
         manifest = _latest_files(before).select(F.col("namespace").alias("corpus_id"), "name", "content_hash")
-        latest = last_wins(batch, ["corpus_id", "name"], "ingest_order")
+        latest = last_wins(whole_texts(batch), ["corpus_id", "name"], "ingest_order")
         changed = changed_files(latest, manifest).persist()
         _write_part(chunk_texts(changed), f"{store}/chunks", batch_id)
         files = changed.select(F.col("corpus_id").alias("namespace"), "name", "content_hash")
