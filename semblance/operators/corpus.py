@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from semblance.functions.joins import broadcast_if_few, salted_join, split_join
+from semblance.functions.prefix_sums import running_sums
 from semblance.functions.text import is_nonblank
 from semblance.functions.urls import keeps_member, without_extension
 from semblance.settings import PART_BORDER, PART_BYTES
@@ -63,10 +64,16 @@ def combine_members(
     marked = salted_join(
         kept, over.select(*keys, F.lit(True).alias("_over")), keys, ["member_path"], how="left"
     )
-    before = Window.partitionBy(*keys).orderBy(order, "member_path").rowsBetween(Window.unboundedPreceding, 0)
-    large = marked.filter("_over").withColumn(
-        "part_no", F.floor((F.sum(size).over(before) - 1) / limit)
+    # Their parts are numbered over narrow rows, as one group may hold a large share of all members.
+    within = list(dict.fromkeys([order, "member_path"]))
+    places = [*keys, *within]
+    heavy = marked.filter("_over")
+    sizes = heavy.groupBy(*places).agg(F.sum(size).alias("_size"))
+    numbered = running_sums(sizes, keys, within, "_size", "_end").select(
+        *[F.col(c).alias(f"_at_{c}") for c in places], F.floor((F.col("_end") - 1) / limit).alias("part_no")
     )
+    same = [F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in places]
+    large = heavy.join(numbered, same).drop(*[f"_at_{c}" for c in places])
     small = marked.filter(F.col("_over").isNull()).withColumn("part_no", F.lit(0).cast("bigint"))
     gathered = small.unionByName(large).groupBy(*keys, "part_no").agg(
         F.array_sort(

@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from semblance.functions import html as H
 from semblance.functions.joins import compute_once
+from semblance.functions.prefix_sums import running_sums
 from semblance.functions.text import is_nonblank
-from semblance.functions.urls import clean_name, keeps_file, url_filename
+from semblance.functions.urls import clean_name, keeps_file, last_segment, matches_patterns, url_filename
+from semblance.session import cut_lineage
 from semblance.settings import NOTEBOOK_SEPARATOR
 
 # Ship the file helpers inside the task, so executors need no copy of this package.
@@ -21,8 +23,11 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 NOTEBOOK_SCHEMA = "cells array<struct<cell_type: string, source: variant>>"
 
-# Tasks that list the entries of a folder.
+# Tasks that list the folders of one level.
 MAX_LISTING_TASKS = 1000
+# Bytes that a task reads, and those that opening a file counts as.
+READ_BYTES = 64 * 1024 * 1024
+OPEN_BYTES = 64 * 1024
 
 
 def decode_text(content: Column) -> Column:
@@ -56,31 +61,71 @@ def member_text(path: Column, content: Column) -> Column:
     return F.when(F.lower(path).endswith(".ipynb"), notebook_code(text)).otherwise(text)
 
 
-def _list_files(batches):
-    """``(root, path)`` of every file at or below each given entry."""
+def _list_entries(batches):
+    """``(root, path, name, is_folder, size)`` of what lies directly in each given folder.
+
+    A folder that cannot be opened has no entries.
+    """
     import pandas as pd
     from pyarrow.fs import FileSelector, FileSystem, FileType
 
     for batch in batches:
-        for root, entry in zip(batch["root"], batch["path"]):
+        for root, path, name in zip(batch["root"], batch["path"], batch["name"]):
             system, _ = FileSystem.from_uri(root)
-            infos = [system.get_file_info(entry)]
-            if infos[0].type == FileType.Directory:
-                infos = system.get_file_info(FileSelector(entry, recursive=True))
-            paths = [i.path for i in infos if i.type == FileType.File]
-            yield pd.DataFrame({"root": [root] * len(paths), "path": paths})
+            try:
+                infos = system.get_file_info(FileSelector(path))
+            except OSError:
+                infos = []
+            infos = [i for i in infos if i.type in (FileType.File, FileType.Directory)]
+            yield pd.DataFrame({
+                "root": [root] * len(infos), "path": [i.path for i in infos],
+                "name": [f"{name}/{i.base_name}" if name else i.base_name for i in infos],
+                "is_folder": [i.type == FileType.Directory for i in infos], "size": [i.size or 0 for i in infos],
+            }).astype({"size": "int64", "is_folder": "bool"})
 
 
 def _read_files(batches):
-    """``(name, content)``, one frame per file so that memory holds a single file."""
+    """``(name, content)``, one frame per file so that memory holds a single file. A file that
+    cannot be opened is left out."""
     import pandas as pd
     from pyarrow.fs import FileSystem
 
     for batch in batches:
         for root, path, name in zip(batch["root"], batch["path"], batch["name"]):
             system, _ = FileSystem.from_uri(root)
-            with system.open_input_stream(path) as stream:
-                yield pd.DataFrame({"name": [name], "content": [stream.read()]})
+            try:
+                with system.open_input_stream(path) as stream:
+                    content = stream.read()
+            except OSError:
+                continue
+            yield pd.DataFrame({"name": [name], "content": [content]})
+
+
+def list_folder(
+    spark: SparkSession, folder: str, patterns: Sequence[str] = (), exclude: bool = True
+) -> DataFrame:
+    """``(root, path, name, size)`` of the files below ``folder`` that the patterns keep.
+
+    Folders are listed level by level, those of a level by many tasks. When excluding, a folder
+    whose name a pattern fits is never opened, however much lies below it. The driver sees only
+    how many folders a level has.
+    """
+    system, base = FileSystem.from_uri(folder)
+    schema = "root string, path string, name string, is_folder boolean, size long"
+    exists = system.get_file_info(base).type == FileType.Directory
+    level = spark.createDataFrame([(folder, base, "")] if exists else [], "root string, path string, name string")
+    found, n = None, int(exists)
+    while found is None or n:
+        tasks = min(max(1, n), MAX_LISTING_TASKS)
+        entries = cut_lineage(level.repartition(tasks, "path").mapInPandas(_list_entries, schema))
+        files = entries.filter("NOT is_folder").filter(keeps_file(F.col("name"), patterns, exclude))
+        found = files if found is None else found.unionByName(files)
+        level = entries.filter("is_folder")
+        if exclude:
+            level = level.filter(~matches_patterns(last_segment(F.col("name")), patterns))
+        level = level.select("root", "path", "name")
+        n = level.count()
+    return found.select("root", "path", "name", "size")
 
 
 def scan_folder(
@@ -89,18 +134,15 @@ def scan_folder(
     """Every non-blank file below ``folder`` as ``(name, raw_text)``, keyed by relative path.
 
     The file readers of Spark pass over names that start with a dot or an underscore, such as
-    ``__init__.py``, so tasks list and read the files themselves. The driver sees only the
-    entries directly in the folder, and names are filtered before any content is read.
+    ``__init__.py``, so tasks list and read the files themselves. Names are filtered before any
+    content is read, and files are dealt to reading tasks by their bytes.
     """
-    system, base = FileSystem.from_uri(folder)
-    if system.get_file_info(base).type == FileType.NotFound:
-        return spark.createDataFrame([], "name string, raw_text string")
-    entries = [(folder, info.path) for info in system.get_file_info(FileSelector(base))]
-    tops = spark.createDataFrame(entries, "root string, path string")
-    files = tops.repartition(min(max(1, len(entries)), MAX_LISTING_TASKS), "path").mapInPandas(_list_files, tops.schema)
-    name = F.substr("path", F.lit(len(base.rstrip("/")) + 2))
-    named = files.withColumn("name", name).filter(keeps_file(F.col("name"), patterns, exclude))
-    read = named.repartition("path").mapInPandas(_read_files, "name string, content binary")
+    files = list_folder(spark, folder, patterns, exclude)
+    weighed = running_sums(files.withColumn("weight", F.col("size") + OPEN_BYTES), [], ["path"], "weight", "end")
+    dealt = cut_lineage(weighed.withColumn("task", F.floor((F.col("end") - 1) / READ_BYTES).cast("int")))
+    last = dealt.agg(F.max("task")).first()[0]
+    placed = dealt.select("root", "path", "name", "task").repartitionById((last or 0) + 1, F.col("task"))
+    read = placed.mapInPandas(_read_files, "name string, content binary")
     texts = compute_once(read, raw_text=member_text(F.col("name"), F.col("content")))
     return texts.filter(is_nonblank(F.col("raw_text"))).select("name", "raw_text")
 
