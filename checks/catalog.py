@@ -21,6 +21,7 @@ from semblance.operators import incremental as I
 from semblance.operators import matching as M
 from semblance.operators import pairs as P
 from semblance.operators import runs as R
+from semblance.operators import sentences as SE
 from semblance.operators import tfidf as TF
 from semblance.operators import token_scores as TS
 from semblance.operators import trees as TR
@@ -219,6 +220,11 @@ def token_stream(spark, sf):
     return A.token_stream(D.submissions(spark, sf))
 
 
+@query
+def chunk_sentences(spark, sf):
+    return SE.sentence_chunks(D.submissions(spark, sf), 100, 20)
+
+
 @query
 def chunk_docs(spark, sf):
     return A.chunk_texts(D.submissions(spark, sf))

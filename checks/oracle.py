@@ -644,3 +644,17 @@ ORACLE["buffer_report"] = (
   row_number() OVER (PARTITION BY s.corpus_id, s.target ORDER BY round(overall, 9) DESC, other)::BIGINT AS rank
   FROM sco s JOIN best USING (corpus_id, target, other)"""
 )
+# Sentences are taken one after the other; the next chunk goes back by whole sentences.
+SENTENCE_TOKENS = r"regexp_extract_all(x, '([\p{L}\p{N}_]+|[^\n\t\x0B\x0C\r\x1C-\x1F\x85\p{Z}\p{L}\p{N}_])')"
+ORACLE["chunk_sentences"] = "WITH RECURSIVE " + SUBS + rf""",
+  se0 AS (SELECT corpus_id, name, raw_text, list_filter(list_transform(regexp_extract_all(raw_text, '[^.!?\n]+[.!?]*|[.!?]+'),
+    lambda x: {SENTENCE_TOKENS}), lambda t: len(t) > 0) AS s FROM subs),
+  se1 AS (SELECT corpus_id, name, raw_text, flatten(list_transform(s, lambda t: list_transform(range(0, (len(t) + 99) // 100),
+    lambda i: t[i * 100 + 1 : i * 100 + 100]))) AS u FROM se0),
+  se2 AS (SELECT *, list_transform(range(0, len(u) + 1), lambda k: coalesce(list_sum(list_transform(u[1:k], lambda t: len(t))), 0)) AS off FROM se1 WHERE len(u) > 0),
+  se3 AS (SELECT corpus_id, name, raw_text, u, off, 0 AS a, list_max(list_filter(range(0, len(u) + 1), lambda k: off[k + 1] <= off[1] + 100)) AS b, 0 AS no FROM se2
+    UNION ALL SELECT corpus_id, name, raw_text, u, off, a2, list_max(list_filter(range(0, len(u) + 1), lambda k: off[k + 1] <= off[a2 + 1] + 100)), no + 1
+    FROM (SELECT *, list_min(list_filter(range(a + 1, b + 1), lambda k: off[b + 1] - off[k + 1] <= 20 AND off[b + 2] - off[k + 1] <= 100)) AS a2
+      FROM se3 WHERE b < len(u)))
+  SELECT corpus_id AS namespace, name, no::BIGINT AS chunk_no, {hash_sql('raw_text')} AS content_hash,
+    array_to_string(flatten(u[a + 1 : b]), ' ') AS text FROM se3"""
