@@ -10,9 +10,12 @@ FAST = [
     "src_submissions", "notebook_cells", "page_articles", "path_filter_exclude", "processed_text", "zip_rollup",
     "archive_limit", "target_pairs", "tfidf_cosine", "token_dice", "shape_similarity", "structure_profile",
     "code_blocks", "block_norm", "token_runs", "vector_topk", "cache_merged", "changed_files", "cache_upsert",
-    "workspace_update",
+    "workspace_update", "longest_matches", "token_tiles", "tree_similarity", "chunk_sentences",
 ]
-WITHOUT_SQL = {"raw_ratio", "processed_ratio", "analyze_fast", "analyze_sparse", "analyze_vector", "region_report"}
+# Exact sequence ratios of long texts; best_ratios has SQL over short texts as best_names.
+WITHOUT_SQL = {
+    "raw_ratio", "processed_ratio", "analyze_fast", "analyze_sparse", "analyze_vector", "region_report", "best_ratios",
+}
 
 
 def test_every_query_has_sql_unless_it_needs_a_kernel():
