@@ -106,15 +106,15 @@ def clean_sql(x: str) -> str:
 
 
 ORACLE["page_articles"] = rf"""WITH p AS (SELECT page_id, url, replace(html, '</article>',
-    '<p>It&#8217;s a caf&eacute; &mdash; &#x27;ok&#x27;&nbsp;&hellip;</p></article>') AS html FROM pages),
+    '<p>It&#8217;s a caf&eacute; &mdash; &#x27;ok&#x27;&nbsp;&hellip;</p></article><article>Second</article>') AS html FROM pages),
   v AS (SELECT *, regexp_replace(html,
-    '(?i)<script[\s\S]*?</script>|<style[\s\S]*?</style>|<!--[\s\S]*?-->', '', 'g') AS visible,
+    '(?i)<script[\s\S]*?</script>|<style[\s\S]*?</style>|<!--[\s\S]*?-->|<aside[\s\S]*?</aside>|<nav[\s\S]*?</nav>|<footer[\s\S]*?</footer>', '', 'g') AS visible,
     nullif({trim_sql(decode_sql("regexp_extract(html, '(?i)<title[^>]*>([^<]*)</title>', 1)"))}, '') AS title FROM p),
-  b AS (SELECT *, coalesce(nullif(regexp_extract(visible, '(?i)<article[^>]*>([\s\S]*)</article>', 1), ''), visible) AS body FROM v),
+  b AS (SELECT *, array_to_string(regexp_extract_all(visible, '(?i)<article[^>]*>([\s\S]*?)</article>', 1), chr(10)) AS body FROM v),
   t AS (SELECT *, nullif({ws_sql(decode_sql(
-      "regexp_replace(regexp_replace(body, '(?i)</p>|<br[^>]*>|</h[1-6]>|</li>|</div>', chr(10), 'g'), '<[^>]*>', '', 'g')"))}, '') AS plain FROM b),
+      "regexp_replace(regexp_replace(body, '(?i)</?(?:p|br|hr|h[1-6]|li|ul|ol|div|section|table|tr)(?: [^>]*)?>', chr(10), 'g'), '<[^>]*>', '', 'g')"))}, '') AS plain FROM b),
   r AS (SELECT page_id, {clean_sql("coalesce(title, split_part(regexp_extract(url, '[^/]*$'), '?', 1))")} AS name,
-    concat_ws(chr(10) || chr(10), '# ' || title, '**Authors:** A. ' || split_part(url, '/', 3),
+    concat_ws(chr(10) || chr(10), '# ' || title, '**Authors:** A. ' || split_part(url, '/', 3) || ', Bo',
       '**Published:** 2024-' || page_id, chr(10) || plain) AS raw_text FROM t)
   SELECT * FROM r WHERE {nonblank_sql('raw_text')}"""
 ORACLE["buffer_rows"] = f"""SELECT 'b1' AS buffer_id, CAST(doc_id AS VARCHAR) AS name, length(text)::BIGINT AS n_chars,

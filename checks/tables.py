@@ -15,12 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``pages`` with an author, a date and a paragraph full of character references."""
+    """``pages`` with authors, a date, a paragraph full of character references, an aside inside the
+    article, a foreign article inside an aside, and a second article."""
     head = F.concat(
         F.lit('<head><meta name="author" content="A. '), F.split_part("url", F.lit("/"), F.lit(3)),
-        F.lit('"><meta property="article:published_time" content="2024-'), F.col("page_id").cast("string"), F.lit('">'),
+        F.lit('"><META content=Bo name=\'Author\'><meta property="article:published_time" content="2024-'), F.col("page_id").cast("string"), F.lit('">'),
+    )
+    last = F.lit(
+        "<aside title='a > b'>More</aside><p>It&#8217;s a caf&eacute; &mdash; &#x27;ok&#x27;&nbsp;&hellip;</p></article>"
+        "<aside><article>Elsewhere</article></aside><article>Second</article>"
     )
-    last = F.lit("<p>It&#8217;s a caf&eacute; &mdash; &#x27;ok&#x27;&nbsp;&hellip;</p></article>")
     html = F.replace(F.replace("html", F.lit("<head>"), head), F.lit("</article>"), last)
     return spread(table(spark, sf_dir, "pages").withColumn("html", html), "page_id")
 
