@@ -25,6 +25,7 @@ from semblance.operators import sentences as SE
 from semblance.operators import tfidf as TF
 from semblance.operators import token_scores as TS
 from semblance.operators import trees as TR
+from semblance.operators import vector_index as VI
 from semblance.operators import vectors as VE
 from semblance.operators import verify as Q
 from semblance.operators import workspaces as W
@@ -573,6 +574,17 @@ def vector_topk(spark, sf):
     return VE.vector_topk(chunks, _queries(chunks))
 
 
+@query
+def vector_index_topk(spark, sf):
+    """The same rows from a stored index, to which the second half of the vectors was added later."""
+    chunks = D.vectors(spark, sf)
+    centres = VI.fit_cells(chunks)
+    path = f"{checkpoint_folder(spark)}/vector-index-{uuid.uuid4().hex}"
+    VI.write_index(chunks.filter(F.col("vec_id") % 2 == 0), centres, path)
+    VI.write_index(chunks.filter(F.coalesce(F.col("vec_id") % 2, F.lit(1)) != 0), centres, path)
+    return VI.index_topk(spark.read.parquet(path), _queries(chunks), centres)
+
+
 @query
 def file_scores(spark, sf):
     chunks = D.vectors(spark, sf)

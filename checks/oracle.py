@@ -469,6 +469,7 @@ VECTORS = """vec AS (SELECT CAST(label AS VARCHAR) AS namespace, CAST(vec_id //
 ORACLE["vector_cosine"] = with_ctes(VECTORS) + """SELECT namespace AS corpus_id, CAST(qid AS VARCHAR) AS target, CAST(vec_id AS VARCHAR) AS other,
   round(score, 6) AS vector FROM sc WHERE vec_id <> qid"""
 ORACLE["vector_topk"] = with_ctes(VECTORS) + """SELECT namespace, query, name, chunk_no::BIGINT AS chunk_no, round(score, 6) AS score, rank::BIGINT AS rank FROM top"""
+ORACLE["vector_index_topk"] = ORACLE["vector_topk"]
 ORACLE["file_scores"] = with_ctes(VECTORS) + """SELECT namespace, query, name, round(min(score), 6) AS score FROM top GROUP BY ALL"""
 
 # ---- incremental work ----

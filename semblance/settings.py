@@ -34,6 +34,10 @@ BYTES_PER_PART = 64 * 1024 * 1024
 # characters on each side.
 CELLS_PER_CALL = 1 << 36
 TILE_CHARS = 1 << 18
+# Cells of a vector index, learned in so many rounds on at most so many vectors.
+CELLS = 256
+CELL_SAMPLE = 8_192
+CELL_ROUNDS = 10
 # Largest table that may be broadcast, in rows and in bytes.
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 32 * 1024 * 1024
