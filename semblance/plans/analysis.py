@@ -11,6 +11,7 @@ from semblance.operators.features import build_features, grams, shape_grams
 from semblance.operators.pairs import PAIR, bag_scores, default_targets, item_counts, missing_targets
 from semblance.operators.tfidf import tfidf_cosine
 from semblance.operators.token_scores import token_scores
+from semblance.operators.vector_index import index_topk
 from semblance.operators.vectors import file_scores, vector_cosine, vector_topk
 from semblance.operators.verify import text_ratios
 from semblance.session import cut_lineage
@@ -87,17 +88,20 @@ def analyze_vector(
     options: TextOptions = TextOptions(),
     k: int = TOP_K,
     agg: str = "min",
+    centres: list[list[float]] | None = None,
 ) -> DataFrame:
     """Fast scores of the files among the ``k`` nearest chunks of each target.
 
     ``chunks(namespace, name, chunk_no, embedding)`` has the corpus as namespace; all chunks of
-    the target are its query, and a chunk is as near as it is to the nearest of them.
+    the target are its query, and a chunk is as near as it is to the nearest of them. With the
+    ``centres`` of an index, ``chunks`` is that index, and only cells that can hold them are read.
     """
     asked = targets.select(F.col("corpus_id").alias("namespace"), F.col("target").alias("name"))
     queries = chunks.join(asked, ["namespace", "name"], "left_semi").select(
         "namespace", F.col("name").alias("query"), "embedding"
     )
-    near = file_scores(vector_topk(chunks, queries, k), agg).select(
+    hits = vector_topk(chunks, queries, k) if centres is None else index_topk(chunks, queries, centres, k)
+    near = file_scores(hits, agg).select(
         F.col("namespace").alias("corpus_id"), F.col("query").alias("target"), "name",
         F.col("score").alias("vector"),
     )

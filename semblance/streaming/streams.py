@@ -17,6 +17,7 @@ from semblance.operators.corpus import last_wins, whole_texts
 from semblance.operators.features import chunk_texts
 from semblance.operators.harvest import TAGGED, latest_messages, tag_urls
 from semblance.operators.incremental import changed_files
+from semblance.operators.vector_index import assign_cells
 from semblance.sources.sinks import expiry
 from semblance.settings import BUFFER_TTL_SECONDS
 from semblance.sources.tables import live_buffers
@@ -24,6 +25,7 @@ from semblance.sources.tables import live_buffers
 URL_SCHEMA = "channel_id string, tag string, url string, msg_id long, at long"
 FILE_SCHEMA = "namespace string, name string, content_hash string"
 CHUNK_SCHEMA = "namespace string, name string, chunk_no int, content_hash string, text string"
+INDEX_SCHEMA = "namespace string, name string, chunk_no int, embedding array<double>, cell int, residual double"
 
 
 def _write_part(df: DataFrame, store: str, batch_id: int) -> None:
@@ -178,3 +180,29 @@ def ingested_chunks(spark: SparkSession, store: str) -> DataFrame:
     current = _latest_files(_read_parts(spark, f"{store}/files", FILE_SCHEMA))
     chunks = _read_parts(spark, f"{store}/chunks", CHUNK_SCHEMA)
     return chunks.join(current.select("namespace", "name", "batch"), ["namespace", "name", "batch"], "left_semi").drop("batch")
+
+
+def index_stream(chunks: DataFrame, store: str, centres: list[list[float]], checkpoint: str) -> StreamingQuery:
+    """Keep a vector index up with a stream of chunks ``(namespace, name, chunk_no, embedding)``.
+
+    A file's chunks of one batch replace all its earlier ones, so they must come together. Files
+    are named in a manifest of their own after their vectors are written; the centres stay.
+    """
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        placed = assign_cells(batch.select("namespace", "name", F.col("chunk_no").cast("int"), F.col("embedding").cast("array<double>")), centres)
+        placed.write.mode("overwrite").partitionBy("cell").parquet(f"{store}/vectors/batch={batch_id}")
+        files = batch.select("namespace", "name", F.lit("").alias("content_hash")).distinct()
+        _write_part(files, f"{store}/files", batch_id)
+
+    return (
+        chunks.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
+    )
+
+
+def indexed_chunks(spark: SparkSession, store: str) -> DataFrame:
+    """The current index: the vectors of each file's latest batch, by cell."""
+    current = _latest_files(_read_parts(spark, f"{store}/files", FILE_SCHEMA))
+    vectors = _read_parts(spark, f"{store}/vectors", INDEX_SCHEMA)
+    return vectors.join(current.select("namespace", "name", "batch"), ["namespace", "name", "batch"], "left_semi").drop("batch")

@@ -5,6 +5,8 @@ import pytest
 
 from semblance.operators import vector_index as VI
 from semblance.operators import vectors as VE
+from semblance.plans import analysis as AN
+from semblance.streaming import streams as SM
 
 CHUNKS = "namespace string, name string, chunk_no int, embedding array<double>"
 QUERIES = "namespace string, query string, embedding array<double>"
@@ -65,3 +67,31 @@ def test_odd_vectors(spark):
     empty = spark.createDataFrame([], CHUNKS)
     none = VI.fit_cells(empty)
     assert VI.index_topk(VI.assign_cells(empty, none), queries, none).collect() == []
+
+
+def test_index_kept_up_by_a_stream(spark, tmp_path):
+    source, store, check = (str(tmp_path / x) for x in ("in", "store", "check"))
+    centres = [[1.0, 0.0], [0.0, 1.0]]
+    queries = spark.createDataFrame([("a", "q", [1.0, 0.0])], QUERIES)
+
+    def send(rows):
+        spark.createDataFrame(rows, CHUNKS).coalesce(1).write.mode("append").parquet(source)
+        SM.index_stream(spark.readStream.schema(CHUNKS).parquet(source), store, centres, check).awaitTermination()
+        hits = VI.index_topk(SM.indexed_chunks(spark, store), queries, centres, 2).collect()
+        return sorted((r["rank"], r.name, r.chunk_no) for r in hits)
+
+    assert send([("a", "f", 0, [1.0, 0.0]), ("a", "f", 1, [1.0, 0.1]), ("a", "g", 0, [0.1, 1.0])]) == [(1, "f", 0), (2, "f", 1)]
+    # The file's new vectors replace both of the old ones.
+    assert send([("a", "f", 0, [0.0, 1.0]), ("a", "h", 0, None)]) == [(1, "g", 0), (2, "f", 0)]
+    assert send([("a", "h", 0, [1.0, 0.0])]) == [(1, "h", 0), (2, "g", 0)]
+
+
+def test_analysis_from_an_index(spark):
+    names = [f"f{i}" for i in range(12)]
+    subs = spark.createDataFrame([("a", n, f"x = {n}", i) for i, n in enumerate(names)], "corpus_id string, name string, raw_text string, ingest_order long")
+    targets = spark.createDataFrame([("a", "f0")], "corpus_id string, target string")
+    chunks = spark.createDataFrame([("a", n, 0, v.tolist()) for n, v in zip(names, _clustered(12, 3))], CHUNKS)
+    centres = VI.fit_cells(chunks, cells=3)
+    plain = AN.analyze_vector(subs, targets, chunks, k=4)
+    indexed = AN.analyze_vector(subs, targets, VI.assign_cells(chunks, centres), k=4, centres=centres)
+    assert sorted(map(tuple, indexed.collect())) == sorted(map(tuple, plain.collect()))
