@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from semblance.functions import scores as S
+from semblance.functions import kernels as K
 from semblance.functions.kernels import indel_ratio, lcs_length, text_ratio
 
 
@@ -59,3 +60,13 @@ def test_bands(spark):
     assert [r[0] for r in df.select(S.overall_band(F.col("s"))).collect()] == ["red", "orange", "green"]
     df = spark.createDataFrame([(0.81,), (0.8,), (0.6,)], "s double")
     assert [r[0] for r in df.select(S.block_band(F.col("s"))).collect()] == ["red", "orange", "green"]
+
+
+def test_many_texts_beside_one_target():
+    rng = random.Random(4)
+    texts = ["", "\0", "😀a", "ba\0b 😀"] + ["".join(rng.choice("ab \0😀é") for _ in range(rng.randint(0, 70))) for _ in range(60)]
+    for a in texts[:20]:
+        assert K.lcs_lengths(a, texts) == [plain_lcs(a, t) for t in texts]
+    pairs = [(a, t) for a in texts[:6] for t in [*texts, None]] + [(None, "a")]
+    for (a, b), got in zip(pairs, K.indel_ratios(*map(list, zip(*pairs)))):
+        assert got == (None if a is None or b is None else indel_ratio(a, b))
