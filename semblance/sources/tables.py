@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from semblance.functions.joins import spread
+
 
 def read_submissions(spark: SparkSession, path: str, corpus_id: str | None = None) -> DataFrame:
     """All submissions, or one corpus by partition pruning when written by ``corpus_id``."""
@@ -14,9 +16,10 @@ def read_submissions(spark: SparkSession, path: str, corpus_id: str | None = Non
 
 def buffered_submissions(spark: SparkSession, path: str, buffer_id: str) -> DataFrame:
     """The submissions of one saved buffer, parts and all, ready to be scored; the id stays text
-    where it looks like a number."""
+    where it looks like a number. A buffer of few files is dealt to all cores."""
     rows = spark.read.option("mergeSchema", "false").parquet(path)
-    return rows.filter(F.col("corpus_id") == buffer_id).withColumn("corpus_id", F.lit(buffer_id))
+    saved = rows.filter(F.col("corpus_id") == buffer_id).withColumn("corpus_id", F.lit(buffer_id))
+    return spread(saved, "name")
 
 
 def features_of(features: DataFrame, corpus_id: str | None = None) -> DataFrame:

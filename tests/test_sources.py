@@ -227,3 +227,20 @@ def test_partition_overwrite_and_history(spark, tmp_path):
     for i in range(2):
         SK.append_history(spark.createDataFrame([("u", [f"x{i}"], None)], "username string, urls array<string>, instance_id string"), log)
     assert spark.read.parquet(log).count() == 2
+
+
+def test_small_files_are_dealt_to_all_cores(spark, tmp_path):
+    from checks import tables as D
+    from semblance.sources.sinks import save_submissions
+    from semblance.sources.tables import buffered_submissions
+
+    width = spark.sparkContext.defaultParallelism
+    rows = [(i, f"n {i}", "b", "t", 1) for i in range(40)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    for read in (D.part_names, D.nested_names):
+        found = read(spark, str(tmp_path))
+        assert found.rdd.getNumPartitions() >= width and found.count() == 40
+    subs = D.part_names(spark, str(tmp_path)).withColumn("corpus_id", F.lit("b")).withColumn("part_no", F.lit(0).cast("long"))
+    saved = save_submissions(subs.coalesce(1), str(tmp_path / "spool"))
+    found = buffered_submissions(spark, str(tmp_path / "spool"), saved)
+    assert found.rdd.getNumPartitions() >= width and found.count() == 40
