@@ -17,6 +17,7 @@ import json
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -26,7 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, normalizers, pre_tokenizers
 
-# Words whose tokens a worker remembers; the memory is emptied when it is full.
+# Words whose tokens a worker remembers, and as many older ones: when the memory is full, the words
+# that have been met since it was last full stay.
 REMEMBERED_WORDS = 200_000
 # Pairs of neighbours whose compatibility a worker remembers.
 REMEMBERED_PAIRS = 50_000
@@ -113,7 +115,8 @@ class Merges:
         """Ids of one word."""
         if not word:
             return []
-        text = "".join(map(self.symbol.__getitem__, word[:-1])) + self.final[word[-1]]
+        # The symbol of a byte is the character of its number.
+        text = word[:-1].decode("latin-1") + self.final[word[-1]]
         length, longest = self.length, [-1] * len(text)
         for end, rank in self.automaton.iter(text):
             start = end + 1 - length[rank]
@@ -169,6 +172,7 @@ class Codec:
         self.buffer = np.frombuffer(b"".join(pieces), dtype=np.uint8)
         self.offsets = np.concatenate(([0], np.cumsum([len(p) for p in pieces])))
         self.words: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
 
     def _normal(self, text: str) -> str:
         if text.isascii():
@@ -184,10 +188,10 @@ class Codec:
         return [part for part, _ in self.rare[1].pre_tokenize_str(self.rare[0].normalize_str(text))]
 
     def _word(self, part: str) -> list[int]:
-        ids = self.merges.encode(part.encode("utf-8", "replace"))
+        ids = self.words.get(part) or self.older.get(part) or self.merges.encode(part.encode("utf-8", "replace"))
         if len(part) <= REMEMBERED_CHARS:
             if len(self.words) >= REMEMBERED_WORDS:
-                self.words.clear()
+                self.words, self.older = {}, self.words
             self.words[part] = ids
         return ids
 
@@ -199,9 +203,7 @@ class Codec:
             if piece in self.special:
                 ids.append(self.special[piece])
                 continue
-            for part in self._split(piece):
-                got = known(part)
-                ids.extend(word(part) if got is None else got)
+            ids.extend(chain.from_iterable([known(part) or word(part) for part in self._split(piece)]))
         return np.array(ids, dtype=np.int64)
 
     def decode(self, ids: np.ndarray) -> str:

@@ -75,3 +75,14 @@ def test_documents(spark):
         assert r.decoded_sha256 == hashlib.sha256(
             LIBRARY.decode(ids, skip_special_tokens=False).encode()).hexdigest()
     assert bpe.encode_documents(docs.limit(0), PATH).count() == 0
+
+
+def test_frequent_words_survive_a_full_memory(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED_WORDS", 4)
+    coder, asked = bpe.Codec(PATH), []
+    plain = coder.merges.encode
+    monkeypatch.setattr(coder.merges, "encode", lambda word: asked.append(word) or plain(word))
+    texts = [f"often {a} often {b} often" for a, b in zip("abcdefgh", "ijklmnop")]
+    assert [coder.encode(t).tolist() for t in texts] == [CODEC.encode(t).tolist() for t in texts]
+    assert asked.count(b"often") == 1 and len(asked) == 17
+    assert max(len(coder.words), len(coder.older)) <= 4
