@@ -70,3 +70,27 @@ def test_many_texts_beside_one_target():
     pairs = [(a, t) for a in texts[:6] for t in [*texts, None]] + [(None, "a")]
     for (a, b), got in zip(pairs, K.indel_ratios(*map(list, zip(*pairs)))):
         assert got == (None if a is None or b is None else indel_ratio(a, b))
+
+
+def test_shape_gram_counts_are_those_of_the_grams(spark):
+    from semblance.functions.arrays import counted
+    from semblance.operators.features import shape_gram_counts, shape_grams
+
+    texts = [
+        "def f(a, b):\n    return g(a, 1.5) # note\n", "class A:\n  def m(self): pass", "x", "a b", "", None, "\n\n", '"', "''",
+        "élan(été) ٣ x٣ 中文(1) 😀(2) \U0001d400(3) \u00b2 € ·", "f\n(x) def g (y) 'a b' + \"c\" True(0)", "a(b)\nc(d)\n" * 50,
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, raw_text string").repartition(2)
+    for preserve in (False, True):
+        for k in (1, 2, 3):
+            new, old = shape_gram_counts(k=k, preserve_names=preserve), counted(shape_grams(k=k, preserve_names=preserve))
+            for r in df.select("i", new.alias("new"), old.alias("old")).collect():
+                assert (r.new and sorted(map(tuple, r.new))) == (r.old and sorted(map(tuple, r.old))), (texts[r.i], k, preserve)
+
+
+def test_shape_grams_are_counted_without_lambdas_per_token(spark):
+    from semblance.operators.features import shape_gram_counts
+
+    df = spark.createDataFrame([("a(b)",)], "raw_text string").select(shape_gram_counts())
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in plan
