@@ -206,3 +206,33 @@ def test_join_is_split_by_bytes(spark, monkeypatch):
     assert joined.count() == 200 and joined.filter("v = 7").count() == 200
     salted = joined._jdf.queryExecution().optimizedPlan().toString()
     assert "_salt" in salted and "_salt" not in split_join(rows, side, ["k"], ["id"])._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("few", ["all", "frequent", "none"])
+def test_tfidf_weights_move_no_frequent_term(spark, corpus, monkeypatch, few):
+    texts = {f"n{i}": " ".join(["the", "and"] * (i % 3 + 1) + [f"w{i}", f"v{i // 4}"]) for i in range(40)}
+    texts["blank"] = "."
+    subs = corpus({"a": texts, "b": {"x": "the end"}})
+    subs = subs.unionByName(subs.filter("name = 'n1'"))
+    if few == "frequent":
+        monkeypatch.setattr(TF, "is_small", lambda df: df.count() <= 4)
+        monkeypatch.setattr(TF, "BROADCAST_TERMS", 4)
+    elif few == "none":
+        monkeypatch.setattr(TF, "is_small", lambda df: False)
+    weights = TF.tfidf_weights(subs)
+    bags = {"a": [(n, Counter(t.split())) for n, t in [*texts.items(), ("n1", texts["n1"])] if n != "blank"]}
+    bags["b"] = [("x", Counter(["the", "end"]))]
+    n_docs, want = {"a": 42, "b": 1}, []
+    for c, rows in bags.items():
+        df = Counter(t for _, bag in rows for t in bag)
+        w = [(n, t, tf, tf * (math.log((1 + n_docs[c]) / (1 + df[t])) + 1)) for n, bag in rows for t, tf in bag.items()]
+        square = Counter()
+        for n, _, _, x in w:
+            square[n] += x * x
+        want += [(c, n, t, tf, round(x / math.sqrt(square[n]), 9)) for n, t, tf, x in w]
+    got = [(r.corpus_id, r.name, r.term, r.tf, round(r.weight, 9)) for r in weights.collect()]
+    assert sorted(got) == sorted(want)
+    if few == "all":
+        # The texts move once, by name; their counts do not move at all.
+        plan = weights._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+        assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in plan
