@@ -3,15 +3,23 @@
 from __future__ import annotations
 
 import math
+import sys
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from semblance.functions.joins import compute_once
 from semblance.functions.text import content_hash, tokens
 from semblance.operators.corpus import whole_texts
 from semblance.session import cut_lineage
 from semblance.settings import CHUNK_OVERLAP, CHUNK_TOKENS
 
+# Ship the helpers inside the task, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # A sentence ends with its marks or its line.
 SENTENCE_PATTERN = r"[^.!?\n]+[.!?]*|[.!?]+"
 TEXT = ["namespace", "name"]
@@ -53,18 +61,81 @@ def _pointers(units: DataFrame, size: int, overlap: int) -> DataFrame:
     )
 
 
+def _windows(size: int, overlap: int):
+    """``(start, end)`` of the chunks of each text, from the tokens of its units, walked through once."""
+
+    def run(sizes: pa.Array) -> pa.Array:
+        counts = sizes.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        tokens = sizes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        starts, ends, found, done = [], [], [0], 0
+        for n in counts.tolist():
+            offsets = np.concatenate([[0], np.cumsum(tokens[done : done + n])])
+            # The first unit that no longer fits after each one; the first of those before it that
+            # hold at most ``overlap`` tokens, or that leave room for it.
+            reach = (np.searchsorted(offsets, offsets + size, "right") - 1).tolist()
+            repeated = np.searchsorted(offsets, offsets - overlap, "left").tolist()
+            roomy = np.searchsorted(offsets, offsets - size, "left").tolist()
+            start = 0 if n else None
+            while start is not None:
+                end = reach[start]
+                starts.append(start)
+                ends.append(end)
+                start = max(repeated[end], roomy[end + 1], start + 1) if end < n else None
+            found.append(len(starts))
+            done += n
+        rows = pa.StructArray.from_arrays([pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=["start", "end"])
+        return pa.ListArray.from_arrays(pa.array(found, pa.int32()), rows)
+
+    return F.arrow_udf(run, "array<struct<start: int, end: int>>")
+
+
 def sentence_chunks(submissions: DataFrame, size: int = CHUNK_TOKENS, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """``(namespace, name, chunk_no, content_hash, text)``: windows of at most ``size`` tokens that
     begin and end at sentence borders and repeat at most ``overlap`` tokens.
 
+    A text is walked through where it lies, and only its chunks leave its row. Texts without tokens
+    have no chunk; ``corpus_id`` and ``name`` name a text. Texts that share their name count as one,
+    whose units are brought together by windows.
+    """
+    whole = whole_texts(submissions)
+    names = whole.filter(F.col("corpus_id").isNotNull() & F.col("name").isNotNull())
+    repeated = names.groupBy("corpus_id", "name").agg(F.count("*").alias("_n")).filter("_n > 1").select("corpus_id", "name")
+    if repeated.isEmpty():
+        return _chunks_in_place(_units(names, size), size, overlap)
+    repeated = cut_lineage(repeated)
+    key = ["corpus_id", "name"]
+    alone = _chunks_in_place(_units(names.join(repeated, key, "left_anti"), size), size, overlap)
+    return alone.unionByName(_chunks_by_units(_units(names.join(repeated, key, "left_semi"), size), size, overlap))
+
+
+def _units(texts: DataFrame, size: int) -> DataFrame:
+    named = texts.select(F.col("corpus_id").alias("namespace"), "name", "raw_text")
+    cut = compute_once(named, units=sentence_units(F.col("raw_text"), size)).filter(F.size("units") > 0)
+    return cut.select(*TEXT, content_hash(F.col("raw_text")).alias("content_hash"), "units")
+
+
+def _joined(start: Column, end: Column) -> Column:
+    return F.array_join(F.flatten(F.slice("units", start + 1, end - start)), " ")
+
+
+def _chunks_in_place(texts: DataFrame, size: int, overlap: int) -> DataFrame:
+    windows = _windows(size, overlap)(F.transform("units", lambda u: F.size(u)))
+    # The chunks are joined inside the row, so that no row takes all units of its text along.
+    chunks = texts.withColumn("windows", windows).select(
+        *TEXT, "content_hash", F.transform("windows", lambda w: _joined(w["start"], w["end"])).alias("chunks")
+    )
+    return chunks.select(*TEXT, F.posexplode("chunks").alias("chunk_no", "text"), "content_hash").select(
+        *TEXT, "chunk_no", "content_hash", "text"
+    )
+
+
+def _chunks_by_units(texts: DataFrame, size: int, overlap: int) -> DataFrame:
+    """Chunks of texts that share their names.
+
     Which of the possible starts are reached from the begin of the text is found by doubling: each
-    round adds what lies one jump behind the starts known, and doubles the jumps. Texts without
-    tokens have no chunk; ``corpus_id`` and ``name`` name a text.
+    round adds what lies one jump behind the starts known, and doubles the jumps.
     """
-    texts = cut_lineage(whole_texts(submissions).select(
-        F.col("corpus_id").alias("namespace"), "name", content_hash(F.col("raw_text")).alias("content_hash"),
-        sentence_units(F.col("raw_text"), size).alias("units"),
-    ).filter(F.size("units") > 0))
+    texts = cut_lineage(texts)
     pointers = cut_lineage(_pointers(texts, size, overlap))
     longest = pointers.agg(F.max("start")).first()[0] or 0
     reached = pointers.filter("start = 0").select(*TEXT, "start")
@@ -78,5 +149,4 @@ def sentence_chunks(submissions: DataFrame, size: int = CHUNK_TOKENS, overlap: i
     chunks = pointers.join(reached, [*TEXT, "start"]).select(
         *TEXT, "start", "end", (F.row_number().over(order) - 1).alias("chunk_no")
     )
-    words = F.flatten(F.slice("units", F.col("start") + 1, F.col("end") - F.col("start")))
-    return chunks.join(texts, TEXT).select(*TEXT, "chunk_no", "content_hash", F.array_join(words, " ").alias("text"))
+    return chunks.join(texts, TEXT).select(*TEXT, "chunk_no", "content_hash", _joined(F.col("start"), F.col("end")).alias("text"))

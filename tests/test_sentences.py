@@ -54,3 +54,17 @@ def test_chunks_are_those_of_a_plain_walk(spark, corpus):
 
 def test_no_rows(spark, corpus):
     assert SE.sentence_chunks(corpus({"c": {"t": "a"}}).limit(0)).count() == 0
+
+
+def test_chunks_are_made_inside_the_row(spark, corpus):
+    """Nothing is moved or stored, and the chunks are those found by doubling."""
+    made = dict(texts())
+    subs = corpus({"c": made})
+    chunks = SE.sentence_chunks(subs, 12, 5)
+    assert "Exchange" not in chunks._jdf.queryExecution().executedPlan().toString()
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(chunks) == rows(SE._chunks_by_units(SE._units(subs, 12), 12, 5))
+    # Texts of one name have their units brought together, so each chunk comes with both.
+    twice = SE.sentence_chunks(subs.unionByName(subs.filter("name = 't3'")), 12, 5)
+    assert rows(twice.filter("name <> 't3'")) == rows(chunks.filter("name <> 't3'"))
+    assert twice.columns == chunks.columns and twice.filter("name = 't3'").count() >= 2
