@@ -94,18 +94,15 @@ def sentence_chunks(submissions: DataFrame, size: int = CHUNK_TOKENS, overlap: i
     begin and end at sentence borders and repeat at most ``overlap`` tokens.
 
     A text is walked through where it lies, and only its chunks leave its row. Texts without tokens
-    have no chunk; ``corpus_id`` and ``name`` name a text. Texts that share their name count as one,
-    whose units are brought together by windows.
+    have no chunk; ``corpus_id`` and ``name`` name a text. Where texts share their name they count as
+    one, and all units are brought together by windows.
     """
     whole = whole_texts(submissions)
     names = whole.filter(F.col("corpus_id").isNotNull() & F.col("name").isNotNull())
-    repeated = names.groupBy("corpus_id", "name").agg(F.count("*").alias("_n")).filter("_n > 1").select("corpus_id", "name")
+    repeated = names.groupBy("corpus_id", "name").agg(F.count("*").alias("_n")).filter("_n > 1")
     if repeated.isEmpty():
         return _chunks_in_place(_units(names, size), size, overlap)
-    repeated = cut_lineage(repeated)
-    key = ["corpus_id", "name"]
-    alone = _chunks_in_place(_units(names.join(repeated, key, "left_anti"), size), size, overlap)
-    return alone.unionByName(_chunks_by_units(_units(names.join(repeated, key, "left_semi"), size), size, overlap))
+    return _chunks_by_units(_units(whole, size), size, overlap)
 
 
 def _units(texts: DataFrame, size: int) -> DataFrame:
@@ -130,7 +127,7 @@ def _chunks_in_place(texts: DataFrame, size: int, overlap: int) -> DataFrame:
 
 
 def _chunks_by_units(texts: DataFrame, size: int, overlap: int) -> DataFrame:
-    """Chunks of texts that share their names.
+    """Chunks of texts of which some share their names.
 
     Which of the possible starts are reached from the begin of the text is found by doubling: each
     round adds what lies one jump behind the starts known, and doubles the jumps.
